@@ -211,3 +211,113 @@ def need(overlap_of: np.ndarray | int, percent: int) -> np.ndarray:
 
 def ceil_div(a: int, b: int) -> int:
     return math.ceil(a / b)
+
+
+#: Rows of a packed exchange: columns of many items of one kind as raw arrays, for one partition.
+PACKED = "route int, kind int, " + ", ".join(f"c{k} binary" for k in range(6))
+_PACKED = pa.schema([("route", pa.int32()), ("kind", pa.int32()), *[(f"c{k}", pa.binary()) for k in range(6)]])
+
+
+def packed(kind: int, route: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Items as one row per route; items keep their order within a route, and few bytes each."""
+    if not len(route):
+        return
+    order = np.argsort(route, kind="stable")
+    route = route[order]
+    cuts = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
+    ends = np.append(cuts[1:], len(route))
+    columns = [np.ascontiguousarray(c[order]) for c in columns]
+    blobs = [[c[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)] for c in columns]
+    blobs += [[None] * len(cuts)] * (6 - len(blobs))
+    yield pa.RecordBatch.from_arrays([pa.array(route[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], schema=_PACKED)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[int, list[str]]) -> dict[int, list[np.ndarray]]:
+    """All items of a partition: for each kind the columns, of the given numpy types."""
+    held: dict[int, list[list[bytes]]] = {k: [[] for _ in types] for k, types in kinds.items()}
+    for batch in batches:
+        which = batch.column("kind").to_numpy()
+        for k, lists in held.items():
+            own = np.flatnonzero(which == k)
+            if len(own):
+                for j, into in enumerate(lists):
+                    column = batch.column(f"c{j}").take(pa.array(own))
+                    into.extend(x.as_buffer() for x in column)
+    return {k: [np.frombuffer(b"".join(x), t) for x, t in zip(lists, kinds[k], strict=True)] for k, lists in held.items()}
+
+
+def exchanged(df: DataFrame) -> DataFrame:
+    """Packed rows, each in the partition that its route names."""
+    return df.repartitionById(shuffle_partitions(df.sparkSession), F.col("route"))
+
+
+def routes(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions of 64-bit hashes."""
+    return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and the sums of their counts (1 each if none are given)."""
+    if counts is None:
+        keys, counts = np.unique(keys, return_counts=True)
+        return keys, counts.astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[cuts], np.add.reduceat(counts, cuts) if len(keys) else counts
+
+
+class Tally:
+    """Counts by key, merged now and then so that a task holds little more than its distinct keys."""
+
+    def __init__(self, limit: int = 3_000_000):
+        self.limit, self.size, self.parts = limit, 0, []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        self.parts.append(summed(keys, counts))
+        self.size += len(self.parts[-1][0])
+        if self.size > self.limit:
+            merged = self.result()
+            self.parts, self.size = [merged], 0
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(self.parts) == 1:
+            return self.parts[0]
+        return summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
+
+
+class Index:
+    """Places of 64-bit keys, by open addressing in numpy arrays."""
+
+    _EMPTY = np.uint64(2**64 - 1)
+
+    def __init__(self, keys: np.ndarray):
+        n = len(keys)
+        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(2, 2 * n))))))
+        home = self._home(keys)
+        order = np.argsort(home, kind="stable")
+        place = np.maximum.accumulate(home[order] - np.arange(n)) + np.arange(n) if n else np.zeros(0, np.int64)
+        size = (1 << (64 - int(self.shift))) + (int(place[-1]) + 2 if n else 2)
+        self.keys = np.full(size, self._EMPTY, np.uint64)
+        self.at = np.full(size, -1, np.int32)
+        self.keys[place] = keys[order]
+        self.at[place] = order
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (((keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place in the array it was made of, or -1."""
+        place = self._home(keys)
+        there = self.keys[place]
+        out = np.where(there == keys, self.at[place], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there != self._EMPTY))
+        while len(left):
+            place[left] += 1
+            there = self.keys[place[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.at[place[left[hit]]]
+            left = left[~hit & (there != self._EMPTY)]
+        return out
