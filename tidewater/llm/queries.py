@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .common import documents
 from .packing import pack_documents
-from . import ppm, quality_rules
+from . import langid, line_crf, ppm, quality_rules
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,14 @@ def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_held_out(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_held_out(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify_held_out(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -37,7 +45,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_ppm_score, op7_byte_bpe, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_ppm_score, op4_language_id, op5_line_crf, op7_byte_bpe, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
