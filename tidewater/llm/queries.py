@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .common import documents
 from .packing import pack_documents
-from . import langid, line_crf, ppm, quality_rules
+from . import fingerprints, langid, line_crf, ppm, quality_rules
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(documents(spark, sf_dir))
+
+
 def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_held_out(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_ppm_score, op4_language_id, op5_line_crf, op7_byte_bpe, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_edit_fingerprints, op3_ppm_score, op4_language_id, op5_line_crf, op7_byte_bpe, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
