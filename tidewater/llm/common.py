@@ -321,3 +321,20 @@ class Index:
             out[left[hit]] = self.at[place[left[hit]]]
             left = left[~hit & (there != self._EMPTY)]
         return out
+
+
+def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` word hashes from each place on, across texts too; the last places are cut off."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power, size, total, done = hashes, 1, None, 0
+    while True:
+        if width & size:
+            part = power[done : done + n]
+            total = part.copy() if total is None else mix(total * np.uint64(0x9FB21C651E98DF25) + part)
+            done += size
+        if done == width:
+            return total
+        power = mix(power[:-size] * np.uint64(0x9FB21C651E98DF25) + power[size:])
+        size *= 2

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .common import documents
 from .packing import pack_documents
-from . import fingerprints, langid, line_crf, ppm, quality_rules
+from . import fingerprints, langid, line_crf, ppm, quality_rules, recompress
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,8 +48,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_edit_fingerprints, op3_ppm_score, op4_language_id, op5_line_crf, op7_byte_bpe, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_edit_fingerprints, op3_ppm_score, op4_language_id, op5_line_crf, op7_byte_bpe, op9_packing, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
