@@ -192,7 +192,7 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 def sequence_hash(hashes: np.ndarray) -> np.uint64:
     """One hash for a whole sequence of word hashes."""
     seeds = mix(np.arange(1, len(hashes) + 1, dtype=np.uint64)) | np.uint64(1)
-    return mix(np.array([np.sum(mix(hashes ^ seeds)) + np.uint64(len(hashes)) * _RADIX], np.uint64))[0]
+    return mix(np.sum(mix(hashes ^ seeds), keepdims=True) + np.array([len(hashes)], np.uint64) * _RADIX)[0]
 
 
 def distinct_per_owner(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,3 +338,36 @@ def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
             return total
         power = mix(power[:-size] * np.uint64(0x9FB21C651E98DF25) + power[size:])
         size *= 2
+
+
+def heads(counts: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of packed (key, count) items of one kind, distinct by key: the keys of the highest counts.
+
+    Returns at most ``most`` keys, ascending (equal counts are all in or all
+    out), their counts, the number of all keys and the sum of all counts.
+    """
+
+    def histogram(batches):
+        for _, (_, n) in unpacked(batches, {kind: ["u8", "i8"]}).items():
+            value, back = np.unique(np.minimum(n, 100_000), return_inverse=True)
+            many = np.bincount(back, minlength=len(value)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"value": value, "many": many, "sum": np.bincount(back, n, len(value)).astype(np.int64)})
+
+    rows = counts.mapInArrow(histogram, "value bigint, many bigint, sum bigint").groupBy("value").agg(F.sum("many").alias("many"), F.sum("sum").alias("sum")).collect()  # 100,000 rows at most
+    least, held = 1, sum(r["many"] for r in rows)
+    for r in sorted(rows):
+        if held <= most:
+            break
+        held, least = held - r["many"], r["value"] + 1
+
+    def head(batches):
+        for _, (keys, n) in unpacked(batches, {kind: ["u8", "i8"]}).items():
+            own = n >= least
+            if own.any():
+                yield pa.RecordBatch.from_pydict({"k": [keys[own].tobytes()], "n": [n[own].tobytes()]})
+
+    got = counts.mapInArrow(head, "k binary, n binary").toArrow().to_pylist()
+    keys = np.frombuffer(b"".join(r["k"] for r in got), "u8")
+    n = np.frombuffer(b"".join(r["n"] for r in got), "i8")
+    order = np.argsort(keys)
+    return keys[order], n[order], sum(r["many"] for r in rows), sum(r["sum"] for r in rows)

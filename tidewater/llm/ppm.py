@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Index, Tally, Words, checkpointed, exchanged, gathered, held_out, mix, packed, routes, shuffle_partitions, summed, text_bytes, unpacked
+from .common import PACKED, Index, Tally, Words, checkpointed, exchanged, gathered, heads, held_out, mix, packed, routes, shuffle_partitions, summed, text_bytes, unpacked
 
 END = 0xFF
 #: The hash of the end token of the word model.
@@ -175,34 +175,6 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
     return exchanged(docs.select("text").mapInArrow(count, PACKED)).mapInArrow(add, PACKED)
 
 
-def _heads(counts: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Keys of the highest counts, at most ``most``, equal counts together; their counts; all keys; all counts."""
-
-    def histogram(batches):
-        for _, (keys, n) in unpacked(batches, {kind: ["u8", "i8"]}).items():
-            value, many = np.unique(np.minimum(n, 100_000), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"value": value, "many": many.astype(np.int64), "sum": np.array([n[np.minimum(n, 100_000) == v].sum() for v in value], np.int64)})
-
-    rows = counts.mapInArrow(histogram, "value bigint, many bigint, sum bigint").groupBy("value").agg(F.sum("many").alias("many"), F.sum("sum").alias("sum")).collect()
-    least, held = 1, sum(r["many"] for r in rows)
-    for r in sorted(rows):
-        if held <= most:
-            break
-        held, least = held - r["many"], r["value"] + 1
-
-    def head(batches):
-        for _, (keys, n) in unpacked(batches, {kind: ["u8", "i8"]}).items():
-            own = n >= least
-            if own.any():
-                yield pa.RecordBatch.from_pydict({"k": [keys[own].tobytes()], "n": [n[own].tobytes()]})
-
-    got = counts.mapInArrow(head, "k binary, n binary").toArrow().to_pylist()  # at most ``most`` pairs
-    keys = np.frombuffer(b"".join(r["k"] for r in got), "u8")
-    n = np.frombuffer(b"".join(r["n"] for r in got), "i8")
-    order = np.argsort(keys)
-    return keys[order], n[order], sum(r["many"] for r in rows), sum(r["sum"] for r in rows)
-
-
 def score(docs: DataFrame, training: DataFrame, order: int = 5, max_nodes: int = 3_000_000, max_words: int = 200_000) -> DataFrame:
     """Each row of docs with its word model's and byte model's figures.
 
@@ -213,8 +185,8 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, max_nodes: int =
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     counts = checkpointed(_counts(training, order))
-    keys, n, _, _ = _heads(counts, 0, max_nodes)
-    words, word_n, kinds, tokens = _heads(counts, 1, max_words)
+    keys, n, _, _ = heads(counts, 0, max_nodes)
+    words, word_n, kinds, tokens = heads(counts, 1, max_words)
     shared = spark.sparkContext.broadcast((keys, n, words, word_n))  # at most max_nodes and max_words pairs
     divisor = tokens + 0.5 * (kinds + 1)
     models: dict[int, tuple] = {}
