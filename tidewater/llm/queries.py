@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .common import documents
 from .packing import pack_documents
-from . import fingerprints, langid, line_crf, ppm, quality_rules, recompress
+from . import fingerprints, langid, line_crf, line_dedup, ngram_join, ppm, quality_rules, recompress
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,10 +40,18 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify_held_out(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_matches(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -53,7 +61,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_edit_fingerprints, op3_ppm_score, op4_language_id, op5_line_crf, op7_byte_bpe, op9_packing, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_edit_fingerprints, op3_ppm_score, op4_language_id, op5_line_crf, op6_line_dedup, op7_byte_bpe, op8_ngram_join, op9_packing, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
