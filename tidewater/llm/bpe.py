@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import gathered
 
 #: Pieces that a worker keeps ids of, at most; then it starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
 #: White space beside a space, where a cut could change tokens.
 _UNSAFE = re.compile(r"\s | \s")
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

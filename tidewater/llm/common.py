@@ -371,3 +371,16 @@ def heads(counts: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarr
     n = np.frombuffer(b"".join(r["n"] for r in got), "i8")
     order = np.argsort(keys)
     return keys[order], n[order], sum(r["many"] for r in rows), sum(r["sum"] for r in rows)
+
+
+def beside(result: pa.Table, rows: pa.Table) -> pa.Table:
+    """A result with the columns keep0, keep1, ... of the rows it was made of."""
+    for name in rows.column_names:
+        if name.startswith("keep"):
+            result = result.append_column(name, rows.column(name))
+    return result
+
+
+def beside_schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    kinds = dict(docs.dtypes)
+    return "".join(f", keep{i} {kinds[c]}" for i, c in enumerate(keep))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Index, Tally, Words, checkpointed, distinct_per_owner, exchanged, gathered, heads, mix, need, packed, routes, shuffle_partitions, summed, unpacked
+from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, distinct_per_owner, exchanged, gathered, heads, mix, need, packed, routes, shuffle_partitions, summed, unpacked
 
 _NULL = 2**63 - 1
 _ROW = pa.schema([("route", pa.int32()), ("kind", pa.int32()), *[(f"c{k}", pa.binary()) for k in range(6)]])
@@ -89,13 +89,13 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 5, max_words: int = 1_000_000, tries: int = 4) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 and kept (the lines left, joined by newlines; null stays null) of every row."""
+def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 5, max_words: int = 1_000_000, tries: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 and kept (the lines left, joined by newlines; null stays null) of every row, then the columns of ``keep``."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     groups = 2 * parts
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("k"), "text")
-    rows = rows.select("k", F.xxhash64(F.coalesce("text", F.lit("\0"))).alias("t"), "text").withColumn("g", F.pmod(F.xxhash64("k", "t"), F.lit(groups)).cast("int"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("k"), "text", *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)])
+    rows = rows.select("k", F.xxhash64(F.coalesce("text", F.lit("\0"))).alias("t"), *[c for c in rows.columns if c != "k"]).withColumn("g", F.pmod(F.xxhash64("k", "t"), F.lit(groups)).cast("int"))
 
     def scan(batches):
         tally = Tally()
@@ -120,7 +120,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 5, max_w
         own = order[np.append(True, code[order][1:] != code[order][:-1])] if len(code) else order
         yield from packed(2, g[own], k[own], t[own], place[own])
 
-    held = checkpointed(exchanged(rows.mapInArrow(scan, PACKED)).mapInArrow(first_lines, PACKED))
+    held = checkpointed(exchanged(rows.select("k", "t", "text", "g").mapInArrow(scan, PACKED)).mapInArrow(first_lines, PACKED))
     frequent = spark.sparkContext.broadcast(heads(held, 0, max_words)[:2])  # max_words pairs at most
     cache: dict = {}
 
@@ -293,7 +293,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 5, max_w
 
     def rewrite(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.Table.from_batches([], schema=_RESULT)
+            return beside(pa.Table.from_batches([], schema=_RESULT), left)
         table, back = group(left)
         lines = Lines(table.column("text"), min_words)
         gone = np.ones(len(lines.first), bool)
@@ -316,10 +316,10 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 5, max_w
             "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(np.diff(cuts).astype(np.int64)),
             "kept_sha256": pa.array([hashlib.sha256((x or "").encode()).hexdigest() for x in kept], pa.string()), "kept": pa.array(kept, pa.string()),
         })
-        return result.take(pa.array(back))
+        return beside(result.take(pa.array(back)), left)
 
     verdicts = held.filter("kind = 2").unionByName(matched)
-    return rows.groupBy("g").cogroup(verdicts.groupBy("route")).applyInArrow(rewrite, "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string")
+    return rows.groupBy("g").cogroup(verdicts.groupBy("route")).applyInArrow(rewrite, "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string" + beside_schema(docs, keep))
 
 
 def _code(line: np.ndarray) -> np.ndarray:

@@ -43,7 +43,8 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, with_i
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, asked for, ids.
 
     The vocabulary of ``path`` must drop white space (its tokens never cross
-    it), as word-end vocabularies do; texts are then encoded word by word.
+    it) and lower-case letters, as word-end vocabularies do; texts are then
+    encoded word by word.
     """
 
     def run(batches):
@@ -51,7 +52,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, with_i
         end = np.array([end_id], "<u4").tobytes()
         for table in gathered(batches):
             texts = table.column("text").fill_null("").to_pylist()
-            cut = [[w for w in x.replace("\n", " ").split(" ") if w] for x in texts]
+            cut = [[w for w in x.encode().lower().decode().replace("\n", " ").split(" ") if w] for x in texts]
             rows = []
             for doc, ids in zip(table.column("doc_id").to_pylist(), encode_pieces(made, known, cut), strict=True):
                 ids += end

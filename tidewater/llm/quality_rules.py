@@ -29,11 +29,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 BINS = 24
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_chars, n_upper, n_other, n_lines, n_distinct."""
-    step = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """row (all columns of docs as a struct), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_chars, n_upper, n_other, n_lines, n_distinct."""
+    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     step = step.select(
-        "doc_id",
+        "row",
         "text",
         F.array_remove(F.split("text", SPACES), "").alias("w"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
@@ -42,7 +42,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     windows = F.when(F.size("w") > 2, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(at("w", i), at("w", i + 1), at("w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     gone = lambda pattern: (F.length("text") - F.length(F.regexp_replace("text", pattern, ""))).cast("bigint")
     step = step.select(
-        "doc_id",
+        "row",
         F.size("w").cast("bigint").alias("n_words"),
         F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         gone(r"[#*$%&|<>]+").alias("n_symbols"),
@@ -61,7 +61,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(i, a["to"])).alias("n"), (i + 3).alias("to")),
         lambda a: a["n"].cast("bigint"),
     )
-    return step.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_chars", "n_upper", "n_other", "n_lines", "n_distinct")
+    return step.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_chars", "n_upper", "n_other", "n_lines", "n_distinct")
 
 
 def base_failed() -> Column:
@@ -116,12 +116,11 @@ def _gain(p1: int, n1: int, p0: int, n0: int) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else 0.0
 
 
-def learn(rows: DataFrame, id_col: str = "doc_id", label: str = "good", max_rules: int = 10, max_literals: int = 3, least_right: float = 0.9, least_covered: int = 5, max_rows: int = 50_000) -> list[Rule]:
-    """The decision list for rows with the counts of ``features`` and a boolean label (null: not used)."""
+def learn(rows: DataFrame, label: str = "good", max_rules: int = 10, max_literals: int = 3, least_right: float = 0.9, least_covered: int = 5) -> list[Rule]:
+    """The decision list for rows with the counts of ``features``, a boolean label and ``_h``, a hash that deals the rows to growing and pruning."""
     of = measures()
     names = list(of)
-    rows = rows.filter(F.col(label).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("_h"), F.col(label).alias("good"), *[c.alias(n) for n, c in of.items()])
-    rows = checkpointed(rows.orderBy("_h", *names, "good").limit(max_rows).select("good", F.pmod("_h", F.lit(3)).alias("fold"), *names))
+    rows = checkpointed(rows.select(F.col(label).alias("good"), F.pmod("_h", F.lit(3)).alias("fold"), *[c.alias(n) for n, c in of.items()]))
     edges = rows.agg(*[F.array_sort(F.array_distinct(F.percentile(n, F.array(*[F.lit(k / BINS) for k in range(BINS)])))).alias(n) for n in names]).first().asDict()
     if not edges or edges[names[0]] is None:
         return []
@@ -171,14 +170,24 @@ def learn(rows: DataFrame, id_col: str = "doc_id", label: str = "good", max_rule
     return rules
 
 
-def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The counts of every document with base_failed and kept.
+def judge(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, **options) -> DataFrame:
+    """features of every row of docs with base_failed and kept, in one pass without an exchange.
 
     labels: doc_id and a 0/1 column quality; of several labels of one id the
-    least counts.
+    least counts.  Rules are learned from the rows of at most max_rows labelled
+    ids, those with the smallest hashes.
     """
-    counted = checkpointed(features(docs).withColumn("base_failed", base_failed()))
-    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("_q"))
-    rows = counted.filter(~F.col("base_failed")).join(marks, "doc_id").withColumn("good", F.col("_q") == 1)
-    rules = learn(rows, **options)
-    return counted.withColumn("kept", ~F.col("base_failed") & verdict(rules, measures()))
+    marks = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"))
+    marks = F.broadcast(marks.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h").limit(max_rows))  # max_rows small rows at most
+    counted = checkpointed(features(docs.select("doc_id", "text").join(marks, "doc_id")).withColumn("good", F.col("row._q") == 1).withColumn("_h", F.col("row._h")).drop("row"))
+    rules = learn(counted.filter(~base_failed()), **options)
+    return features(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules, measures()))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are kept, with their columns.
+
+    Rows leave by inline(), not by a filter, which the optimizer would push
+    below the projections and so count everything again for each use.
+    """
+    return judge(docs, labels, **options).selectExpr("inline(IF(kept, array(row), array()))")

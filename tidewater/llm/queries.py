@@ -21,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality_rules.judge(documents(spark, sf_dir), labels)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

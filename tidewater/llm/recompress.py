@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Words, exchanged, gathered, mix, packed, routes, run_hashes, shuffle_partitions, unpacked
+from .common import PACKED, Words, beside, beside_schema, exchanged, gathered, mix, packed, routes, run_hashes, shuffle_partitions, unpacked
 
 ROUNDS = 3
 REVEAL = 6
@@ -63,11 +63,11 @@ def keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return (mix(name ^ content[start]) if len(start) else name), start
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Words of every document without those of windows that start earlier elsewhere.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept (the words left,
-    joined by single spaces).  Earlier means a smaller doc_id, or the same
+    joined by single spaces), then the columns of ``keep``.  Earlier means a smaller doc_id, or the same
     document and an earlier start.
     """
     if window < 20:
@@ -75,8 +75,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     groups = 2 * parts
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("k", F.xxhash64("text").alias("t"), "text").withColumn("g", F.pmod(F.xxhash64("k", "t"), F.lit(groups)).cast("int"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("k"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)])
+    rows = rows.select("k", F.xxhash64("text").alias("t"), *[c for c in rows.columns if c != "k"]).withColumn("g", F.pmod(F.xxhash64("k", "t"), F.lit(groups)).cast("int"))
 
     def reveal(batches):
         for table in gathered(batches):
@@ -91,11 +91,11 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
             twice = np.add.reduceat(np.ones(len(key), np.int64), np.flatnonzero(new)) > 1
             key, owner = key[new], owner[new]
-            k, t, g = (table.column(c).to_numpy()[owner] for c in ("k", "t", "g"))
-            yield from packed(0, routes(key, parts), key, k, t, g.astype(np.int32), twice.view(np.uint8))
+            k, g = (table.column(c).to_numpy()[owner] for c in ("k", "g"))
+            yield from packed(0, routes(key, parts), key, k, g.astype(np.int32), twice.view(np.uint8))
 
     def shared(batches):
-        key, k, t, g, twice = unpacked(batches, {0: ["u8", "i8", "i8", "i4", "u1"]})[0]
+        key, k, g, twice = unpacked(batches, {0: ["u8", "i8", "i4", "u1"]})[0]
         order = np.argsort(key, kind="stable")
         key = key[order]
         many = np.zeros(len(key), bool)
@@ -104,7 +104,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         many[:-1] |= same
         many |= twice[order].astype(bool)
         own = order[many]
-        yield from packed(1, g[own], key[many], k[own], t[own])
+        yield from packed(1, g[own], key[many], k[own])
 
     def sorted_group(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
         """The group's distinct documents in order of (k, t)."""
@@ -120,18 +120,14 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         out = []
         if left.num_rows and right.num_rows:
             table, _ = sorted_group(left.combine_chunks())
-            asked, k, t = unpacked(right.to_batches(), {1: ["u8", "i8", "i8"]})[1]
-            own_k, own_t = table.column("k").to_numpy(), table.column("t").to_numpy()
+            asked, k = unpacked(right.to_batches(), {1: ["u8", "i8"]})[1]
+            wanted = np.unique(mix(asked ^ mix(k.view(np.uint64))))
+            own_k = table.column("k").to_numpy()
             g = table.column("g")[0].as_py()
-            address = {x: i for i, x in enumerate(zip(own_k.tolist(), own_t.tolist(), strict=True))}
-            pairs = np.column_stack([k, t])
-            cut = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(1)))
-            index = np.repeat([address[x] for x in zip(k[cut].tolist(), t[cut].tolist(), strict=True)], np.diff(np.append(cut, len(k))))
-            wanted = np.unique(mix(asked ^ mix(index.astype(np.uint64))))
             words = Words(table.column("text"))
             key, start = keys(words)
             owner = words.owner()
-            code = mix(key ^ mix(owner[start].astype(np.uint64)))
+            code = mix(key ^ mix(own_k.view(np.uint64)[owner[start]]))
             at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
             start = start[wanted[at] == code]
             first, last = words.first[:-1][owner[start]], words.first[1:][owner[start]] - window
@@ -165,7 +161,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.Table.from_batches([], schema=_RESULT)
+            return beside(pa.Table.from_batches([], schema=_RESULT), left)
         table, back = sorted_group(left.combine_chunks())
         index, place = unpacked(right.to_batches(), {3: ["i4", "i4"]})[3]
         order = np.argsort(index, kind="stable")
@@ -191,13 +187,13 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()),
             "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(joined, pa.binary()).cast(pa.string()),
         })
-        return result.take(pa.array(back))
+        return beside(result.take(pa.array(back)), left)
 
     by_doc = rows.groupBy("g")
-    revealed = exchanged(rows.mapInArrow(reveal, PACKED)).mapInArrow(shared, PACKED)
+    revealed = exchanged(rows.select("k", "text", "g").mapInArrow(reveal, PACKED)).mapInArrow(shared, PACKED)
     candidates = by_doc.cogroup(revealed.groupBy("route")).applyInArrow(windows, PACKED)
     repeats = exchanged(candidates).mapInArrow(later, PACKED)
-    return by_doc.cogroup(repeats.groupBy("route")).applyInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return by_doc.cogroup(repeats.groupBy("route")).applyInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string" + beside_schema(docs, keep))
 
 
 _SCHEMA = pa.schema([("route", pa.int32()), ("kind", pa.int32()), *[(f"c{k}", pa.binary()) for k in range(6)]])
