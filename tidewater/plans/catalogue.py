@@ -37,7 +37,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import q_core, q_data, q_factors, q_rolling, q_text  # noqa: F401  each registers its queries
+    from . import q_core, q_data, q_factors, q_ledger, q_rolling, q_series, q_text  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
