@@ -191,6 +191,8 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 5, max_w
             todo = np.flatnonzero(np.arange(len(token)) > begin)
             if only:
                 todo = todo[np.isin(_code(line[todo]), _code(found[8][0]))]
+            if not len(todo):
+                return
             fan = todo - begin[todo]
             done = np.zeros(len(todo), np.int64)  # candidates found
             seen = np.zeros(len(todo), np.int64)  # earlier lines looked at
