@@ -64,19 +64,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as files in the cluster's shared checkpoint folder; its lineage ends there.
 
-    The exchanges that led to it aren't needed any more; a collection of the
-    driver's garbage lets Spark's cleaner remove their files now, not at some
-    later time.
+    Exchanges that led to earlier checkpoints aren't needed any more.  A
+    collection of the driver's garbage lets Spark's cleaner remove their files
+    before this one writes its own, not at some later time.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(configured or "/tmp/checkpoints/tidewater")
-    made = df.checkpoint(eager=True)
-    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return made
+    return df.checkpoint(eager=True)
 
 
 class Words:
