@@ -1026,3 +1026,106 @@ def bettiseries(x, window: int = 40, stride: int = 20, dim: int = 1, embedding_d
             pairs = persistence(embed(part, embedding_dim, delay), dim)[dim]
             out[end - 1] = np.count_nonzero(pairs[:, 1] - pairs[:, 0] >= min_persistence) if len(pairs) else 0
     return out
+
+
+# -- scans over feature libraries -----------------------------------------------------------
+
+
+def polynomial(X: np.ndarray, degree: int = 2) -> np.ndarray:
+    """Products of up to ``degree`` columns, without the constant."""
+    from itertools import combinations_with_replacement
+
+    return np.column_stack([np.prod(X[:, list(c)], 1) for d in range(1, degree + 1) for c in combinations_with_replacement(range(X.shape[1]), d)])
+
+
+def symbolicscan(X: np.ndarray, y: np.ndarray, degree: int = 2) -> dict:
+    return lasso(polynomial(X, degree), y)
+
+
+def boosted(X: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.1):
+    """Least-squares boosting of stumps over quantile thresholds; returns a predictor."""
+    base, fit, stumps = y.mean(), np.full(len(y), y.mean()), []
+    cuts = np.quantile(X, np.arange(1, 16) / 16, axis=0)
+    above = X[:, None, :] > cuts[None]
+    n1 = above.sum(0)
+    n0 = len(y) - n1
+    for _ in range(rounds):
+        r = y - fit
+        s1 = np.einsum("i,icj->cj", r, above)
+        gain = s1**2 / np.maximum(n1, 1) + (r.sum() - s1) ** 2 / np.maximum(n0, 1)
+        c, j = np.unravel_index(np.argmax(gain), gain.shape)
+        left, right = (r.sum() - s1[c, j]) / max(n0[c, j], 1), s1[c, j] / max(n1[c, j], 1)
+        stumps.append((j, cuts[c, j], rate * left, rate * right))
+        fit = fit + np.where(above[:, c, j], rate * right, rate * left)
+    return lambda Z: base + sum(np.where(Z[:, j] > t, b, a) for j, t, a, b in stumps)
+
+
+def out_of_fold_r2(X: np.ndarray, y: np.ndarray, make, folds: int = 5) -> float:
+    """R squared of predictions for contiguous folds by models of the others."""
+    guess = np.empty(len(y))
+    for part in np.array_split(np.arange(len(y)), folds):
+        guess[part] = make(np.delete(X, part, 0), np.delete(y, part))(X[part])
+    return float(1 - ((y - guess) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+
+
+def linear(X: np.ndarray, y: np.ndarray):
+    beta = np.linalg.lstsq(np.column_stack([X, np.ones(len(X))]), y, rcond=None)[0]
+    return lambda Z: np.column_stack([Z, np.ones(len(Z))]) @ beta
+
+
+def ridge(X: np.ndarray, y: np.ndarray, alpha: float = 1.0):
+    m, c = X.mean(0), y.mean()
+    beta = np.linalg.solve((X - m).T @ (X - m) + alpha * np.eye(X.shape[1]), (X - m).T @ (y - c))
+    return lambda Z: (Z - m) @ beta + c
+
+
+def kernel_mean(X: np.ndarray, y: np.ndarray):
+    """Joint model: the mean of y given X under a Gaussian kernel density of both."""
+    scale = X.std(0) * len(X) ** (-1 / (X.shape[1] + 4)) + 1e-12
+
+    def predict(Z):
+        w = np.exp(-0.5 * (((Z[:, None, :] - X[None]) / scale) ** 2).sum(2)) + 1e-300
+        return w @ y / w.sum(1)
+
+    return predict
+
+
+def pinnscan(X: np.ndarray, y: np.ndarray, n_perms: int = 20, seed: int = 0) -> dict[str, float]:
+    """Out-of-fold R squared of boosting and its permutation p."""
+    rng = np.random.default_rng(seed)
+    real = out_of_fold_r2(X, y, boosted)
+    hits = sum(out_of_fold_r2(X, rng.permutation(y), boosted) >= real for _ in range(n_perms))
+    return {"r2": real, "p": (hits + 1) / (n_perms + 1)}
+
+
+def belltest(X: np.ndarray, y: np.ndarray) -> dict[str, float]:
+    """Whether a joint model beats every single feature, linear, ridge and boosted model out of fold."""
+    single = max(out_of_fold_r2(X[:, [j]], y, linear) for j in range(X.shape[1]))
+    best = max(single, *(out_of_fold_r2(X, y, m) for m in (linear, ridge, boosted)))
+    joint = out_of_fold_r2(X, y, kernel_mean)
+    return {"best_classical": best, "joint": joint, "violation": float(joint > best)}
+
+
+def mcs(returns: np.ndarray, alpha: float = 0.05, n_boot: int = 200, seed: int = 0) -> dict[str, float]:
+    """Drops the worst of the strategies while it tests worse than the best; how many are left and the last p."""
+    left, p = list(range(returns.shape[1])), 1.0
+    while len(left) > 1:
+        mean = returns[:, left].mean(0)
+        worst, best = left[int(mean.argmin())], left[int(mean.argmax())]
+        p = spa((returns[:, best] - returns[:, worst])[:, None], n_boot, seed=seed)["p"]
+        if p > alpha:
+            break
+        left.remove(worst)
+    return {"left": float(len(left)), "p": p}
+
+
+def haar(x, n_scales: int = 5) -> list[np.ndarray]:
+    """Details by scale, finest first, then the rest; odd ends are dropped."""
+    out, level = [], np.asarray(x, float)
+    for _ in range(n_scales):
+        level = level[: len(level) // 2 * 2]
+        if len(level) < 2:
+            break
+        out.append((level[0::2] - level[1::2]) / math.sqrt(2))
+        level = (level[0::2] + level[1::2]) / math.sqrt(2)
+    return [*out, level]

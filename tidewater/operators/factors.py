@@ -152,3 +152,15 @@ def dispersioncollapse(panel: DataFrame, t: str, r: str, window: int = 63, quant
     staged = daily.withColumn("_q", F.when(F.count(F.lit(1)).over(trailing) == window, F.percentile("dispersion", F.lit(quantile)).over(trailing)))
     low = F.coalesce((F.col("dispersion") < F.col("_q")).cast("int"), F.lit(0))
     return staged.withColumn("_low", low).withColumn("collapsed", F.sum("_low").over(over.rowsBetween(1 - n_consecutive, 0)) == n_consecutive).drop("_q", "_low")
+
+
+def accelerationscan(df: DataFrame, key: str, t: str, x: str, smoothings: list[int]) -> DataFrame:
+    """Correlation by key of x and its second difference, smoothed by centred means (which look ahead): key, smoothing, corr, n."""
+    over = Window.partitionBy(key).orderBy(t)
+    base = df.withColumn("_a", F.col(x) - 2 * F.lag(x).over(over) + F.lag(x, 2).over(over))
+    means = []
+    for w in smoothings:
+        frame = over.rowsBetween(-(w // 2), w // 2)
+        means.append(F.struct(F.lit(w).alias("smoothing"), F.when(F.count("_a").over(frame) == 2 * (w // 2) + 1, F.avg("_a").over(frame)).alias("a")))
+    long = base.select(key, x, *[m.alias(f"_m{i}") for i, m in enumerate(means)]).select(key, x, F.inline(F.array(*[F.col(f"_m{i}") for i in range(len(means))])))
+    return long.filter("a IS NOT NULL").groupBy(key, "smoothing").agg(F.corr("a", x).alias("corr"), F.count("*").alias("n"))

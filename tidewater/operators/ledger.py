@@ -91,6 +91,41 @@ def execute_fills(orders: DataFrame, adv: DataFrame, symbol: str, day: str, mode
     return staged.withColumn("cost", F.abs("filled") * F.col("fill_price")).drop("_found")
 
 
+def submit(fills: DataFrame, kind: str) -> DataFrame:
+    """fills with the order's status; only MARKET orders are taken."""
+    reason = F.col("reason")
+    status = F.when(F.col(kind) != "MARKET", "REJECTED").when(reason == "OK", "FILLED").when(reason == "CAPPED_PARTICIPATION", "PARTIAL").otherwise("REJECTED")
+    return fills.withColumn("status", status)
+
+
+class Warmup:
+    """Named indicators over a price table, computed together in one pass per window.
+
+    add(name, build) takes a function from the window of a key to a Column;
+    membership() and materialize() give DataFrames, so looking an indicator up
+    is a filter or a join.
+    """
+
+    def __init__(self, prices: DataFrame, key: str, order: str):
+        self.prices, self.key, self.order, self.builders = prices, key, order, {}
+
+    def add(self, name: str, build) -> "Warmup":
+        if name in self.builders or name in self.prices.columns:
+            raise ValueError(f"{name} is there already")
+        self.builders[name] = build
+        return self
+
+    def materialize(self, keep: bool = False) -> DataFrame:
+        """prices with all indicators; keep holds them in memory and on disk for lookups."""
+        by = Window.partitionBy(self.key).orderBy(self.order)
+        made = self.prices.select("*", *[b(by).alias(n) for n, b in self.builders.items()])
+        return made.persist() if keep else made
+
+    def universe(self, members: DataFrame) -> DataFrame:
+        """prices of the members (key, order) only."""
+        return self.prices.join(members.select(self.key, self.order).distinct(), [self.key, self.order], "left_semi")
+
+
 def liquidity_mask(rows: DataFrame, adv: DataFrame, symbol: str, day: str, min_adv: float = 0.0) -> DataFrame:
     """rows with liquid: there is a finite volume above min_adv for the day."""
     joined = rows.join(adv.select(symbol, day, "adv"), [symbol, day], "left")

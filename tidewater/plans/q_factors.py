@@ -114,3 +114,4 @@ _NW = "ft AS (SELECT regr_slope(a, b) AS be, regr_intercept(a, b) AS al FROM bot
 register("neweywestse", lambda v: M.neweywestse(v.both, "d", "a", "b", 2), _after(with_views("##SELECT round(al, 6) AS alpha, round(be, 6) AS beta, round(sqrt((sxx * sxx * ee - 2 * sx * sxx * ev + sx * sx * vv) / pow(n * sxx - sx * sx, 2)), 6) AS se_alpha, round(sqrt((sx * sx * ee - 2 * n * sx * ev + n * n * vv) / pow(n * sxx - sx * sx, 2)), 6) AS se_beta FROM sm, ft", "both"), _NW))
 register("iv", lambda v: M.iv(v.both.withColumn("z", F.col("b") + F.dayofyear("d") / 1000), "a", "b", "z").withColumn("first_stage_f", F.round("first_stage_f", 2)), with_views("SELECT round(be, 6) AS beta, round(my - be * mx, 6) AS alpha, round(rho * rho * (n - 2) / (1 - rho * rho), 2) AS first_stage_f, n FROM (SELECT covar_samp(z, a) / covar_samp(z, b) AS be, avg(a) AS my, avg(b) AS mx, corr(z, b) AS rho, count(*) AS n FROM (SELECT *, b + dayofyear(d) / 1000 AS z FROM both_))", "both"))
 register("rdd", lambda v: M.rdd(v.px.select(F.dayofyear("d").cast("double").alias("k"), "x"), "k", "x", 180.0).select("effect", "left", "right_level", "bandwidth"), with_views("SELECT round(max(lv) FILTER (rt) - max(lv) FILTER (NOT rt), 4) AS effect, round(max(lv) FILTER (NOT rt), 4) AS \"left\", round(max(lv) FILTER (rt), 4) AS right_level, round(max(h), 4) AS bandwidth FROM (SELECT rt, any_value(h) AS h, (sum(w * c * c) * sum(w * x) - sum(w * c) * sum(w * c * x)) / (sum(w) * sum(w * c * c) - pow(sum(w * c), 2)) AS lv FROM (SELECT *, 1 - abs(c) / h AS w, c >= 0 AS rt FROM (SELECT x, dayofyear(d) - 180 AS c, h FROM px, (SELECT 1.5::DOUBLE * stddev_samp(dayofyear(d)) * pow(count(*), -0.2::DOUBLE) AS h FROM px))) WHERE w > 0 GROUP BY rt)", "px"), 4)
+register("accelerationscan", lambda v: A.accelerationscan(v.px, "s", "d", "x", [1, 5]), with_views("SELECT s, k AS smoothing, round(corr(a, x), 6) AS corr, count(a) AS n FROM (SELECT s, x, 1 AS k, a FROM ac UNION ALL SELECT s, x, 5, CASE WHEN count(a) OVER w = 5 THEN avg(a) OVER w END FROM ac WINDOW w AS (PARTITION BY s ORDER BY d ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) WHERE a IS NOT NULL GROUP BY s, k", "px").replace(" SELECT s, k AS", ", ac AS (SELECT s, d, x, x - 2 * lag(x) OVER (PARTITION BY s ORDER BY d) + lag(x, 2) OVER (PARTITION BY s ORDER BY d) AS a FROM px) SELECT s, k AS", 1))

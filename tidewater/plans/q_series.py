@@ -102,3 +102,9 @@ register("decoherencescan", lambda v: S.walk_forward(v.both.withColumn("s", F.li
 register("zenoscan", lambda v: S.walk_forward(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], ["b"], "a", S.linear_fit, S.linear_predict, 250, 5).filter("NOT isnan(prediction)").agg(F.avg(F.pow(F.col("prediction") - F.col("truth"), 2)).alias("mse_5"), F.count("*").alias("n")))
 register("nocloningscan", lambda v: S.resampled(v.spark, 8, lambda seed: {"metric": float(np.random.default_rng(seed).standard_normal(500).mean())}, ("metric",)))
 register("bootstrap_ic", lambda v: S.per_series(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], ["a", "b"], lambda a, b: (lambda c: {"low": float(np.quantile(c, 0.025)), "high": float(np.quantile(c, 0.975))})([np.corrcoef(a[i], b[i])[0, 1] for i in (K.stationary_bootstrap(len(a), 5.0, np.random.default_rng(k)) for k in range(300))]), ("low", "high")))
+
+_two("symbolicscan", lambda a, b: (lambda m: {"alpha": m["alpha"], "w0": m["weights"][0], "w1": m["weights"][1]})(K.symbolicscan(b[:, None], a)), ("alpha", "w0", "w1"))
+_two("pinnscan", lambda a, b: K.pinnscan(np.column_stack([b, np.roll(b, 1)]), a), ("r2", "p"))
+_two("belltest", lambda a, b: K.belltest(np.column_stack([b, np.roll(b, 1)]), a), ("best_classical", "joint", "violation"))
+_two("mcs_test", lambda a, b: K.mcs(np.column_stack([a, b])), ("left", "p"))
+_one("wavelet", lambda x: {f"energy_{k}": float((d * d).sum()) for k, d in enumerate(K.haar(x))}, tuple(f"energy_{k}" for k in range(6)))
