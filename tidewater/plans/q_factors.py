@@ -77,7 +77,7 @@ register("drawdown_series", lambda v: M.drawdowns(v.px, by_series(), "x").select
 register("drawdown", lambda v: M.drawdown(v.px, "s", "d", "x"), _after(with_views("##SELECT t.s, round(t.dd, 6) AS max_dd, min(CASE WHEN p.x = t.peak AND p.d <= t.d THEN p.d END) AS peak_t, t.d AS trough_t, coalesce(max(p.d > t.d AND p.x >= t.peak), false) AS recovered FROM (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY s ORDER BY dd, d) = 1) t JOIN px p ON p.s = t.s GROUP BY t.s, t.dd, t.d, t.peak", "px"), _DD))
 register("drawdown_table", lambda v: M.drawdown_table(v.px, "s", "d", "x").withColumn("rank", F.col("rank").cast("long")), _after(with_views("##SELECT s, peak_t, trough_t, recovery_t, round(depth, 6) AS depth, rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY depth, peak_t) AS rank FROM (SELECT s, id, min(d) AS peak_t, arg_min(d, (dd, d)) AS trough_t, arg_max_null(nx, d) AS recovery_t, min(dd) AS depth FROM (SELECT *, sum((dd >= 0)::INT) OVER (PARTITION BY s ORDER BY d ROWS UNBOUNDED PRECEDING) AS id, lead(d) OVER (PARTITION BY s ORDER BY d) AS nx FROM dd) GROUP BY s, id HAVING min(dd) < 0)) WHERE rank <= 5", "px"), _DD))
 register("ulcer_index", lambda v: M.ulcer_index(v.px, "s", "d", "x"), _after(with_views("##SELECT s, round(sqrt(avg(pow(100 * dd, 2))), 6) AS ulcer, round(100 * avg(g) / sqrt(avg(pow(100 * dd, 2))), 6) AS upi FROM (SELECT *, ln(x / lag(x) OVER (PARTITION BY s ORDER BY d)) AS g FROM dd) GROUP BY s", "px"), _DD))
-register("contribution", lambda v: M.contribution(v.panel.withColumn("g", F.col("name") % 4), "name", "t", "g", "f", "fwd").select("level", "asset", "bar", "grp", "pnl"), with_views("SELECT CASE WHEN grouping(name) = 0 THEN 'asset' WHEN grouping(t) = 0 THEN 'bar' WHEN grouping(g) = 0 THEN 'group' ELSE 'total' END AS level, name AS asset, t AS bar, g AS grp, round(sum(coalesce(f * CASE WHEN isfinite(fwd) THEN fwd END, 0)), 3) AS pnl FROM (SELECT *, name % 4 AS g FROM panel) GROUP BY GROUPING SETS ((name), (t), (g), ())", "panel"), 3)
+register("contribution", lambda v: M.contribution(v.panel.withColumn("g", F.col("name") % 4), "name", "t", "g", "f", "fwd").select("level", "asset", "bar", "grp", "pnl"), with_views("SELECT CASE WHEN grouping(name) = 0 THEN 'asset' WHEN grouping(t) = 0 THEN 'bar' WHEN grouping(g) = 0 THEN 'group' ELSE 'total' END AS level, name AS asset, t AS bar, g AS grp, round(sum(coalesce(f * CASE WHEN isfinite(fwd) THEN fwd END, 0)), 8) AS pnl FROM (SELECT *, name % 4 AS g FROM panel) GROUP BY GROUPING SETS ((name), (t), (g), ())", "panel"), 8)
 
 # -- bars ----------------------------------------------------------------------
 for _name, _col, _sql in (
