@@ -154,7 +154,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 5, max_w
         lines = Lines(table.column("text"), min_words)
         own = firsts(table, right, lines)
         token, owner = lines.sets(own)
-        order = np.lexsort((token, frequency(token), owner))
+        order = np.argsort(owner << 32 | np.minimum(frequency(token), 2**32 - 1), kind="stable")  # members ascend within a line
         token, owner = token[order], owner[order]
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(owner)))
@@ -183,7 +183,12 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 5, max_w
             token, k, line, sketch, shape = found[3]
             if not len(token):
                 return
-            order = np.lexsort((line["p"], line["d"], line["g"], k, token))
+            order = np.argsort(token)
+            same = token[order][1:] == token[order][:-1]
+            order = order[np.append(same, False) | np.append(False, same)]  # words that several lines offer
+            order = order[np.lexsort((line["p"][order], line["d"][order], line["g"][order], k[order], token[order]))]
+            if not len(order):
+                return
             token, line, sketch, shape = token[order], line[order], sketch[order], shape[order]
             cut = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             begin = np.repeat(cut, np.diff(np.append(cut, len(token))))

@@ -96,7 +96,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
 
     def shared(batches):
         key, k, g, twice = unpacked(batches, {0: ["u8", "i8", "i4", "u1"]})[0]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         many = np.zeros(len(key), bool)
         same = key[1:] == key[:-1]
@@ -145,7 +145,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
 
     def later(batches):
         content, k, index, place, g = unpacked(batches, {2: ["u8", "i8", "i4", "i4", "i4"]})[2]
-        order = np.argsort(content, kind="stable")
+        order = np.argsort(content)
         content = content[order]
         many = np.zeros(len(content), bool)
         same = content[1:] == content[:-1]
@@ -154,7 +154,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
         order = order[many]  # only windows that occur again are put in order
         order = order[np.lexsort((place[order], index[order], g[order], k[order], content[many]))]
         again = np.zeros(len(order), bool)
-        sorted_content = np.sort(content[many], kind="stable")
+        sorted_content = np.sort(content[many])
         again[1:] = sorted_content[1:] == sorted_content[:-1]
         own = order[again]
         yield from packed(3, g[own], index[own], place[own])
