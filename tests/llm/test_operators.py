@@ -136,6 +136,16 @@ def test_ppm(spark, most):
         assert got[i]["score"] == pytest.approx(brute_ppm(train, texts[i] or "", 3))
 
 
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_ppm_counts_every_gram_beyond_the_broadcast_ones(spark, order):
+    texts = corpus(3, 12) + ["ZZ unseen Words", "w1 w2 qq"]
+    got = rows(ppm.score(make(spark, texts), make(spark, texts[:-2]), order=order, max_nodes=40, max_words=5))
+    for i in range(0, len(texts), 4):
+        assert got[i]["score"] == pytest.approx(brute_ppm([t or "" for t in texts[:-2]], texts[i] or "", order))
+    for i in (-2, -1):
+        assert got[len(texts) + i]["score"] == pytest.approx(brute_ppm([t or "" for t in texts[:-2]], texts[i], order))
+
+
 def test_ppm_adapts_and_takes_empty_tables(spark, texts):
     assert ppm.adaptive_bits(b"ab" * 200) < ppm.adaptive_bits(bytes(random.Random(0).choices(range(97, 123), k=400)))
     docs = make(spark, ["aa", None])

@@ -362,11 +362,12 @@ def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-def heads(counts: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+def heads(counts: DataFrame, kind: int, most: int, value: str = "") -> tuple[np.ndarray, np.ndarray, int, int]:
     """Of packed (key, count) items of one kind, distinct by key: the keys of the highest counts.
 
     Returns at most ``most`` keys, ascending (equal counts are all in or all
-    out), their counts, the number of all keys and the sum of all counts.
+    out), their counts (or, if ``value`` is a numpy type, the items' third column),
+    the number of all keys and the sum of all counts.
     """
 
     def histogram(batches):
@@ -383,14 +384,14 @@ def heads(counts: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarr
         held, least = held - r["many"], r["value"] + 1
 
     def head(batches):
-        for _, (keys, n) in unpacked(batches, {kind: ["u8", "i8"]}).items():
+        for _, (keys, n, *more) in unpacked(batches, {kind: ["u8", "i8", *([value] if value else [])]}).items():
             own = n >= least
             if own.any():
-                yield pa.RecordBatch.from_pydict({"k": [keys[own].tobytes()], "n": [n[own].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"k": [keys[own].tobytes()], "n": [[n, *more][-1][own].tobytes()]})
 
     got = counts.mapInArrow(head, "k binary, n binary").toArrow().to_pylist()
     keys = np.frombuffer(b"".join(r["k"] for r in got), "u8")
-    n = np.frombuffer(b"".join(r["n"] for r in got), "i8")
+    n = np.frombuffer(b"".join(r["n"] for r in got), value or "i8")
     order = np.argsort(keys)
     return keys[order], n[order], sum(r["many"] for r in rows), sum(r["sum"] for r in rows)
 

@@ -7,10 +7,13 @@ total), and symbols of longer contexts are excluded from the shorter ones.
 Texts end with a symbol of their own, 0xFF, which UTF-8 lacks, and begin in a
 context of the same.
 
-``train`` counts over all given documents; the counts of the longest contexts
-are exchanged packed and the shorter ones follow from them.  If there are more
-than ``max_nodes`` of them, those of least count are pruned, whole counts at a
-time, so that the broadcast model has a bound; nothing is pruned below it.
+Counts are taken over all given documents, exchanged packed by the nearest
+three bytes of context and kept in those partitions, so that one of them holds
+all that contexts of three bytes or more need; shorter ones, of which there are
+256 ** 3 symbols at most, are broadcast, counted from everything.  The
+probabilities of the ``max_nodes`` most frequent symbols in their longest
+contexts are broadcast too; all others, and unseen ones, meet the partitions'
+counts in an exchange.  Nothing is pruned.
 ``score`` uses the trained model; ``adaptive_bits`` starts from an empty trie
 and learns from the text itself.
 
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import PACKED, Index, Tally, Words, checkpointed, exchanged, gathered, heads, held_out, mix, packed, routes, shuffle_partitions, summed, text_bytes, unpacked
 
 END = 0xFF
+#: Bytes of context by which gram counts are dealt to partitions.
+NEAR = 3
 #: The hash of the end token of the word model.
 END_WORD = mix(np.array([0xE0F], np.uint64))[0]
 
@@ -52,15 +57,25 @@ def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[np.arange(int(counts.sum())) + first], np.repeat(np.arange(n), counts)
 
 
+def near(keys: np.ndarray, order: int) -> np.ndarray:
+    """The bytes of context that name the partition of each gram's counts."""
+    return keys >> np.uint64(8) & np.uint64((1 << 8 * min(NEAR, order)) - 1)
+
+
 class Model:
-    """Log10 probabilities from counts of (context, symbol) of the longest contexts."""
+    """Log10 probabilities from counts of (context, symbol) of the longest contexts.
+
+    ``keys`` may be those of some near() contexts if ``short`` has the counts,
+    over everything, of the grams one byte shorter than those.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, short: tuple[np.ndarray, np.ndarray] | None = None):
         self.order = order
         self.entries: list[tuple[np.ndarray, np.ndarray]] = []  # by order: keys, counts
         for k in range(order + 1):
             mask = np.uint64((1 << 8 * (k + 1)) - 1)
-            self.entries.append(summed(keys & mask, counts))
+            own, n = (keys, counts) if short is None or k >= min(NEAR, order) else short
+            self.entries.append(summed(own & mask, n))
         self.contexts, self.total, self.kinds = [], [], []
         for k, (e, c) in enumerate(self.entries):
             ctx, first = np.unique(e >> np.uint64(8), return_index=True)
@@ -153,9 +168,12 @@ def adaptive_bits(text: bytes, order: int = 4) -> float:
 
 
 def _counts(docs: DataFrame, order: int) -> DataFrame:
-    """Kind 0: counts of grams; kind 1: counts of words, both by route; of the texts of ``docs``."""
+    """Kind 0: counts of grams and log10 of their share in their longest context, by near(); kind 1: counts of words; of the texts of ``docs``."""
     parts = shuffle_partitions(docs.sparkSession)
 
+    def place(kind: int, keys: np.ndarray) -> np.ndarray:
+        return routes(mix(keys if kind else near(keys, order)), parts)
+
     def count(batches):
         g, w = Tally(), Tally()
         for table in gathered(batches):
@@ -165,12 +183,17 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
             w.add(np.array([END_WORD]), np.array([table.num_rows]))
         for kind, tally in enumerate((g, w)):
             keys, counts = tally.result()
-            yield from packed(kind, routes(mix(keys), parts), keys, counts)
+            yield from packed(kind, place(kind, keys), keys, counts)
 
     def add(batches):
         for kind, (keys, counts) in unpacked(batches, {0: ["u8", "i8"], 1: ["u8", "i8"]}).items():
             keys, counts = summed(keys, counts)
-            yield from packed(kind, routes(mix(keys), parts), keys, counts)
+            more = []
+            if not kind and len(keys):
+                first = np.flatnonzero(np.append(True, keys[1:] >> np.uint64(8) != keys[:-1] >> np.uint64(8)))
+                kinds = np.diff(np.append(first, len(keys)))
+                more = [np.log10(counts) - np.repeat(np.log10(np.add.reduceat(counts, first) + kinds), kinds)]
+            yield from packed(kind, place(kind, keys), keys, counts, *more)
 
     return exchanged(docs.select("text").mapInArrow(count, PACKED)).mapInArrow(add, PACKED)
 
@@ -179,31 +202,45 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, max_nodes: int =
     """Each row of docs with its word model's and byte model's figures.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
-    Words among the ``max_words`` most frequent are looked up in a broadcast
-    table; all others meet their counts in an exchange.
+    Words among the ``max_words`` most frequent and grams among the ``max_nodes``
+    most frequent are looked up in a broadcast table; all others meet their
+    counts in an exchange.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     counts = checkpointed(_counts(training, order))
-    keys, n, _, _ = heads(counts, 0, max_nodes)
+    keys, chance, _, _ = heads(counts, 0, max_nodes, value="f8")
     words, word_n, kinds, tokens = heads(counts, 1, max_words)
-    shared = spark.sparkContext.broadcast((keys, n, words, word_n))  # at most max_nodes and max_words pairs
+    shared = spark.sparkContext.broadcast((keys, chance, words, word_n))  # at most max_nodes and max_words pairs
+
+    def shorten(batches):
+        mask = np.uint64((1 << 8 * min(NEAR, order)) - 1)
+        k, n = unpacked(batches, {0: ["u8", "i8"]})[0]
+        k, n = summed(k & mask, n)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], names=["k", "n"])
+
+    brief = counts.filter("kind = 0").mapInArrow(shorten, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 256 ** NEAR rows at most
+    short = spark.sparkContext.broadcast(tuple(brief.column(c).to_numpy().astype(t) for c, t in (("k", np.uint64), ("n", np.int64))))
     divisor = tokens + 0.5 * (kinds + 1)
     models: dict[int, tuple] = {}
 
     def model():
         if not models:
             k, c, w, wn = shared.value
-            models[0] = Model(k, c, order), Index(w), wn
+            models[0] = Index(k), c, Index(w), wn
         return models[0]
 
     def measure(batches):
-        ppm, index, wn = model()
+        top, chance, index, wn = model()
         for table in gathered(batches):
             rid, doc = (table.column(c).to_numpy() for c in ("rid", "doc_id"))
             texts = table.column("text")
             g, owner = grams(texts, order)
-            total = np.bincount(owner, ppm.log10(g), len(rid))
+            at = top.find(g)
+            hit = at >= 0
+            total = np.bincount(owner[hit], chance[at[hit]] if hit.any() else None, len(rid))
+            if not hit.all():
+                yield from packed(5, routes(mix(near(g[~hit], order)), parts), g[~hit], rid[owner[~hit]])
             w = Words(texts, lower=True)
             hashes = np.concatenate([w.hash, np.full(len(rid), END_WORD)])
             owner = np.concatenate([w.owner(), np.arange(len(rid))])
@@ -216,12 +253,17 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, max_nodes: int =
                 yield from packed(3, routes(mix(hashes[~hit]), parts), hashes[~hit], rid[owner[~hit]])
 
     def meet(batches):
-        found = unpacked(batches, {1: ["u8", "i8"], 2: ["i8", "i8", "i8", "i8", "f8", "f8"], 3: ["u8", "i8"]})
+        found = unpacked(batches, {0: ["u8", "i8"], 1: ["u8", "i8"], 2: ["i8", "i8", "i8", "i8", "f8", "f8"], 3: ["u8", "i8"], 5: ["u8", "i8"]})
         yield from packed(2, (found[2][0] % parts).astype(np.int32), *found[2])
+        asked, rid = found[5]
+        if len(asked):
+            ids, back = np.unique(rid, return_inverse=True)
+            got = Model(*found[0], order, short.value).log10(asked)
+            yield from packed(6, (ids % parts).astype(np.int32), ids, np.bincount(back, got))
         (keys, n), (asked, rid) = found[1], found[3]
         if len(asked):
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order]
+            ascending = np.argsort(keys)
+            keys, n = keys[ascending], n[ascending]
             at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
             c = np.where(keys[at] == asked, n[at], 0) if len(keys) else np.zeros(len(asked), np.int64)
             ids, back = np.unique(rid, return_inverse=True)
@@ -229,18 +271,21 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, max_nodes: int =
             yield from packed(4, (ids % parts).astype(np.int32), ids, known, base)
 
     def finish(batches):
-        found = unpacked(batches, {2: ["i8", "i8", "i8", "i8", "f8", "f8"], 4: ["i8", "i8", "f8"]})
+        found = unpacked(batches, {2: ["i8", "i8", "i8", "i8", "f8", "f8"], 4: ["i8", "i8", "f8"], 6: ["i8", "f8"]})
         rid, doc, tokens_, known, base, total = found[2]
         order = np.argsort(rid)
         more, k, b = found[4]
         at = order[np.searchsorted(rid[order], more)] if len(more) else np.zeros(0, np.int64)
         known = known + np.bincount(at, k, len(rid)).astype(np.int64)
         base = base + np.bincount(at, b, len(rid))
+        more, t = found[6]
+        at = order[np.searchsorted(rid[order], more)] if len(more) else np.zeros(0, np.int64)
+        total = total + np.bincount(at, t, len(rid))
         absent = doc == np.iinfo(np.int64).min
         yield pa.RecordBatch.from_arrays([pa.array(doc, mask=absent), pa.array(tokens_), pa.array(known), pa.array(np.full(len(rid), tokens, np.int64)), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), "text")
-    met = exchanged(rows.mapInArrow(measure, PACKED).unionByName(counts.filter("kind = 1"))).mapInArrow(meet, PACKED)
+    met = exchanged(rows.mapInArrow(measure, PACKED).unionByName(counts)).mapInArrow(meet, PACKED)
     return exchanged(met).mapInArrow(finish, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
