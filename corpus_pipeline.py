@@ -23,7 +23,7 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that match an earlier one."""
-    return _with_text(line_dedup.remove_matches(docs, keep=("lang", "source")), F.col("kept"))
+    return _with_text(line_dedup.remove_matches(docs, min_words=1, keep=("lang", "source")), F.col("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,6 +268,27 @@ def test_line_dedup(spark):
     assert line_dedup.remove_matches(twice).count() == 3
 
 
+def test_line_dedup_query_and_stage_take_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from tidewater.llm import queries
+
+    texts = corpus(8, 40, 12) + ["one", "w1 w2\nw2 w1\n\nw1 w1 w2", "a b c d", "a b c d\na b c", "A B\nz"]
+    every, whole = [], []
+    for t in texts:
+        kept = []
+        for line in (t or "").split("\n"):
+            w = frozenset(line.encode().lower().split())
+            if not (w and any(100 * len(w & x) >= 80 * len(w | x) for x in every)):
+                kept.append(line)
+            every.append(w)
+        whole.append("\n".join(kept))
+    make(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(queries.op6_line_dedup(spark, str(tmp_path)))
+    assert [got[i]["kept_sha256"] for i in range(len(texts))] == [hashlib.sha256(t.encode()).hexdigest() for t in whole]
+    got = rows(corpus_pipeline.dedup_lines(spark, make(spark, texts), str(tmp_path)))
+    assert [got[i]["text"] or "" for i in range(len(texts))] == whole
+
+
 def shingle_sets(texts):
     out = []
     for t in texts:

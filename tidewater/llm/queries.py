@@ -41,7 +41,7 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_matches(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+    return line_dedup.remove_matches(documents(spark, sf_dir), min_words=1).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
