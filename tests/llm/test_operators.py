@@ -93,6 +93,40 @@ def test_fingerprints_tell_edits_from_other_texts(spark):
     assert [(r["a"], r["b"]) for r in fingerprints.similar(found).collect()] == [(1, 0)]
 
 
+def test_similar_equals_brute_force(spark):
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+
+    def changed(x, many):
+        x = list(x)
+        for k in rng.sample(range(len(x)), min(many, len(x))):
+            x[k] = rng.choice("0123456789abcdef")
+        return "".join(x)[: len(x) - rng.randint(0, len(x) // 10)]
+
+    prints = ["", ""]
+    for n in (1, 2, 3, 4, 6, 9, 17, 33, 65, 300, 900):
+        base = digits(n)
+        prints += [base, base] + [changed(base, rng.randint(0, max(1, n // 5))) for _ in range(8)] + [digits(n)]
+    head = digits(70)
+    twins = [head + digits(330)] + [changed(digits(70) + x[70:], 5) for x in [head + digits(330)] * 6]  # alike but for their beginnings
+    prints += twins + [head + x[70:] for x in twins[1:3]]
+    rng.shuffle(prints)
+    alike = lambda a, b: fingerprints.likeness(prints[a].encode(), prints[b].encode())
+    pairs = [(a, b) for a in range(len(prints)) for b in range(a) if alike(a, b) >= 0.8]
+    found = spark.createDataFrame(list(enumerate(prints)), "doc_id bigint, fingerprint string").repartition(3)
+    got = fingerprints.similar(found).collect()
+    assert all(r["a"] > r["b"] and r["likeness"] == alike(r["a"], r["b"]) >= 0.8 for r in got)
+    assert components(len(prints), [(r["a"], r["b"]) for r in got]) == components(len(prints), pairs)
+
+
+def test_bands_suffice_for_all_lengths():
+    for share in (0.5, 0.8125, 0.9):
+        for n in range(1, 300):
+            for m in range(n, int(n / share + 1e-9) + 1):
+                both = set(fingerprints.band_widths(n, share)) & set(fingerprints.band_widths(m, share))
+                assert any(n // w > int((1 - share) * m + 1e-9) - (m - n) for w in both)
+
+
 def brute_ppm(train, text, order):
     seen = defaultdict(Counter)
     for x in train:

@@ -10,8 +10,8 @@ corrected for chance.
 ``fingerprint`` works on every row alone.  ``with_next`` also looks at the next
 document in descending order of ids: ids are cut into parts at some of their
 own values, a part's first rows go to the part before it as well, and so every
-part has all it needs.  ``similar`` bands sampled digits, links each document to
-the leader of each of its buckets and keeps links that verify.
+part has all it needs.  ``similar`` bands all digits, compares each document with
+the leader of each of its buckets, and with all others where that isn't alike.
 
 Null text counts as empty, whose fingerprint is empty (like another empty one 1,
 like any other 0).  Null ids come last; rows of one id follow the order of their
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, mix, shuffle_partitions
+from .common import checkpointed, gathered, mix, shuffle_partitions
 
 #: One step in so many is sampled.
 SAMPLE = 16
@@ -151,20 +151,39 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("ghost", F.desc("doc_id"), "text").mapInArrow(run, schema)
 
 
-def similar(found: DataFrame, id_col: str = "doc_id", threshold: float = 0.8, bands: int = 24, digits: int = 4) -> DataFrame:
-    """Links (a, b, likeness) between documents whose fingerprints agree in a band of sampled digits and are alike.
+def band_widths(n: int, share: float) -> list[int]:
+    """Widths of the bands of a fingerprint of n digits, for equal digits of at least this share of the longer one.
 
-    Every bucket links its members to its smallest id only, so links grow with
-    the documents; equal fingerprints always link.
+    If a longer fingerprint of m digits has more whole bands of its width than
+    it may have other digits, one band at least is equal in both; a missing
+    digit is another digit and spoils no band twice.  So every fingerprint uses
+    the widths of all lengths that it may be compared with.
     """
-    rng = np.random.default_rng(7)
-    rows = found.select(F.col(id_col).alias("a"), F.col("fingerprint").alias("f"))
-    picks = [sorted(int(x) for x in rng.choice(64, digits, replace=False)) for _ in range(bands)]
-    keys = [F.concat(F.lit(f"{k}:"), *[F.substring("f", p + 1, 1) for p in pick]) for k, pick in enumerate(picks)]
-    banded = rows.select("a", F.explode(F.array(F.concat(F.lit("="), "f"), *keys)).alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("a").alias("b"))
-    pairs = banded.join(leaders, "key").filter("a != b").select("a", "b").distinct()
-    both = pairs.join(rows, "a").join(rows.select(F.col("a").alias("b"), F.col("f").alias("g")), "b")
+    if not n:
+        return []
+    other = max(1.0 - share, 1e-6)
+    widest = min(32, max(1, int(np.ceil(1 / other - 1e-9)) - 1))
+    fits = lambda m, w: m // w > int(other * m + 1e-9)
+    return sorted({next((w for w in range(widest, 1, -1) if fits(m, w)), 1) for m in range(n, int(n / max(share, 1e-6) + 1e-9) + 1)})
+
+
+def similar(found: DataFrame, id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
+    """Links (a, b, likeness), a > b, between alike documents, with the same components as all alike pairs.
+
+    Bands cover the whole fingerprint, and alike ones share a band (see
+    band_widths).  Equal fingerprints link to their smallest id, which stands
+    for them.  Every bucket's members are compared with its smallest id, and
+    those that it isn't alike with all other members, so links grow with the
+    documents but for such members.  Rows without an id have no links.
+    """
+    share = threshold * 15 / 16 + 1 / 16
+    rows = found.select(F.col(id_col).alias("a"), F.col("fingerprint").alias("f")).filter("a IS NOT NULL")
+    alone = checkpointed(rows.withColumn("h", F.xxhash64("f")).groupBy("h", "f").agg(F.min("a").alias("a")))
+
+    @F.pandas_udf("array<string>")
+    def bands(f):
+        widths = {n: band_widths(n, share) for n in set(f.str.len())}
+        return f.map(lambda x: [f"{w}:{i}:{x[i : i + w]}" for w in widths[len(x)] for i in range(0, len(x) - w + 1, w)])
 
     @F.pandas_udf("double")
     def alike(f, g):
@@ -172,4 +191,17 @@ def similar(found: DataFrame, id_col: str = "doc_id", threshold: float = 0.8, ba
 
         return pd.Series([likeness(x.encode(), y.encode()) for x, y in zip(f, g)])
 
-    return both.select("a", "b", alike("f", "g").alias("likeness")).filter(F.col("likeness") >= threshold)
+    def compared(pairs: DataFrame) -> DataFrame:
+        one = alone.select("h", "a", "f")
+        both = pairs.join(one, "h").join(one.select(F.col("h").alias("l"), F.col("a").alias("b"), F.col("f").alias("g")), "l")
+        return both.select("h", "l", "a", "b", alike("f", "g").alias("likeness"))
+
+    banded = alone.select("h", "a", F.explode(bands("f")).alias("key"))
+    leaders = banded.groupBy("key").agg(F.min(F.struct("a", "h"))["h"].alias("l"))
+    led = checkpointed(banded.join(leaders, "key").filter("h != l").select("key", "h", "l"))
+    first = checkpointed(compared(led.select("h", "l").distinct()))
+    left = led.join(first.filter(F.col("likeness") < threshold).select("h", "l"), ["h", "l"]).select("key", "h")
+    more = left.join(banded.select("key", F.col("h").alias("l")), "key").filter("h != l").select(F.greatest("h", "l").alias("h"), F.least("h", "l").alias("l")).distinct()
+    equal = rows.join(alone.select("f", F.col("a").alias("b")), "f").select("a", "b", F.lit(1.0).alias("likeness"))
+    links = first.unionByName(compared(more)).filter(F.col("likeness") >= threshold).select("a", "b", "likeness").unionByName(equal)
+    return links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "likeness").distinct()
