@@ -93,6 +93,20 @@ def test_fingerprints_tell_edits_from_other_texts(spark):
     assert [(r["a"], r["b"]) for r in fingerprints.similar(found).collect()] == [(1, 0)]
 
 
+def test_fingerprints_tell_short_texts_apart(spark):
+    rng = random.Random(7)
+    texts = ["This.", "Die tz.", "Ereaea.", "a", "b", *["".join(rng.choices("abcdefghijklmnop .", k=k)) for k in (3, 5, 8, 10, 14) for _ in range(20)]]
+    texts = list(dict.fromkeys(texts))
+    made = fingerprints.fingerprints(texts)
+    assert all(made)
+    assert all(len(x) >= len(t) for t, x in zip(texts, made))
+    assert fingerprints.likeness(made[0], made[1]) < 0.5 and fingerprints.likeness(made[1], made[2]) < 0.5
+    assert len(set(made)) == len(texts)
+    assert fingerprints.fingerprints(["", "a"])[0] == b""
+    found = fingerprints.fingerprint(make(spark, ["This.", "Die tz.", "Ereaea.", "This."]))
+    assert [(r["a"], r["b"]) for r in fingerprints.similar(found).collect()] == [(3, 0)]
+
+
 def test_similar_equals_brute_force(spark):
     rng = random.Random(12)
     digits = lambda n: "".join(rng.choices("0123456789abcdef", k=n))

@@ -4,7 +4,7 @@ All texts are walked along the same random walk: at step j the character under
 the walk decides, by a hash shared by all texts, whether the walk moves on, so
 texts a few edits apart fall back into step and differ in few places of the
 embedding.  The fingerprint keeps four bits of the steps that a shared sample
-names, one hexadecimal digit each; likeness is the share of equal digits,
+names (all of the first ones, for short texts), one hexadecimal digit each; likeness is the share of equal digits,
 corrected for chance.
 
 ``fingerprint`` works on every row alone.  ``with_next`` also looks at the next
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, gathered, mix, shuffle_partitions
 
-#: One step in so many is sampled.
-SAMPLE = 16
+#: One step in so many is sampled, from the first step on that isn't below the other number.
+SAMPLES = ((1, 0), (2, 32), (4, 64), (8, 128), (16, 256))
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 #: Bytes of text in one lockstep walk.
@@ -41,17 +41,22 @@ _NONE = -(2**63)
 def fingerprints(texts: list[str]) -> list[bytes]:
     """The hexadecimal digits of each text's sampled steps."""
     size = np.array([len(t) for t in texts], np.int64)
-    code = mix(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    code = np.empty(len(chars), np.uint64)
+    for a in range(0, len(chars), 1_000_000):
+        code[a : a + 1_000_000] = mix(chars[a : a + 1_000_000].astype(np.uint64) + np.uint64(1))
+    del chars
     end = np.cumsum(size)
-    who = np.flatnonzero(size > 0)
+    who = np.flatnonzero(size > 0).astype(np.int32)
     place, stop = (end - size)[who], end[who]
     owners, digits = [], []
     step = 0
     while len(who):
         seeds = mix(np.arange(step + 1, step + 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        for seed in seeds:
+        for j, seed in enumerate(seeds, step):
+            rate = next(r for r, at in reversed(SAMPLES) if j >= at)
             value = (code[place] ^ seed) * _MUL
-            if not int(seed) % SAMPLE:
+            if not int(seed) % rate:
                 owners.append(who)
                 digits.append(((value >> np.uint64(40)) & np.uint64(15)).astype(np.uint8))
             place += (value >> np.uint64(63)).astype(np.int64)
