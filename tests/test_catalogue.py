@@ -40,6 +40,20 @@ def test_equals_sql(spark, duck, name):
             assert got[c].astype(str).tolist() == want[c].astype(str).tolist(), c
 
 
+@pytest.mark.parametrize("name,window,stride", [("rollhurst", 252, 1), ("rollcoherence", 64, 1), ("bettiseries", 40, 20)])
+def test_rolling_kernels_cover_whole_series(spark, name, window, stride):
+    from tidewater.plans.views import Views
+
+    v = Views(spark, SF)
+    days = v.both.selectExpr("'F-O' AS s", "d") if name == "rollcoherence" else v.ret.select("s", "d")
+    want = days.toPandas().sort_values(["s", "d"]).groupby("s")["d"].apply(list).to_dict()
+    got = QUERIES[name](spark, SF).toPandas().sort_values(["s", "d"])
+    assert got.groupby("s")["d"].apply(list).to_dict() == want
+    for _, one in got.groupby("s"):
+        value = one["value"].to_numpy(float)
+        assert np.flatnonzero(np.isfinite(value)).tolist() == list(range(window - 1, len(value), stride))
+
+
 def test_names_need_no_session():
     assert set(ORACLES) <= set(QUERIES)
     assert len(QUERIES) > 150

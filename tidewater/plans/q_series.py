@@ -51,9 +51,9 @@ _two("spa_test", lambda a, b: K.spa(np.column_stack([a, b])), ("stat", "p"))
 _two("sindylasso", lambda a, b: (lambda m: {"alpha": m["alpha"], "w0": m["weights"][0], "w1": m["weights"][1]})(K.lasso(np.column_stack([b, b * b]), a)), ("alpha", "w0", "w1"))
 _two("wasserstein", lambda a, b: {m: K.wasserstein(K.persistence(K.embed(a[:40], 2), 0)[0], K.persistence(K.embed(b[:40], 2), 0)[0], m) for m in ("wasserstein", "bottleneck", "sliced_wasserstein")}, ("wasserstein", "bottleneck", "sliced_wasserstein"))
 _two("synthcontrol", lambda a, b: K.synthcontrol(a, np.column_stack([b, b[::-1]]), len(a) // 2)["att"])
-register("rollhurst", lambda v: S.rollhurst(v.ret.filter("year(d) = 1997"), "s", ["d"], "r", 100))
-register("rollcoherence", lambda v: S.rollcoherence(v.both.withColumn("s", F.lit("F-O")).filter("year(d) = 1997"), "s", ["d"], "a", "b", 64))
-register("bettiseries", lambda v: S.per_row_of_series(v.ret.filter("year(d) = 1997"), "s", ["d"], ["r"], lambda r: {"value": K.bettiseries(r, 30, 60)}, {"value": "double"}))
+register("rollhurst", lambda v: S.rollhurst(v.ret, "s", ["d"], "r"))
+register("rollcoherence", lambda v: S.rollcoherence(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], "a", "b", 64))
+register("bettiseries", lambda v: S.per_row_of_series(v.ret, "s", ["d"], ["r"], lambda r: {"value": K.bettiseries(r)}, {"value": "double"}))
 
 _PI, _A, _MU, _SD = [0.6, 0.4], [[0.9, 0.1], [0.2, 0.8]], [-0.1, 0.1], [0.3, 0.6]
 _B = [[0.5, 0.4, 0.1], [0.1, 0.3, 0.6]]
