@@ -308,7 +308,7 @@ def test_line_dedup(spark):
             kept.append(line)
         want.append("\n".join(kept) if t is not None else None)
     for tries in (1, 4):
-        got = rows(line_dedup.remove_matches(make(spark, texts), tries=tries, keep=("lang", "k")))
+        got = rows(line_dedup.remove_matches(make(spark, texts), min_words=5, tries=tries, keep=("lang", "k")))
         assert [got[i]["kept"] for i in range(len(texts))] == want
         assert {(r["keep0"], r["keep1"]) for r in got.values()} == {("en", "k")}
     assert line_dedup.remove_matches(make(spark, texts).limit(0)).count() == 0

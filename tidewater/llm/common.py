@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import gc
 import math
-import time
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +23,10 @@ STEP_BYTES = 2_000_000
 _rng = np.random.default_rng(20_240_607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_RADIX), -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WEIGHT = np.where(_SPACE, np.uint64(0), _BYTE)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -36,17 +38,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    """At least the first n powers of the radix modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        step = np.full(max(n, 2 * len(_powers), 4096), _RADIX, np.uint64)
+def powers(n: int, base: np.uint64 = _RADIX) -> np.ndarray:
+    """The first n powers of the radix (or of its inverse) modulo 2**64."""
+    held = _powers.get(int(base))
+    if held is None or len(held) < n:
+        step = np.full(max(n, 4096), base, np.uint64)
         step[0] = 1
-        _powers = np.multiply.accumulate(step)
-    return _powers
+        held = np.multiply.accumulate(step)
+        if n <= 2 * STEP_BYTES:
+            _powers[int(base)] = held
+    return held[:n]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,18 +69,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as files in the cluster's shared checkpoint folder; its lineage ends there.
 
-    Exchanges that led to earlier checkpoints aren't needed any more.  A
-    collection of the driver's garbage lets Spark's cleaner remove their files
-    before this one writes its own, not at some later time.
+    The folder is spark.checkpoint.dir; where that is unset, a temporary one
+    serves a local session and a cluster is refused.  Exchanges that led to
+    earlier checkpoints aren't needed any more: a collection of the driver's
+    garbage lets Spark's cleaner remove their files.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or "/tmp/checkpoints/tidewater")
-    for _ in range(2):  # Python's garbage first lets go of the JVM's
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        if configured is None and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
+    gc.collect()  # Python's garbage first lets go of the JVM's
+    spark.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
@@ -97,21 +102,10 @@ class Words:
             self.start = self.end = np.zeros(0, np.int64)
             self.hash, self.first = np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
             return
-        inside = ~_SPACE[data]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        cuts = base[:-1][base[:-1] < n]
-        begins[cuts] |= inside[cuts]
-        self.start = np.flatnonzero(begins)
-        place = np.arange(n)
-        origin = np.maximum.accumulate(np.where(begins, place, 0))
-        place -= origin
-        value = _BYTE[data]
-        value *= powers(int(place.max()) + 1)[place]
-        value[~inside] = 0
-        inside_to = np.append(self.start[1:], n)
-        self.hash = mix(np.add.reduceat(value, self.start)) if len(self.start) else np.zeros(0, np.uint64)
-        self._inside, self._next = inside, inside_to
+        self.start, self._inside = word_starts(data, base)
+        value = _WEIGHT[data]
+        value *= powers(n)  # by place in the run; divided by the power of its start, a word's sum depends on its bytes alone
+        self.hash = mix(np.add.reduceat(value, self.start) * powers(n, _INVERSE)[self.start]) if len(self.start) else np.zeros(0, np.uint64)
         self.first = np.searchsorted(self.start, base)
         self._end = None
 
@@ -138,6 +132,16 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def word_starts(data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in texts' bytes, and which bytes are parts of words."""
+    inside = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cuts = base[:-1][base[:-1] < len(data)]
+    begins[cuts] |= inside[cuts]
+    return np.flatnonzero(begins), inside
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in one array, and where each begins; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -254,6 +258,19 @@ def packed(kind: int, route: np.ndarray, *columns: np.ndarray) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array(route[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], schema=_PACKED)
 
 
+def packed_rows(kind: int, route: np.ndarray, columns: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each route: of every column, an array and where each row's share of it begins and ends."""
+    blobs = [pa.array([c[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for c, cut in columns]
+    blobs += [pa.nulls(len(route), pa.binary())] * (6 - len(blobs))
+    return pa.RecordBatch.from_arrays([pa.array(route.astype(np.int32)), pa.array(np.full(len(route), kind, np.int32)), *blobs], schema=_PACKED)
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] places), then the same of the next."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[int, list[str]]) -> dict[int, list[np.ndarray]]:
     """All items of a partition: for each kind the columns, of the given numpy types."""
     held: dict[int, list[list[bytes]]] = {k: [[] for _ in types] for k, types in kinds.items()}

@@ -5,20 +5,26 @@ fewer than ``min_words`` words always stay.  Lines match when 100 * overlap >=
 percent * union.  A line is removed if any earlier line, in order of (doc_id,
 place), matches it, whether that one stays or not; judged on the input.
 
-1. Equal lines meet in an exchange by hash, and all but the first go.
-2. Words are ordered by rarity: the ``max_words`` most frequent by their exact
-   counts, broadcast, and the rarer ones before them by hash.  First lines offer
-   the rarest words of their sets, as many as the prefix filter needs.
-3. Where lines meet at a word, earlier ones pass the length and positional
-   filters and a bound on the overlap from 128-bit parities of the sets.  Each
-   line asks for its ``tries`` earliest candidates; if any line then has none
+1. Words are counted and ordered by rarity: the ``max_words`` most frequent by
+   their exact counts, broadcast, and the rarer ones before them by hash.
+2. Lines are exchanged once, as sets of ranks: three bytes a frequent word.
+   Equal lines meet and are one class from there on, at the place of its first.
+3. Classes offer the rarest words of their sets, as many as the prefix filter
+   needs.  A word of only one line counts in the prefix but isn't offered.
+4. Where classes meet at a word, earlier ones pass the length and positional
+   filters and a bound on the overlap from parities of the sets.  Each class
+   asks for its ``tries`` earliest candidates of each length; if it then has none
    that verifies but more candidates, a second round asks for all of those.
-4. Asked lines send their sets, overlaps are counted and matched lines go.
+5. Sets of asking classes go to their candidates, overlaps are counted, and the
+   first lines of classes without a match are the lines that stay.
 
 So a line with thousands of variants asks for a few of them, not all pairs.
-Null text has one empty line and stays as it is.  Null ids come last; rows of one id are ordered
-by their texts' hashes, rows equal in both are one document with one result.
-Empty tables give empty results; extra columns aren't read.
+Texts only move in the last step, where they join the lines that stay.
+
+Null text has one empty line and stays as it is.  Null ids come last, as one id
+with 2**63 - 1; rows of one id are ordered by their texts' hashes, rows equal in
+both are one document with one result.  Very long texts are worked on whole, one
+at a time.  Empty tables give empty results; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,10 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, distinct_per_owner, exchanged, gathered, heads, mix, need, packed, routes, shuffle_partitions, summed, unpacked
+from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, exchanged, gathered, heads, mix, need, packed, packed_rows, ragged, routes, shuffle_partitions, summed, text_bytes, unpacked, word_starts
 
 _NULL = 2**63 - 1
-_ROW = pa.schema([("route", pa.int32()), ("kind", pa.int32()), *[(f"c{k}", pa.binary()) for k in range(6)]])
+_TAIL = np.uint64(2**63)
+_PLACE = np.dtype([("k", "i8"), ("t", "i8"), ("p", "i4")])
+_SHAPE = np.dtype([("n", "i4"), ("tails", "i4")])
+_AGE = np.dtype([("t", "i4"), ("p", "i4")])
+_MEET = np.dtype([("n", "i4"), ("at", "i4")])
+
+#: Kinds of packed rows.
+COUNT, CLASS, FIRST, OFFER, PAIR, SET, MORE, OPEN, MATCHED, STAYS = range(10)
 
 
 class Lines:
@@ -41,297 +54,347 @@ class Lines:
 
     def __init__(self, texts: pa.Array, least: int):
         self.words = w = Words(texts, lower=True)
-        n = len(w.hash)
-        begins = np.zeros(len(w.data) + 1, bool)
-        begins[np.flatnonzero(w.data == 0x0A) + 1] = True
-        begins[w.base] = True
-        start = np.flatnonzero(begins[:-1])
-        line = np.searchsorted(start, w.start, "right") - 1
-        first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if n else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, n))
-        self.doc = w.owner()[first]
-        # a line's place: the newlines before it in its text
-        breaks = np.concatenate([[0], np.cumsum(w.data == 0x0A)])
-        at = w.start[first] if n else first
-        self.place = (breaks[at] - breaks[w.base[self.doc]]).astype(np.int32)
-        own = size >= least
-        self.first, self.size, self.doc, self.place = first[own], size[own], self.doc[own], self.place[own]
+        self.first, self.size, self.doc, self.place = worded(w.data, w.base, w.start, least)
 
     def hashes(self) -> np.ndarray:
         """Of each line's whole sequence of words."""
         if not len(self.first):
             return np.zeros(0, np.uint64)
-        index = np.repeat(self.first, self.size) + self.within()
-        value = mix(self.words.hash[index] + mix(self.within().astype(np.uint64)))
-        return mix(np.add.reduceat(value, np.cumsum(self.size) - self.size) + self.size.astype(np.uint64))
-
-    def within(self) -> np.ndarray:
-        return np.arange(int(self.size.sum())) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-
-    def sets(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct word hashes of these lines and the position in ``which`` of each one's line."""
-        size = self.size[which]
-        index = np.repeat(self.first[which], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        return distinct_per_owner(self.words.hash[index], np.repeat(np.arange(len(which)), size))
-
-
-def parities(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 parities of each set: every member flips one."""
-    bit = np.uint64(1) << (token & np.uint64(63))
-    upper = (token >> np.uint64(6)) & np.uint64(1) == 1
-    if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    zero = np.uint64(0)
-    return np.bitwise_xor.reduceat(np.where(upper, zero, bit), first), np.bitwise_xor.reduceat(np.where(upper, bit, zero), first)
+        begin = np.cumsum(self.size) - self.size
+        within = np.arange(int(self.size.sum())) - np.repeat(begin, self.size)
+        value = mix(self.words.hash[ragged(self.first, self.size)] + mix(np.arange(int(self.size.max()), dtype=np.uint64))[within])
+        return mix(np.add.reduceat(value, begin) + self.size.astype(np.uint64))
+
+
+def worded(data: np.ndarray, base: np.ndarray, start: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Of texts' bytes and word starts, the lines of ``least`` words or more: first word, words, text, place in it."""
+    breaks = np.flatnonzero(data == 0x0A)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[breaks + 1] = True
+    begins[base] = True
+    line = np.searchsorted(np.flatnonzero(begins[:-1]), start, "right") - 1
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(start) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(start)))
+    doc = np.searchsorted(base, start[first], "right") - 1
+    place = np.searchsorted(breaks, start[first]) - np.searchsorted(breaks, base[doc])  # the newlines before it in its text
+    own = size >= least
+    return first[own], size[own], doc[own], place[own].astype(np.int32)
+
+
+class Sets:
+    """Classes of lines: code, another column, and the set as ranks of frequent words and hashes of others, rarest first."""
+
+    def __init__(self, code, other, shape, low, high, tail):
+        self.code, self.other, self.shape, self.low, self.high, self.tail = code, other, shape, low, high, tail
+        self.n, self.tails = shape["n"].astype(np.int64), shape["tails"].astype(np.int64)
+        self.first, self.first_tail = np.cumsum(self.n - self.tails) - (self.n - self.tails), np.cumsum(self.tails) - self.tails
+
+    @classmethod
+    def read(cls, batches, kind: int, other) -> Sets:
+        return cls(*unpacked(batches, {kind: cls.types(other)})[kind])
+
+    @staticmethod
+    def types(other) -> list:
+        return ["u8", other, _SHAPE, "u2", "u1", "u8"]
+
+    def take(self, which: np.ndarray, code: np.ndarray | None = None, other: np.ndarray | None = None) -> Sets:
+        heads, tails = ragged(self.first[which], (self.n - self.tails)[which]), ragged(self.first_tail[which], self.tails[which])
+        return Sets(self.code[which] if code is None else code, self.other[which] if other is None else other, self.shape[which], self.low[heads], self.high[heads], self.tail[tails])
+
+    def tokens(self) -> np.ndarray:
+        """All members, one set after another: ranks, and hashes with the upper bit for words that have none."""
+        out = np.empty(int(self.n.sum()), np.uint64)
+        first = np.cumsum(self.n) - self.n
+        out[ragged(first, self.tails)] = self.tail | _TAIL
+        out[ragged(first + self.tails, self.n - self.tails)] = self.low.astype(np.uint64) | self.high.astype(np.uint64) << np.uint64(16)
+        return out
+
+    def rows(self, kind: int, route: np.ndarray, many: int = 20_000):
+        """Packed rows, of ``many`` sets at most."""
+        order = np.argsort(route, kind="stable")
+        for a in range(0, len(order), many):
+            part = self.take(order[a : a + many])
+            own = route[order[a : a + many]]
+            cut = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
+            heads, tails = np.append(part.first, len(part.low)), np.append(part.first_tail, len(part.tail))
+            yield packed_rows(kind, own[cut[:-1]], [(part.code, cut), (part.other, cut), (part.shape, cut), (part.low, heads[cut]), (part.high, heads[cut]), (part.tail, tails[cut])])
+
+
+def parities(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64 parities of each set: every member flips one."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (mix(token) & np.uint64(63)), first) if len(first) else np.zeros(0, np.uint64)
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 5, max_words: int = 1_000_000, tries: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+def buckets(percent: int) -> np.ndarray:
+    """Where buckets of set sizes begin: lines that match are in one or in neighbours."""
+    out = [1]
+    while out[-1] < 2**31:
+        out.append(100 * out[-1] // percent + 1)
+    return np.array(out)
+
+
+def candidates(begin, fan, asker, n, at, sketch, percent, tries):
+    """(asker, candidate, whether it's one too many) among places begin ... begin + fan, in growing steps until each has its tries (None: all)."""
+    done, seen = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+    live, width, block = np.flatnonzero(fan > 0), 16, 1_000_000
+    while len(live):
+        step = np.minimum(width, fan[live] - seen[live])
+        ends = np.cumsum(step)
+        a = 0
+        while a < len(live):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + block)))
+            part, many = live[a:b], step[a:b]
+            y = ragged(begin[part] + seen[part], many)
+            who = np.repeat(part, many)
+            x = asker[who]
+            wanted = least_overlap(n[x], n[y], percent)
+            ok = np.minimum(n[x] - at[x], n[y] - at[y]) >= wanted
+            ok &= n[x] + n[y] - np.bitwise_count(sketch[x] ^ sketch[y]) >= 2 * wanted
+            ok = np.flatnonzero(ok)
+            x, y, who = x[ok], y[ok], who[ok]
+            if tries is None:
+                yield x, y, np.zeros(len(x), bool)
+            elif len(who):
+                number = np.arange(len(who)) - np.searchsorted(who, who, "left") + done[who]
+                done += np.bincount(who, minlength=len(done))
+                own = number <= tries
+                yield x[own], y[own], number[own] == tries
+            a = b
+        seen[live] += step
+        live = live[(seen[live] < fan[live]) & ((done[live] <= tries) if tries is not None else True)]
+        width = min(width * 4, 65_536)
+
+
+def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_words: int = 1_000_000, tries: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 and kept (the lines left, joined by newlines; null stays null) of every row, then the columns of ``keep``."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    groups = 2 * parts
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("k"), "text", *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)])
-    rows = rows.select("k", F.xxhash64(F.coalesce("text", F.lit("\0"))).alias("t"), *[c for c in rows.columns if c != "k"]).withColumn("g", F.pmod(F.xxhash64("k", "t"), F.lit(groups)).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text", *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)])
+    rows = rows.select(F.coalesce("id", F.lit(_NULL)).alias("k"), F.xxhash64(F.coalesce("text", F.lit("\0"))).alias("t"), *rows.columns)
 
-    def scan(batches):
+    def count(batches):
         tally = Tally()
         for table in gathered(batches):
-            lines = Lines(table.column("text"), min_words)
-            tally.add(lines.words.hash)
-            code = lines.hashes()
-            k, t, g = (table.column(c).to_numpy()[lines.doc] for c in ("k", "t", "g"))
-            order = np.lexsort((lines.place, t, k, code))
-            code = code[order]
-            own = order[np.append(True, code[1:] != code[:-1])] if len(code) else order
-            yield from packed(1, routes(lines.hashes()[own], parts), lines.hashes()[own], k[own], t[own], lines.place[own], g[own].astype(np.int32))
+            tally.add(Words(table.column("text"), lower=True).hash)
         keys, counts = tally.result()
-        yield from packed(0, routes(mix(keys), parts), keys, counts)
-
-    def first_lines(batches):
-        found = unpacked(batches, {0: ["u8", "i8"], 1: ["u8", "i8", "i8", "i4", "i4"]})
-        keys, counts = summed(*found[0])
-        yield from packed(0, np.zeros(len(keys), np.int32), keys, counts)
-        code, k, t, place, g = found[1]
-        order = np.lexsort((place, t, k, code))
-        own = order[np.append(True, code[order][1:] != code[order][:-1])] if len(code) else order
-        yield from packed(2, g[own], k[own], t[own], place[own])
-
-    held = checkpointed(exchanged(rows.select("k", "t", "text", "g").mapInArrow(scan, PACKED)).mapInArrow(first_lines, PACKED))
-    frequent = spark.sparkContext.broadcast(heads(held, 0, max_words)[:2])  # max_words pairs at most
+        yield from packed(COUNT, routes(mix(keys), parts), keys, counts)
+
+    def total(batches):
+        keys, counts = summed(*unpacked(batches, {COUNT: ["u8", "i8"]})[COUNT])
+        yield from packed(COUNT, np.zeros(len(keys), np.int32), keys, counts)
+
+    words, counts, distinct, _ = heads(checkpointed(exchanged(rows.select("text").mapInArrow(count, PACKED)).mapInArrow(total, PACKED)), COUNT, max_words)
+    alone = distinct == len(words) or (len(words) > 0 and int(counts.min()) <= 2)  # words without a rank have one line each
+    own = counts > 1
+    words, counts = words[own], counts[own]
+    frequent = spark.sparkContext.broadcast(words[np.argsort(counts, kind="stable")])  # max_words hashes at most, rarest first
     cache: dict = {}
 
-    def frequency(token: np.ndarray) -> np.ndarray:
+    def ranks(words: np.ndarray) -> np.ndarray:
         if "index" not in cache:
-            cache["index"], cache["n"] = Index(frequent.value[0]), frequent.value[1]
-        at = cache["index"].find(token)
-        return np.where(at >= 0, cache["n"][np.maximum(at, 0)] if len(cache["n"]) else 0, 0)
-
-    def group(left: pa.Table) -> tuple[pa.Table, np.ndarray]:
-        """The group's distinct documents in order of (k, t), and each row's document."""
-        left = left.combine_chunks()
-        k, t = left.column("k").to_numpy(), left.column("t").to_numpy()
-        order = np.lexsort((t, k))
-        new = np.append(True, (k[order][1:] != k[order][:-1]) | (t[order][1:] != t[order][:-1]))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.cumsum(new) - 1
-        return left.take(pa.array(order[new])), back
-
-    def firsts(table: pa.Table, right: pa.Table, lines: Lines) -> np.ndarray:
-        """Indexes of the lines that the exchange named first of their kind."""
-        k, t, place = unpacked(right.to_batches(), {2: ["i8", "i8", "i4"]})[2]
-        code = lambda k, t, p: mix(mix(k.view(np.uint64) ^ mix(t.view(np.uint64))) + p.astype(np.uint64))
-        own_k, own_t = (table.column(c).to_numpy()[lines.doc] for c in ("k", "t"))
-        return np.flatnonzero(np.isin(code(own_k, own_t, lines.place), code(k, t, place)))
-
-    def offer(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([], schema=_ROW)
-        table, _ = group(left)
-        lines = Lines(table.column("text"), min_words)
-        own = firsts(table, right, lines)
-        token, owner = lines.sets(own)
-        order = np.argsort(owner << 32 | np.minimum(frequency(token), 2**32 - 1), kind="stable")  # members ascend within a line
-        token, owner = token[order], owner[order]
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(owner)))
-        low, high = parities(token, first)
-        position = np.arange(len(owner)) - first[owner] if len(owner) else owner
-        sent = position < (size - need(size, percent) + 1)[owner] if len(owner) else np.zeros(0, bool)
-        token, owner, position = token[sent], owner[sent], position[sent]
-        g = table.column("g")[0].as_py()
-        line = np.zeros(len(owner), [("d", "i4"), ("p", "i4"), ("g", "i4")])
-        line["d"], line["p"], line["g"] = lines.doc[own][owner], lines.place[own][owner], g
-        sketch = np.zeros(len(owner), [("a", "u8"), ("b", "u8")])
-        sketch["a"], sketch["b"] = low[owner], high[owner]
-        shape = np.zeros(len(owner), [("n", "i4"), ("i", "i4")])
-        shape["n"], shape["i"] = size[owner], position
-        k = table.column("k").to_numpy()[lines.doc[own][owner]]
-        return pa.Table.from_batches(list(packed(3, routes(mix(token), parts), token, k, line, sketch, shape)), schema=_ROW)
-
-    offers = rows.groupBy("g").cogroup(held.filter("kind = 2").groupBy("route")).applyInArrow(offer, PACKED)
-    line_type = np.dtype([("d", "i4"), ("p", "i4"), ("g", "i4")])
-
-    def meet(only: bool):
-        """Candidate pairs: all first tries, or every candidate of the lines named in kind 8."""
+            cache["index"] = Index(frequent.value)
+        return cache["index"].find(words)
+
+    def scan(batches):
+        for table in gathered(batches):
+            lines = Lines(table.column("text"), min_words)
+            if not len(lines.first):
+                continue
+            place = np.empty(len(lines.first), _PLACE)
+            place["k"], place["t"] = (table.column(c).to_numpy()[lines.doc] for c in "kt")
+            place["p"] = lines.place
+            code = lines.hashes()
+            own = _firsts(code, place)
+            # distinct words of each line, rarest first, by one sort of (line, place of the word among this step's)
+            hashes, back = np.unique(lines.words.hash, return_inverse=True)
+            rank = ranks(hashes)
+            order = np.lexsort((hashes, rank))
+            at = np.empty(len(hashes), np.int64)
+            at[order] = np.arange(len(hashes))
+            size = lines.size[own]
+            key = np.sort(np.repeat(np.arange(len(own)) << 32, size) | at[back[ragged(lines.first[own], size)]])
+            key = key[np.append(True, key[1:] != key[:-1])]
+            line, word = key >> 32, order[key & 0xFFFFFFFF]
+            tail = rank[word] < 0
+            shape = np.empty(len(own), _SHAPE)
+            shape["n"], shape["tails"] = np.bincount(line, minlength=len(own)), np.bincount(line[tail], minlength=len(own))
+            known = rank[word[~tail]]
+            yield from Sets(code[own], place[own], shape, known.astype(np.uint16), (known >> 16).astype(np.uint8), hashes[word[tail]]).rows(CLASS, routes(code[own], parts))
+
+    def classes(batches):
+        sets = Sets.read(batches, CLASS, _PLACE)
+        own = _firsts(sets.code, sets.other)
+        if len(own):
+            here = routes(sets.code[own], parts)
+            yield from sets.take(own).rows(CLASS, here)
+            yield from packed(FIRST, here, sets.code[own], sets.other[own])
+
+    held = checkpointed(exchanged(rows.select("k", "t", "text").mapInArrow(scan, PACKED)).mapInArrow(classes, PACKED))
+    lines = held.filter(F.col("kind") == CLASS)
+
+    def offered(sets: Sets, asks: np.ndarray):
+        """The rarest words of sets; the place is negative for those that ask."""
+        token, first = sets.tokens(), np.cumsum(sets.n) - sets.n
+        line = np.repeat(np.arange(len(sets.n)), sets.n)
+        sketch = parities(token, first)
+        at = np.arange(len(token)) - first[line]
+        sent = at < (sets.n - need(sets.n, percent) + 1)[line]
+        if alone:
+            sent &= token < _TAIL
+        token, line, at = token[sent], line[sent], at[sent]
+        age, shape = np.empty(len(token), _AGE), np.empty(len(token), _MEET)
+        age["t"], age["p"] = (sets.other["t"] >> 32)[line], sets.other["p"][line]
+        shape["n"], shape["at"] = sets.n[line], np.where(asks[line], ~at, at)
+        yield from packed(OFFER, routes(mix(token), parts), token, sets.code[line], sets.other["k"][line], age, sketch[line], shape)
+
+    def offer(batches):
+        for batch in batches:
+            sets = Sets.read([batch], CLASS, _PLACE)
+            yield from offered(sets, np.ones(len(sets.code), bool))
+
+    def offer_again(batches):
+        found = unpacked(batches, {CLASS: Sets.types(_PLACE), OPEN: ["u8"]})
+        sets = Sets(*found[CLASS])
+        yield from offered(sets, np.isin(sets.code, found[OPEN][0]))
+
+    def meet(tries: int | None):
+        starts = buckets(percent)
 
         def run(batches):
-            found = unpacked(batches, {3: ["u8", "i8", line_type, [("a", "u8"), ("b", "u8")], [("n", "i4"), ("i", "i4")]], 8: [line_type]})
-            token, k, line, sketch, shape = found[3]
-            if not len(token):
-                return
+            token, code, k, age, sketch, shape = unpacked(batches, {OFFER: ["u8", "u8", "i8", _AGE, "u8", _MEET]})[OFFER]
             order = np.argsort(token)
             same = token[order][1:] == token[order][:-1]
-            order = order[np.append(same, False) | np.append(False, same)]  # words that several lines offer
-            order = order[np.lexsort((line["p"][order], line["d"][order], line["g"][order], k[order], token[order]))]
+            order = order[np.append(same, False) | np.append(False, same)] if len(order) else order  # words that several lines offer
             if not len(order):
                 return
-            token, line, sketch, shape = token[order], line[order], sketch[order], shape[order]
-            cut = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            begin = np.repeat(cut, np.diff(np.append(cut, len(token))))
-            n, at, low, high = shape["n"].astype(np.int64), shape["i"].astype(np.int64), sketch["a"], sketch["b"]
-            todo = np.flatnonzero(np.arange(len(token)) > begin)
-            if only:
-                todo = todo[np.isin(_code(line[todo]), _code(found[8][0]))]
-            if not len(todo):
-                return
-            fan = todo - begin[todo]
-            done = np.zeros(len(todo), np.int64)  # candidates found
-            seen = np.zeros(len(todo), np.int64)  # earlier lines looked at
-            out_x, out_y, more = [], [], []
-            live = np.arange(len(todo))
-            width = 8
-            while len(live):  # earliest first, in growing steps, until each line has its tries
-                step = np.minimum(width, fan[live] - seen[live])
-                for a in range(0, len(live), max(1, 2_000_000 // width)):
-                    part = live[a : a + max(1, 2_000_000 // width)]
-                    many = step[a : a + len(part)]
-                    who = np.repeat(part, many)
-                    y = begin[todo[who]] + np.repeat(seen[part], many) + np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
-                    x = todo[who]
-                    wanted = least_overlap(n[x], n[y], percent)
-                    ok = (n[y] * 100 >= n[x] * percent) & (n[x] * 100 >= n[y] * percent) & (1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1 >= wanted)
-                    x, y, who, wanted = x[ok], y[ok], who[ok], wanted[ok]
-                    apart = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
-                    ok = n[x] + n[y] - apart >= 2 * wanted
-                    x, y, who = x[ok], y[ok], who[ok]
-                    number = np.arange(len(who)) - np.searchsorted(who, who, "left") + done[who]
-                    ok = (number < tries) | only
-                    out_x.append(x[ok])
-                    out_y.append(y[ok])
-                    more.append(x[number == tries] if not only else x[:0])
-                    done += np.bincount(who, minlength=len(done))
-                seen[live] += step
-                live = live[(seen[live] < fan[live]) & ((done[live] <= tries) | only)]
-                width = min(width * 4, 4096)
-            x, y, more = np.concatenate(out_x), np.concatenate(out_y), np.concatenate(more)
-            pair = mix(_code(line[x]) + mix(_code(line[y])))
-            _, one = np.unique(pair, return_index=True)
-            yield from packed(4, line["g"][x[one]], pair[one], line[x[one]], line[x[one]])
-            yield from packed(4, line["g"][y[one]], pair[one], line[x[one]], line[y[one]])
-            yield from packed(7, np.zeros(len(more), np.int32), line[more])
+            token, code, k, age, sketch, shape = (c[order] for c in (token, code, k, age, sketch, shape))
+            order = np.lexsort((code, age["p"], age["t"], k))
+            rank = np.empty(len(order), np.int64)  # equal for the offers of one line
+            rank[order] = np.cumsum(np.append(True, code[order][1:] != code[order][:-1]))
+            size = shape["n"].astype(np.int64)
+            word = np.cumsum(np.append(True, token[1:] != token[:-1])) << 5
+            group = word + np.searchsorted(starts, size, "right") - 1
+            order = np.argsort(group << 32 | rank)
+            code, rank, size, group, sketch, shape = (c[order] for c in (code, rank, size, group, sketch, shape))
+            at = shape["at"].astype(np.int64)
+            asker = np.flatnonzero(at < 0)
+            at = np.where(at < 0, ~at, at)
+            key = group << 32 | rank
+            x, y = [], []
+            more = []
+            for beside in (-1, 0, 1):  # earlier lines of the neighbouring lengths and the same one
+                begin = np.searchsorted(key, (group[asker] + beside) << 32)
+                fan = np.searchsorted(key, (group[asker] + beside) << 32 | rank[asker]) - begin
+                if beside:
+                    fan[(group[asker] + beside) >> 5 != group[asker] >> 5] = 0
+                for a, b, too_many in candidates(begin, fan, asker, size, at, sketch, percent, tries):
+                    more.append(code[a[too_many]])
+                    x.append(code[a[~too_many]])
+                    y.append(code[b[~too_many]])
+            x, y, more = (np.concatenate([np.zeros(0, np.uint64), *c]) for c in (x, y, more))
+            _, one = np.unique(mix(x + mix(y)), return_index=True)
+            yield from packed(PAIR, routes(x[one], parts), x[one], y[one])
+            more = np.unique(more)
+            yield from packed(MORE, routes(more, parts), more)
 
         return run
 
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The sets of the lines asked for, to the place of the pair."""
-        out = []
-        if left.num_rows and right.num_rows:
-            table, _ = group(left)
-            pair, x, asked = unpacked(right.to_batches(), {4: ["u8", line_type, line_type]})[4]
-            lines = Lines(table.column("text"), min_words)
-            code = lambda d, p: d.astype(np.int64) << 32 | p.astype(np.int64)
-            own = code(lines.doc, lines.place)
-            which, back = np.unique(np.searchsorted(own, code(asked["d"], asked["p"])), return_inverse=True)
-            token, owner = lines.sets(which)
-            first = np.searchsorted(owner, np.arange(len(which) + 1))
-            size = np.diff(first)[back]
-            index = np.repeat(first[:-1][back], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            which_pair = np.repeat(np.arange(len(pair)), size)
-            out = [*packed(5, routes(pair, parts), pair, x, size.astype(np.int64)), *packed(6, routes(pair, parts)[which_pair], pair[which_pair], token[index])]
-        return pa.Table.from_batches(out, schema=_ROW)
+    def ask(batches):
+        """Each class's set to its candidates."""
+        found = unpacked(batches, {CLASS: Sets.types(_PLACE), PAIR: ["u8", "u8"]})
+        x, y = found[PAIR]
+        if not len(x):
+            return
+        sets = Sets(*found[CLASS])
+        _, one = np.unique(mix(x + mix(y)), return_index=True)
+        which = _find(sets.code, x[one])
+        yield from sets.take(which, y[one], x[one]).rows(SET, routes(y[one], parts))
 
     def verify(batches):
-        found = unpacked(batches, {5: ["u8", line_type, "i8"], 6: ["u8", "u8"]})
-        pair, x, size = found[5]
-        if not len(pair):
-            return
-        ids, first, back = np.unique(pair, return_index=True, return_inverse=True)
-        times = np.bincount(back)  # a pair may be asked for at several words
-        whole = np.bincount(back, size) / times * 2
-        p, token = found[6]
-        both, counts = np.unique(mix(p + mix(token)), return_counts=True)
-        order = np.unique(mix(p + mix(token)), return_index=True)[1]
-        place = np.searchsorted(ids, p[order])
-        overlap = np.bincount(place[counts == times[place]], minlength=len(ids))
-        ok = 100 * overlap >= percent * (whole - overlap)
-        good = x[first[ok]]
-        yield from packed(9, good["g"], good)
-
-    def checked(only: bool, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Lines that match an earlier one, and lines with more candidates."""
-        pairs = checkpointed(exchanged(asked).mapInArrow(meet(only), PACKED))
-        sets = rows.groupBy("g").cogroup(pairs.filter("kind = 4").groupBy("route")).applyInArrow(answer, PACKED)
-        return exchanged(sets).mapInArrow(verify, PACKED), pairs.filter("kind = 7")
-
-    matched, more = checked(False, offers)
-    matched = checkpointed(matched)
-
-    def open_lines(table: pa.Table) -> pa.Table:
-        """Lines with more candidates and no match so far, to every place where lines meet."""
-        found = unpacked(table.to_batches(), {7: [line_type], 9: [line_type]})
-        left = np.unique(found[7][0])
-        left = left[~np.isin(_code(left), _code(found[9][0]))]
-        out = [b for r in range(parts) for b in packed(8, np.full(len(left), r, np.int32), left)]
-        return pa.Table.from_batches(out, schema=_ROW)
-
-    def by_line(batches):
-        for kind, (line,) in unpacked(batches, {7: [line_type], 9: [line_type]}).items():
-            yield from packed(kind, routes(_code(line), parts), line)
-
-    if more.limit(1).count():
-        left = checkpointed(more.unionByName(matched).mapInArrow(by_line, PACKED).groupBy("route").applyInArrow(open_lines, PACKED))
-        if left.limit(1).count():
-            again, _ = checked(True, offers.unionByName(left))
-            matched = matched.unionByName(again)
-
-    def rewrite(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return beside(pa.Table.from_batches([], schema=_RESULT), left)
-        table, back = group(left)
-        lines = Lines(table.column("text"), min_words)
-        gone = np.ones(len(lines.first), bool)
-        gone[firsts(table, right, lines)] = False
-        line = unpacked(right.to_batches(), {9: [line_type]})[9][0]
-        code = lambda d, p: d.astype(np.int64) << 32 | p.astype(np.int64)
-        gone |= np.isin(code(lines.doc, lines.place), code(line["d"], line["p"]))
-        doc, place = lines.doc[gone], lines.place[gone]
-        cuts = np.searchsorted(doc, np.arange(table.num_rows + 1))
-        kept, total = [], []
-        for i, text in enumerate(table.column("text").to_pylist()):
-            own = (text or "").split("\n")
-            if cuts[i] < cuts[i + 1]:
+        found = unpacked(batches, {CLASS: Sets.types(_PLACE), SET: Sets.types("u8")})
+        asked, here = Sets(*found[SET]), Sets(*found[CLASS])
+        which = _find(here.code, asked.code)
+        good = []
+        for a in range(0, len(which), 20_000):
+            mine, other = asked.take(np.arange(a, min(a + 20_000, len(which)))), here.take(which[a : a + 20_000])
+            pair = np.arange(len(mine.n), dtype=np.uint64)
+            key = np.concatenate([mix(s.tokens() + mix(np.repeat(pair, s.n))) for s in (mine, other)])
+            owner = np.concatenate([np.repeat(pair, s.n) for s in (mine, other)]).astype(np.int64)
+            order = np.argsort(key)
+            twice = order[:-1][key[order][1:] == key[order][:-1]]  # words of both
+            overlap = np.bincount(owner[twice], minlength=len(pair))
+            good.append(mine.other[100 * overlap >= percent * (mine.n + other.n - overlap)])
+        good = np.unique(np.concatenate([np.zeros(0, np.uint64), *good]))
+        yield from packed(MATCHED, routes(good, parts), good)
+
+    def round_of(offers: DataFrame, tries: int | None) -> tuple[DataFrame, DataFrame]:
+        """Classes that match an earlier one, and classes with more candidates."""
+        pairs = checkpointed(exchanged(offers).mapInArrow(meet(tries), PACKED))
+        asked = exchanged(lines.unionByName(pairs.filter(F.col("kind") == PAIR))).mapInArrow(ask, PACKED)
+        return checkpointed(exchanged(lines.unionByName(asked)).mapInArrow(verify, PACKED)), pairs.filter(F.col("kind") == MORE)
+
+    def unmatched(batches):
+        found = unpacked(batches, {MORE: ["u8"], MATCHED: ["u8"]})
+        left = np.setdiff1d(found[MORE][0], found[MATCHED][0])
+        yield from packed(OPEN, routes(left, parts), left)
+
+    matched, more = round_of(lines.mapInArrow(offer, PACKED), tries)
+    left = checkpointed(exchanged(more.unionByName(matched)).mapInArrow(unmatched, PACKED))
+    if left.limit(1).count():
+        again, _ = round_of(exchanged(lines.unionByName(left)).mapInArrow(offer_again, PACKED), None)
+        matched = matched.unionByName(again)
+
+    def stays(batches):
+        found = unpacked(batches, {FIRST: ["u8", _PLACE], MATCHED: ["u8"]})
+        code, place = found[FIRST]
+        place = place[~np.isin(code, found[MATCHED][0])]
+        yield from packed(STAYS, routes(mix(place["k"].view(np.uint64) ^ mix(place["t"].view(np.uint64))), parts), place)
+
+    def by_document(batches):
+        place = unpacked(batches, {STAYS: [_PLACE]})[STAYS][0]
+        place = place[np.lexsort((place["p"], place["t"], place["k"]))]
+        cut = np.flatnonzero(np.append(True, (place["k"][1:] != place["k"][:-1]) | (place["t"][1:] != place["t"][:-1]))) if len(place) else np.zeros(0, np.int64)
+        ends, p = np.append(cut, len(place))[1:], np.ascontiguousarray(place["p"])
+        for a in range(0, len(cut), 50_000):
+            own = slice(a, a + 50_000)
+            yield pa.RecordBatch.from_pydict({"k": place["k"][cut[own]], "t": place["t"][cut[own]], "stays": pa.array([p[i:j].tobytes() for i, j in zip(cut[own], ends[own], strict=True)], pa.binary())})
+
+    def rewrite(batches):
+        for table in gathered(batches):
+            data, base = text_bytes(table.column("text"))
+            _, _, doc, place = worded(data, base, word_starts(data, base)[0], min_words)
+            kept = [np.frombuffer(x or b"", "i4") for x in table.column("stays").to_pylist()]
+            kept_doc = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
+            gone = ~np.isin(doc << 32 | place, kept_doc << 32 | np.concatenate([np.zeros(0, np.int32), *kept]))
+            doc, place = doc[gone], place[gone]
+            cuts = np.searchsorted(doc, np.arange(table.num_rows + 1))
+            total = np.bincount(np.searchsorted(base, np.flatnonzero(data == 0x0A), "right") - 1, minlength=table.num_rows)[: table.num_rows] + 1
+            texts = table.column("text").to_pylist()
+            for i in np.flatnonzero(np.diff(cuts)):
                 drop = set(place[cuts[i] : cuts[i + 1]].tolist())
-                text = "\n".join(x for j, x in enumerate(own) if j not in drop)
-            kept.append(text)
-            total.append(len(own))
-        result = pa.table({
-            "doc_id": pa.array([None if x == _NULL else x for x in table.column("k").to_pylist()], pa.int64()),
-            "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(np.diff(cuts).astype(np.int64)),
-            "kept_sha256": pa.array([hashlib.sha256((x or "").encode()).hexdigest() for x in kept], pa.string()), "kept": pa.array(kept, pa.string()),
-        })
-        return beside(result.take(pa.array(back)), left)
+                texts[i] = "\n".join(x for j, x in enumerate(texts[i].split("\n")) if j not in drop)
+            result = pa.table({
+                "doc_id": table.column("id"), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(np.diff(cuts), pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256((x or "").encode()).hexdigest() for x in texts], pa.string()), "kept": pa.array(texts, pa.string()),
+            })
+            yield from beside(result, table).to_batches()
 
-    verdicts = held.filter("kind = 2").unionByName(matched)
-    return rows.groupBy("g").cogroup(verdicts.groupBy("route")).applyInArrow(rewrite, "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string" + beside_schema(docs, keep))
+    staying = exchanged(exchanged(held.filter(F.col("kind") == FIRST).unionByName(matched)).mapInArrow(stays, PACKED)).mapInArrow(by_document, "k bigint, t bigint, stays binary")
+    joined = rows.join(staying, ["k", "t"], "left").drop("k", "t")
+    return joined.mapInArrow(rewrite, "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string" + beside_schema(docs, keep))
 
 
-def _code(line: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each (group, document, place)."""
-    return mix(mix(line["g"].astype(np.uint64) << np.uint64(32) | line["d"].astype(np.uint64)) + line["p"].astype(np.uint64))
+def _firsts(code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The index of the first line of each code."""
+    order = np.lexsort((place["p"], place["t"] >> 32, place["k"], code))
+    return order[np.append(True, code[order][1:] != code[order][:-1])] if len(code) else order
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+def _find(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The index of each wanted code among all, where it is."""
+    order = np.argsort(codes)
+    return order[np.searchsorted(codes, wanted, sorter=order)] if len(wanted) else np.zeros(0, np.int64)
