@@ -17,18 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that are hashed at once.
+_BLOCK = 1 << 16
 #: Bytes of text that one vectorised step works on; one text may be longer.
 STEP_BYTES = 2_000_000
 
-_rng = np.random.default_rng(20_240_607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_RADIX), -1, 2**64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_WEIGHT = np.where(_SPACE, np.uint64(0), _BYTE)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,13 +61,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as files in the cluster's shared checkpoint folder; its lineage ends there.
 
     The folder is spark.checkpoint.dir; where that is unset, a temporary one
-    serves a local session and a cluster is refused.  Exchanges that led to
-    earlier checkpoints aren't needed any more: a collection of the driver's
-    garbage lets Spark's cleaner remove their files.
+    serves a local session and a cluster is refused.  Spark removes the files of
+    the exchanges that led here at once.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -80,9 +77,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if configured is None and not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
+    released(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new plan, for which the setting holds
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the files of exchanges and checkpoints that nothing refers to any more."""
     gc.collect()  # Python's garbage first lets go of the JVM's
     spark.sparkContext._jvm.System.gc()
-    return df.checkpoint(eager=True)
 
 
 class Words:
@@ -96,16 +103,25 @@ class Words:
     def __init__(self, texts: pa.Array, lower: bool = False):
         data, base = text_bytes(texts)
         self.raw, self.base = data, base
-        self.data = data = _LOWER[data] if lower else data
+        self.data = data = data + ((data - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32) if lower else data
         n = len(data)
         if not n:
             self.start = self.end = np.zeros(0, np.int64)
             self.hash, self.first = np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
             return
         self.start, self._inside = word_starts(data, base)
-        value = _WEIGHT[data]
-        value *= powers(n)  # by place in the run; divided by the power of its start, a word's sum depends on its bytes alone
-        self.hash = mix(np.add.reduceat(value, self.start) * powers(n, _INVERSE)[self.start]) if len(self.start) else np.zeros(0, np.uint64)
+        self.hash = np.empty(len(self.start), np.uint64)
+        inside, at = self._inside.view(np.uint8), 0
+        while at < len(self.start):  # by blocks of whole words, so that arrays of eight bytes a byte stay small
+            to = max(at + 1, int(np.searchsorted(self.start, self.start[at] + _BLOCK)))
+            a, b = int(self.start[at]), int(self.start[to]) if to < len(self.start) else n
+            value = ((data[a:b] + np.uint8(1)) * inside[a:b]).astype(np.uint64)
+            value *= powers(b - a)  # by place in the block; divided by the power of its start, a word's sum depends on its bytes alone
+            places = self.start[at:to] - a
+            sums = np.cumsum(value, out=value)[np.append(places[1:], b - a) - 1]  # bytes between words add nothing
+            sums[1:] -= sums[:-1].copy()
+            self.hash[at:to] = mix(sums * powers(b - a, _INVERSE)[places])
+            at = to
         self.first = np.searchsorted(self.start, base)
         self._end = None
 
@@ -134,7 +150,7 @@ class Words:
 
 def word_starts(data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words begin in texts' bytes, and which bytes are parts of words."""
-    inside = ~_SPACE[data]
+    inside = (data != 0x20) & (data - np.uint8(0x09) > 4)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cuts = base[:-1][base[:-1] < len(data)]
@@ -379,38 +395,56 @@ def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-def heads(counts: DataFrame, kind: int, most: int, value: str = "") -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Of packed (key, count) items of one kind, distinct by key: the keys of the highest counts.
+_made: list = []
+
+
+def once(value, make):
+    """make(value), kept by the worker for the next task that has the same broadcast value."""
+    if not _made or _made[0] is not value:
+        _made[:] = [value, make(value)]
+    return _made[1]
 
-    Returns at most ``most`` keys, ascending (equal counts are all in or all
-    out), their counts (or, if ``value`` is a numpy type, the items' third column),
-    the number of all keys and the sum of all counts.
-    """
 
-    def histogram(batches):
-        for _, (_, n) in unpacked(batches, {kind: ["u8", "i8"]}).items():
-            value, back = np.unique(np.minimum(n, 100_000), return_inverse=True)
-            many = np.bincount(back, minlength=len(value)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"value": value, "many": many, "sum": np.bincount(back, n, len(value)).astype(np.int64)})
+#: Added to the kind of counted keys: histograms of their counts.
+HISTOGRAM = 100
 
-    rows = counts.mapInArrow(histogram, "value bigint, many bigint, sum bigint").groupBy("value").agg(F.sum("many").alias("many"), F.sum("sum").alias("sum")).collect()  # 100,000 rows at most
-    least, held = 1, sum(r["many"] for r in rows)
-    for r in sorted(rows):
-        if held <= most:
-            break
-        held, least = held - r["many"], r["value"] + 1
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts as levels: exact below 256, sixteen to a doubling from there."""
+    return np.where(counts < 256, counts, 128 + (16 * np.log2(np.maximum(counts, 1))).astype(np.int64))
+
+
+def histogram(kind: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of a partition's distinct keys: how many have each level of counts, and the sum of their counts."""
+    if len(counts):
+        level, back = np.unique(_level(counts), return_inverse=True)
+        yield from packed(HISTOGRAM + kind, np.zeros(len(level), np.int32), level, np.bincount(back).astype(np.int64), np.bincount(back, counts).astype(np.int64))
+
+
+def heads(counts: DataFrame, kind: int, most: int, value: str = "") -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of packed (key, count) items of one kind, distinct by key, beside their histograms: the keys of the highest counts.
+
+    Returns at most ``most`` keys, ascending (counts of one level are all in or
+    all out), their counts (or, if ``value`` is a numpy type, the items' third
+    column), the number of all keys and the sum of all counts.
+    """
 
     def head(batches):
         for _, (keys, n, *more) in unpacked(batches, {kind: ["u8", "i8", *([value] if value else [])]}).items():
-            own = n >= least
+            own = _level(n) >= least
             if own.any():
                 yield pa.RecordBatch.from_pydict({"k": [keys[own].tobytes()], "n": [[n, *more][-1][own].tobytes()]})
 
-    got = counts.mapInArrow(head, "k binary, n binary").toArrow().to_pylist()
+    rows = counts.filter(F.col("kind") == HISTOGRAM + kind).toArrow().to_batches()  # a thousand levels a partition at most
+    level, many, total = unpacked(iter(rows), {HISTOGRAM + kind: ["i8", "i8", "i8"]})[HISTOGRAM + kind]
+    level, many = summed(level, many)
+    above = np.cumsum(many[::-1])[::-1]
+    least = int(level[above <= most][0]) if (above <= most).any() else int(level[-1]) + 1 if len(level) else 0
+    got = counts.filter(F.col("kind") == kind).mapInArrow(head, "k binary, n binary").toArrow().to_pylist()
     keys = np.frombuffer(b"".join(r["k"] for r in got), "u8")
     n = np.frombuffer(b"".join(r["n"] for r in got), value or "i8")
     order = np.argsort(keys)
-    return keys[order], n[order], sum(r["many"] for r in rows), sum(r["sum"] for r in rows)
+    return keys[order], n[order], int(many.sum()), int(total.sum())
 
 
 def beside(result: pa.Table, rows: pa.Table) -> pa.Table:

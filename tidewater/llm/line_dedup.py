@@ -14,16 +14,17 @@ place), matches it, whether that one stays or not; judged on the input.
 4. Where classes meet at a word, earlier ones pass the length and positional
    filters and a bound on the overlap from parities of the sets.  Each class
    asks for its ``tries`` earliest candidates of each length; if it then has none
-   that verifies but more candidates, a second round asks for all of those.
-5. Sets of asking classes go to their candidates, overlaps are counted, and the
+   that verifies but more candidates, a second round asks for all of those;
+   a bitmap of fixed size tells which words are needed again.
+5. Sets of candidates go to the classes that ask, overlaps are counted, and the
    first lines of classes without a match are the lines that stay.
 
 So a line with thousands of variants asks for a few of them, not all pairs.
 Texts only move in the last step, where they join the lines that stay.
 
 Null text has one empty line and stays as it is.  Null ids come last, as one id
-with 2**63 - 1; rows of one id are ordered by their texts' hashes, rows equal in
-both are one document with one result.  Very long texts are worked on whole, one
+with 2**63 - 1; lines of one id and place are ordered by their words' hashes, then
+their texts'; rows equal in id and text are one document with one result.  Very long texts are worked on whole, one
 at a time.  Empty tables give empty results; extra columns aren't read.
 """
 
@@ -36,17 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, exchanged, gathered, heads, mix, need, packed, packed_rows, ragged, routes, shuffle_partitions, summed, text_bytes, unpacked, word_starts
+from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, exchanged, gathered, heads, histogram, mix, need, once, packed, packed_rows, ragged, released, routes, shuffle_partitions, summed, text_bytes, unpacked, word_starts
 
 _NULL = 2**63 - 1
 _TAIL = np.uint64(2**63)
 _PLACE = np.dtype([("k", "i8"), ("t", "i8"), ("p", "i4")])
 _SHAPE = np.dtype([("n", "i4"), ("tails", "i4")])
-_AGE = np.dtype([("t", "i4"), ("p", "i4")])
 _MEET = np.dtype([("n", "i4"), ("at", "i4")])
 
 #: Kinds of packed rows.
-COUNT, CLASS, FIRST, OFFER, PAIR, SET, MORE, OPEN, MATCHED, STAYS = range(10)
+COUNT, CLASS, FIRST, OFFER, PAIR, WANTED, SET, MORE, SLOT, MATCHED, STAYS = range(11)
+_SLOTS = 23
 
 
 class Lines:
@@ -186,18 +187,16 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
     def total(batches):
         keys, counts = summed(*unpacked(batches, {COUNT: ["u8", "i8"]})[COUNT])
         yield from packed(COUNT, np.zeros(len(keys), np.int32), keys, counts)
+        yield from histogram(COUNT, counts)
 
     words, counts, distinct, _ = heads(checkpointed(exchanged(rows.select("text").mapInArrow(count, PACKED)).mapInArrow(total, PACKED)), COUNT, max_words)
     alone = distinct == len(words) or (len(words) > 0 and int(counts.min()) <= 2)  # words without a rank have one line each
     own = counts > 1
     words, counts = words[own], counts[own]
     frequent = spark.sparkContext.broadcast(words[np.argsort(counts, kind="stable")])  # max_words hashes at most, rarest first
-    cache: dict = {}
 
     def ranks(words: np.ndarray) -> np.ndarray:
-        if "index" not in cache:
-            cache["index"] = Index(frequent.value)
-        return cache["index"].find(words)
+        return once(frequent.value, Index).find(words)
 
     def scan(batches):
         for table in gathered(batches):
@@ -236,8 +235,8 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
     held = checkpointed(exchanged(rows.select("k", "t", "text").mapInArrow(scan, PACKED)).mapInArrow(classes, PACKED))
     lines = held.filter(F.col("kind") == CLASS)
 
-    def offered(sets: Sets, asks: np.ndarray):
-        """The rarest words of sets; the place is negative for those that ask."""
+    def offered(sets: Sets, ask: bool, wanted: np.ndarray | None = None):
+        """The rarest words of sets (of those, the ones in wanted slots); the place is negative for sets that ask."""
         token, first = sets.tokens(), np.cumsum(sets.n) - sets.n
         line = np.repeat(np.arange(len(sets.n)), sets.n)
         sketch = parities(token, first)
@@ -245,34 +244,29 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
         sent = at < (sets.n - need(sets.n, percent) + 1)[line]
         if alone:
             sent &= token < _TAIL
+        if wanted is not None:
+            sent[sent] = wanted[_slot(token[sent])]
         token, line, at = token[sent], line[sent], at[sent]
-        age, shape = np.empty(len(token), _AGE), np.empty(len(token), _MEET)
-        age["t"], age["p"] = (sets.other["t"] >> 32)[line], sets.other["p"][line]
-        shape["n"], shape["at"] = sets.n[line], np.where(asks[line], ~at, at)
-        yield from packed(OFFER, routes(mix(token), parts), token, sets.code[line], sets.other["k"][line], age, sketch[line], shape)
+        shape = np.empty(len(token), _MEET)
+        shape["n"], shape["at"] = sets.n[line], ~at if ask else at
+        yield from packed(OFFER, routes(mix(token), parts), token, sets.code[line], sets.other["k"][line], sets.other["p"][line], sketch[line], shape)
 
     def offer(batches):
         for batch in batches:
-            sets = Sets.read([batch], CLASS, _PLACE)
-            yield from offered(sets, np.ones(len(sets.code), bool))
-
-    def offer_again(batches):
-        found = unpacked(batches, {CLASS: Sets.types(_PLACE), OPEN: ["u8"]})
-        sets = Sets(*found[CLASS])
-        yield from offered(sets, np.isin(sets.code, found[OPEN][0]))
+            yield from offered(Sets.read([batch], CLASS, _PLACE), True)
 
     def meet(tries: int | None):
         starts = buckets(percent)
 
         def run(batches):
-            token, code, k, age, sketch, shape = unpacked(batches, {OFFER: ["u8", "u8", "i8", _AGE, "u8", _MEET]})[OFFER]
+            token, code, k, p, sketch, shape = unpacked(batches, {OFFER: ["u8", "u8", "i8", "i4", "u8", _MEET]})[OFFER]
             order = np.argsort(token)
             same = token[order][1:] == token[order][:-1]
             order = order[np.append(same, False) | np.append(False, same)] if len(order) else order  # words that several lines offer
             if not len(order):
                 return
-            token, code, k, age, sketch, shape = (c[order] for c in (token, code, k, age, sketch, shape))
-            order = np.lexsort((code, age["p"], age["t"], k))
+            token, code, k, p, sketch, shape = (c[order] for c in (token, code, k, p, sketch, shape))
+            order = np.lexsort((code, p, k))
             rank = np.empty(len(order), np.int64)  # equal for the offers of one line
             rank[order] = np.cumsum(np.append(True, code[order][1:] != code[order][:-1]))
             size = shape["n"].astype(np.int64)
@@ -297,55 +291,77 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
                     y.append(code[b[~too_many]])
             x, y, more = (np.concatenate([np.zeros(0, np.uint64), *c]) for c in (x, y, more))
             _, one = np.unique(mix(x + mix(y)), return_index=True)
-            yield from packed(PAIR, routes(x[one], parts), x[one], y[one])
+            x, y = x[one], y[one]
+            yield from packed(PAIR, routes(x, parts), x, y)
+            both, to = np.concatenate([x, y]), np.tile(routes(x, parts), 2)
+            _, one = np.unique(mix(both + mix(to.astype(np.uint64))), return_index=True)
+            yield from packed(WANTED, routes(both[one], parts), both[one], to[one])
             more = np.unique(more)
             yield from packed(MORE, routes(more, parts), more)
 
         return run
 
-    def ask(batches):
-        """Each class's set to its candidates."""
-        found = unpacked(batches, {CLASS: Sets.types(_PLACE), PAIR: ["u8", "u8"]})
-        x, y = found[PAIR]
-        if not len(x):
-            return
-        sets = Sets(*found[CLASS])
-        _, one = np.unique(mix(x + mix(y)), return_index=True)
-        which = _find(sets.code, x[one])
-        yield from sets.take(which, y[one], x[one]).rows(SET, routes(y[one], parts))
+    def send(batches):
+        """Sets of asking classes and of their candidates, to where the asking ones live."""
+        found = unpacked(batches, {CLASS: Sets.types(_PLACE), WANTED: ["u8", "i4"]})
+        sets, (code, route) = Sets(*found[CLASS]), found[WANTED]
+        which = _find(sets.code, code)
+        one = np.unique(which * parts + route)
+        yield from sets.take(one // parts).rows(SET, (one % parts).astype(np.int32))
 
     def verify(batches):
-        found = unpacked(batches, {CLASS: Sets.types(_PLACE), SET: Sets.types("u8")})
-        asked, here = Sets(*found[SET]), Sets(*found[CLASS])
-        which = _find(here.code, asked.code)
-        good = []
-        for a in range(0, len(which), 20_000):
-            mine, other = asked.take(np.arange(a, min(a + 20_000, len(which)))), here.take(which[a : a + 20_000])
+        """Classes that match a candidate, and the offers of those that match none but have more candidates."""
+        found = unpacked(batches, {SET: Sets.types(_PLACE), PAIR: ["u8", "u8"], MORE: ["u8"]})
+        sets, (x, y) = Sets(*found[SET]), found[PAIR]
+        _, one = np.unique(mix(x + mix(y)), return_index=True)
+        code, x, y = x[one], _find(sets.code, x[one]), _find(sets.code, y[one])
+        good = [np.zeros(0, np.uint64)]
+        for a in range(0, len(x), 20_000):
+            mine, other = (sets.take(z[a : a + 20_000]) for z in (x, y))
             pair = np.arange(len(mine.n), dtype=np.uint64)
             key = np.concatenate([mix(s.tokens() + mix(np.repeat(pair, s.n))) for s in (mine, other)])
             owner = np.concatenate([np.repeat(pair, s.n) for s in (mine, other)]).astype(np.int64)
             order = np.argsort(key)
             twice = order[:-1][key[order][1:] == key[order][:-1]]  # words of both
             overlap = np.bincount(owner[twice], minlength=len(pair))
-            good.append(mine.other[100 * overlap >= percent * (mine.n + other.n - overlap)])
-        good = np.unique(np.concatenate([np.zeros(0, np.uint64), *good]))
+            good.append(code[a : a + 20_000][100 * overlap >= percent * (mine.n + other.n - overlap)])
+        good = np.unique(np.concatenate(good))
         yield from packed(MATCHED, routes(good, parts), good)
+        yield from offered(sets.take(_find(sets.code, np.setdiff1d(found[MORE][0], good))), True)
 
-    def round_of(offers: DataFrame, tries: int | None) -> tuple[DataFrame, DataFrame]:
-        """Classes that match an earlier one, and classes with more candidates."""
+    def round_of(offers: DataFrame, tries: int | None) -> DataFrame:
+        """Classes that match an earlier one, and offers of those with more candidates only."""
         pairs = checkpointed(exchanged(offers).mapInArrow(meet(tries), PACKED))
-        asked = exchanged(lines.unionByName(pairs.filter(F.col("kind") == PAIR))).mapInArrow(ask, PACKED)
-        return checkpointed(exchanged(lines.unionByName(asked)).mapInArrow(verify, PACKED)), pairs.filter(F.col("kind") == MORE)
+        sets = exchanged(lines.unionByName(pairs.filter(F.col("kind") == WANTED))).mapInArrow(send, PACKED)
+        return checkpointed(exchanged(sets.unionByName(pairs.filter(F.col("kind").isin(PAIR, MORE)))).mapInArrow(verify, PACKED))
+
+    def slots(batches):
+        slot = np.unique(_slot(unpacked(batches, {OFFER: ["u8"]})[OFFER][0]))
+        yield from packed(SLOT, (slot * 8 >> _SLOTS).astype(np.int32), slot)
+
+    def bitmap(batches):
+        """The wanted ones among the slots of each route, eight in a byte."""
+        batches = list(batches)
+        for r in {r for b in batches for r in b.column("route").to_pylist()}:
+            slot = unpacked([b.filter(pa.array(b.column("route").to_numpy() == r)) for b in batches], {SLOT: ["i8"]})[SLOT][0]
+            bits = np.zeros(1 << _SLOTS >> 3, bool)
+            bits[slot - r * len(bits)] = True
+            yield pa.RecordBatch.from_pydict({"first": [r * len(bits)], "bits": [np.packbits(bits).tobytes()]})
+
+    found = round_of(lines.mapInArrow(offer, PACKED), tries)
+    matched, left = (found.filter(F.col("kind") == kind) for kind in (MATCHED, OFFER))
+    if left.limit(1).count():
+        wanted = np.zeros(1 << _SLOTS, bool)
+        for r in left.mapInArrow(slots, PACKED).repartitionById(8, F.col("route")).mapInArrow(bitmap, "first bigint, bits binary").collect():  # 2**23 bits in all
+            wanted[r["first"] : r["first"] + 8 * len(r["bits"])] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+        wanted = spark.sparkContext.broadcast(np.packbits(wanted))
 
-    def unmatched(batches):
-        found = unpacked(batches, {MORE: ["u8"], MATCHED: ["u8"]})
-        left = np.setdiff1d(found[MORE][0], found[MATCHED][0])
-        yield from packed(OPEN, routes(left, parts), left)
+        def offer_wanted(batches):
+            own = np.unpackbits(wanted.value).astype(bool)
+            for batch in batches:
+                yield from offered(Sets.read([batch], CLASS, _PLACE), False, own)
 
-    matched, more = round_of(lines.mapInArrow(offer, PACKED), tries)
-    left = checkpointed(exchanged(more.unionByName(matched)).mapInArrow(unmatched, PACKED))
-    if left.limit(1).count():
-        again, _ = round_of(exchanged(lines.unionByName(left)).mapInArrow(offer_again, PACKED), None)
+        again = round_of(left.unionByName(lines.mapInArrow(offer_wanted, PACKED)), None)
         matched = matched.unionByName(again)
 
     def stays(batches):
@@ -384,16 +400,22 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
             yield from beside(result, table).to_batches()
 
     staying = exchanged(exchanged(held.filter(F.col("kind") == FIRST).unionByName(matched)).mapInArrow(stays, PACKED)).mapInArrow(by_document, "k bigint, t bigint, stays binary")
+    released(spark)
     joined = rows.join(staying, ["k", "t"], "left").drop("k", "t")
     return joined.mapInArrow(rewrite, "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string" + beside_schema(docs, keep))
 
 
 def _firsts(code: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The index of the first line of each code."""
-    order = np.lexsort((place["p"], place["t"] >> 32, place["k"], code))
+    order = np.lexsort((place["t"], place["p"], place["k"], code))
     return order[np.append(True, code[order][1:] != code[order][:-1])] if len(code) else order
 
 
+def _slot(token: np.ndarray) -> np.ndarray:
+    """One of 2**23 slots of each word."""
+    return (mix(token) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
 def _find(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The index of each wanted code among all, where it is."""
     order = np.argsort(codes)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Index, Tally, Words, checkpointed, exchanged, gathered, heads, held_out, mix, packed, routes, shuffle_partitions, summed, text_bytes, unpacked
+from .common import PACKED, Index, Tally, Words, checkpointed, exchanged, gathered, heads, held_out, histogram, mix, packed, routes, shuffle_partitions, summed, text_bytes, unpacked
 
 END = 0xFF
 #: Bytes of context by which gram counts are dealt to partitions.
@@ -194,6 +194,7 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
                 kinds = np.diff(np.append(first, len(keys)))
                 more = [np.log10(counts) - np.repeat(np.log10(np.add.reduceat(counts, first) + kinds), kinds)]
             yield from packed(kind, place(kind, keys), keys, counts, *more)
+            yield from histogram(kind, counts)
 
     return exchanged(docs.select("text").mapInArrow(count, PACKED)).mapInArrow(add, PACKED)
 
