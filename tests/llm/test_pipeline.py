@@ -34,3 +34,16 @@ def test_stages(spark, tmp_path):
     assert held[4].select("doc_id").distinct().count() == len(passages)
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r["ids_crc32"] for r in run.collect()) == sorted(r["ids_crc32"] for r in held[4].collect())
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(80))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(5, a), (5, b), (3, a + " more"), (7, c), (7, c), (None, c), (None, d), (None, d), (9, ""), (9, ""), (None, None), (8, " ")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    want = [(5, b), (3, a + " more"), (7, c), (None, d), (9, ""), (9, ""), (None, None), (8, " ")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -4,7 +4,7 @@
 lengths (at most ``size`` of them, so the plan doesn't see documents), and
 ``pack`` gives each piece the slot planned for its rank among pieces of its
 length.  Ranks are made in salted parts, so a length that a third of all pieces
-have is still ranked by many tasks.
+have is still ranked by many tasks; the counts of earlier parts join them.
 
 Null text counts as empty and yields one piece: the end id.  Repeated rows are
 packed as rows of their own.  An empty table gives an empty result.  Extra
@@ -21,22 +21,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encode_pieces
-from .common import checkpointed, gathered, shuffle_partitions
+from .common import Words, checkpointed, gathered, ragged, shuffle_partitions
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-_tokenizers: dict[str, tuple] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    """The worker's tokenizer of this file and the pieces it has encoded."""
-    if path not in _tokenizers:
+class WordIds:
+    """Ids of words by their hashes; a worker keeps those of ``CACHE`` words, and 8 times as many ids, at most, then starts anew."""
+
+    CACHE = 1_000_000
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
-        _tokenizers[path] = (made, {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and how many each text has."""
+        words = Words(texts, lower=True)
+        hashes, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        hashes = hashes.tolist()
+        missing = [k for k, x in enumerate(hashes) if x not in self.slot]
+        if len(self.slot) + len(missing) > self.CACHE or len(self.ids) > 8 * self.CACHE:
+            self.clear()
+            missing = range(len(hashes))
+        if len(missing):
+            start, end, data = words.start, words.ends(), words.data.tobytes()
+            fresh = [data[start[first[k]] : end[first[k]]].decode() for k in missing]
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            self.slot |= {hashes[k]: len(self.slot) + j for j, k in enumerate(missing)}
+            self.ids = np.concatenate([self.ids, np.fromiter((x for ids in made for x in ids), np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in made])])
+        slot = np.fromiter(map(self.slot.__getitem__, hashes), np.int64, len(hashes))[back]
+        size = self.ends[slot + 1] - self.ends[slot]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[ragged(self.ends[slot], size)], np.diff(total[words.first])
+
+
+_held: dict[str, WordIds] = {}
 
 
 def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -48,22 +76,27 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, with_i
     """
 
     def run(batches):
-        made, known = _tokenizer(path)
-        end = np.array([end_id], "<u4").tobytes()
+        if path not in _held:
+            _held[path] = WordIds(path)
+        known = _held[path]
         for table in gathered(batches):
-            texts = table.column("text").fill_null("").to_pylist()
-            cut = [[w for w in x.encode().lower().decode().replace("\n", " ").split(" ") if w] for x in texts]
-            rows = []
-            for doc, ids in zip(table.column("doc_id").to_pylist(), encode_pieces(made, known, cut), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            doc, k, start, length, crc, part = zip(*rows, strict=True)
-            out = {"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(k, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+            ids, many = known.of(table.column("text"))
+            n = len(many)
+            whole = many + 1  # with the end id
+            ends = np.cumsum(whole)
+            out = np.full(int(ends[-1]), end_id, "<u4")
+            out[np.arange(len(ids)) + np.repeat(np.arange(n), many)] = ids
+            count = -(-whole // size)
+            owner = np.repeat(np.arange(n), count)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            begin = (ends - whole)[owner] + piece * size
+            length = np.minimum(size, ends[owner] - begin)
+            view = memoryview(out.view(np.uint8))
+            crc = [zlib.crc32(view[4 * a : 4 * (a + m)]) for a, m in zip(begin.tolist(), length.tolist(), strict=True)]
+            found = {"doc_id": table.column("doc_id").take(pa.array(owner)), "piece": pa.array(piece, pa.int32()), "start": pa.array(piece * size, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
             if with_ids:
-                out["ids"] = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in part], pa.list_(pa.int32()))
-            yield from pa.table(out).to_batches()
+                found["ids"] = pa.ListArray.from_arrays(pa.array(np.append(begin, len(out)), pa.int32()), pa.array(out.astype(np.int32)))
+            yield from pa.table(found).to_batches()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, schema)
@@ -134,32 +167,31 @@ def pack(cut: DataFrame, size: int = 4096, parts: int | None = None) -> DataFram
     parts = parts or max(32, shuffle_partitions(spark))
     cut = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     held = cut.groupBy("length", "_part").agg(F.count("*").alias("n"))
-    per = {(r["length"], r["_part"]): r["n"] for r in held.collect()}  # at most size x parts rows
-    counts = np.zeros((size + 1, parts), np.int64)
-    for (length, part), n in per.items():
-        counts[length, part] = n
-    before = np.cumsum(counts, 1) - counts
-    slots = plan({n: int(c) for n, c in enumerate(counts.sum(1)) if c}, size)
+    counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
+    slots = plan(counts, size)
     arrays = {n: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for n, rows in slots.items()}
-    shared = spark.sparkContext.broadcast((before, arrays))  # size x parts counts and the plan
+    shared = spark.sparkContext.broadcast(arrays)  # the plan, which depends on lengths alone
+    earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # parts rows a length at most
+    before = held.select("length", "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
 
     def run(batches):
-        before, arrays = shared.value
+        arrays = shared.value
         for batch in batches:
-            length, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_part"))
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False) - 1 + before[length, part]
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for n in np.unique(length):
                 own = length == n
                 ranks, firsts, offsets = arrays[int(n)]
                 at = np.searchsorted(ranks, rank[own], "right") - 1
                 sequence[own], offset[own] = firsts[at] + rank[own] - ranks[at], offsets[at]
-            kept = [c for c in batch.schema.names if c not in ("_part", "_rank")]
+            kept = [c for c in batch.schema.names if c != "_rank"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")).cast("bigint"))
+    own = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = cut.withColumn("_rank", F.row_number().over(own) - 1).join(before, ["length", "_part"])
+    names = [c for c in cut.columns if c != "_part"]
     schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes if c != "_part") + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(run, schema)
+    return ranked.select(*names, (F.col("_rank") + F.col("_before")).alias("_rank")).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1) -> DataFrame:
