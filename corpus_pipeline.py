@@ -23,13 +23,26 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that match an earlier one."""
-    return _with_text(line_dedup.remove_matches(docs, min_words=1, keep=("lang", "source")), F.col("kept"))
+    return _with_text(line_dedup.remove_matches(docs, keep=("lang", "source")), F.col("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; documents without an id stay."""
-    found = ngram_join.near_duplicates(docs)
-    return docs.select(*COLUMNS).join(found.filter("doc_id != component_id").select("doc_id"), "doc_id", "left_anti")
+    """Of each group of near duplicates the row of the smallest id (null is the largest; then of the smallest hash of the text).
+
+    Rows are told apart by id and text, so rows of one id are judged one by one.
+    Of rows equal in both, one stays; all rows without a word stay.
+    """
+    has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"), F.xxhash64("doc_id", "text").alias("_row"))
+    worded = rows.filter(has_word)
+    groups = ngram_join.near_duplicates(worded.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    known = worded.select("_row", "doc_id", "_text").distinct().join(groups, "_row")
+    age = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
+    first = known.groupBy("component_id").agg(F.min(age).alias("first"))
+    gone = known.join(first, "component_id").filter(age != F.col("first")).select("_row", F.col("doc_id").alias("_id"))
+    single = worded.dropDuplicates(["_row", "doc_id"])
+    kept = single.join(gone, (single["_row"] == gone["_row"]) & single["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    return kept.select(*COLUMNS).unionByName(rows.filter(~has_word).select(*COLUMNS))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
