@@ -448,3 +448,21 @@ def test_recompression_shares_a_symbol_in_every_window():
             key, start = recompress.keys(words)
             side = words.owner()[start]
             assert set(key[side == 0].tolist()) & set(key[side == 1].tolist())
+
+
+def test_word_ids_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    rng = random.Random(4)
+    parts = ["don't", "'s", "'tis", "rock'", "ROCK'Stead", "!", "!!", "'", "''", "&&&", "é", "É", "é", "́", "x́...", "0", "a0b!", "10.5", "０", "٣", "İ", "İ", "K", "ß", "中文", "。", "\x85", " ", " ", "-", "#", "<|endoftext|>", "word", "Word.", "a" * 300, "…", "\U0001f600", "\x00", "\x1c"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", " ", "\n", "\t ", "\x0b", "\x0c", "\r\n"]) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["", "0", "a.", "." * 50 + "a" + "." * 50]
+    made = packing.WordIds(path)
+    for _ in range(2):
+        ids, many = made.of(pa.array(texts))
+        ends = np.cumsum(many)
+        for t, a, n in zip(texts, ends, many):
+            assert ids[a - n : a].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+        made.CACHE = 3

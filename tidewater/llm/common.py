@@ -10,7 +10,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +100,8 @@ class Words:
     one after another, which begin at ``base``.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, split: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None):
+        """split: of bytes, word starts and word ends, more places where words are cut."""
         data, base = text_bytes(texts)
         self.raw, self.base = data, base
         self.data = data = data + ((data - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32) if lower else data
@@ -110,6 +111,10 @@ class Words:
             self.hash, self.first = np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
             return
         self.start, self._inside = word_starts(data, base)
+        self._end = None
+        if split:
+            extra = split(data, self.start, self.ends())
+            self.start, self._end = np.sort(np.append(self.start, extra)), np.sort(np.append(self.ends(), extra))
         self.hash = np.empty(len(self.start), np.uint64)
         inside, at = self._inside.view(np.uint8), 0
         while at < len(self.start):  # by blocks of whole words, so that arrays of eight bytes a byte stay small
@@ -123,7 +128,6 @@ class Words:
             self.hash[at:to] = mix(sums * powers(b - a, _INVERSE)[places])
             at = to
         self.first = np.searchsorted(self.start, base)
-        self._end = None
 
     @property
     def count(self) -> np.ndarray:

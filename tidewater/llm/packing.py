@@ -26,6 +26,26 @@ from .common import Words, checkpointed, gathered, ragged, shuffle_partitions
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+#: What ends every word when words are encoded many at a time; it is a token of its own, and words with its digit are encoded one by one.
+_MARK = "0"
+_OTHER = np.zeros(256, bool)
+_OTHER[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[b for b in range(0x7F) if chr(b).isalnum()]] = True
+
+
+def trailing_signs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where signs begin that follow an ASCII letter or digit up to a word's end: no token reaches across."""
+    at, left = end.copy(), np.arange(len(start))
+    for _ in range(16):
+        left = left[(at[left] > start[left]) & _OTHER[data[at[left] - 1]]]
+        if not len(left):
+            break
+        at[left] -= 1
+    at = at[(at > start) & (at < end)]
+    return at[_ALNUM[data[at - 1]]]
+
+
 class WordIds:
     """Ids of words by their hashes; a worker keeps those of ``CACHE`` words, and 8 times as many ids, at most, then starts anew."""
 
@@ -36,15 +56,37 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.mark = self._encoded([_MARK])[0]
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and how many each has."""
+        alone = np.array([_MARK in w for w in words])
+        many = [w for w, x in zip(words, alone, strict=True) if not x]
+        blank = f" {_MARK} "
+        ids = np.concatenate([np.zeros(0, np.uint32), *self._encoded([blank.join([*many[a : a + 200], ""]) for a in range(0, len(many), 200)])])
+        marks = np.flatnonzero(ids == self.mark[0])
+        size = np.empty(len(words), np.int64)
+        size[~alone] = np.diff(marks, prepend=-1) - 1
+        ids = np.delete(ids, marks)
+        if not alone.any():
+            return ids, size
+        others = self._encoded([w for w, x in zip(words, alone, strict=True) if x])
+        size[alone] = [len(x) for x in others]
+        out, which = np.empty(int(size.sum()), np.uint32), np.repeat(alone, size)
+        out[~which], out[which] = ids, np.concatenate(others)
+        return out, size
+
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and how many each text has."""
-        words = Words(texts, lower=True)
+        words = Words(texts, lower=True, split=trailing_signs)
         hashes, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
         hashes = hashes.tolist()
         missing = [k for k, x in enumerate(hashes) if x not in self.slot]
@@ -52,12 +94,12 @@ class WordIds:
             self.clear()
             missing = range(len(hashes))
         if len(missing):
-            start, end, data = words.start, words.ends(), words.data.tobytes()
-            fresh = [data[start[first[k]] : end[first[k]]].decode() for k in missing]
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            own = first[missing]
+            start, end, data = words.start[own].tolist(), words.ends()[own].tolist(), words.data.tobytes()
+            ids, size = self._fresh([data[a:b].decode() for a, b in zip(start, end, strict=True)])
             self.slot |= {hashes[k]: len(self.slot) + j for j, k in enumerate(missing)}
-            self.ids = np.concatenate([self.ids, np.fromiter((x for ids in made for x in ids), np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in made])])
+            self.ids = np.concatenate([self.ids, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
         slot = np.fromiter(map(self.slot.__getitem__, hashes), np.int64, len(hashes))[back]
         size = self.ends[slot + 1] - self.ends[slot]
         total = np.concatenate([[0], np.cumsum(size)])
