@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import gathered
+from .common import gathered, tidied
 
 #: Pieces that a worker keeps ids of, at most; then it starts anew.
 CACHE = 1_000_000
@@ -134,7 +134,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield from pa.table(out).to_batches()
 
     schema = f"id {kind}, ids array<int>" + ", offsets array<struct<start:int,end:int>>" * offsets
-    got = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, schema)
+    got = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(tidied(run), schema)
     return got.withColumnRenamed("id", id_col)
 
 
@@ -147,7 +147,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             raw = [codec(path).decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield from pa.table({"id": batch.column("id"), "decoded": pa.array(raw, pa.binary()), "text": pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())}).to_batches()
 
-    return encoded.selectExpr(f"`{id_col}` AS id", f"`{ids_col}` AS ids").mapInArrow(run, f"id {kind}, decoded binary, text string").withColumnRenamed("id", id_col)
+    return encoded.selectExpr(f"`{id_col}` AS id", f"`{ids_col}` AS ids").mapInArrow(tidied(run), f"id {kind}, decoded binary, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -167,4 +167,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 "exact": pa.array([x == t.encode() for x, t in zip(back, texts, strict=True)], pa.bool_()),
             }).to_batches()
 
-    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(tidied(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean")

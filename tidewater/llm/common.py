@@ -7,6 +7,9 @@ equal hashes in every task, attempt and run.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import math
 import tempfile
@@ -48,6 +51,19 @@ def powers(n: int, base: np.uint64 = _RADIX) -> np.ndarray:
     return held[:n]
 
 
+def tidied(function):
+    """The same for mapInArrow, giving freed memory back to the system after each partition: workers live on between tasks."""
+
+    @functools.wraps(function)
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not on every system
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -329,7 +345,7 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 class Tally:
     """Counts by key, merged now and then so that a task holds little more than its distinct keys."""
 
-    def __init__(self, limit: int = 3_000_000):
+    def __init__(self, limit: int = 1_500_000):
         self.limit, self.size, self.parts = limit, 0, []
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
@@ -354,7 +370,7 @@ class Index:
 
     def __init__(self, keys: np.ndarray):
         n = len(keys)
-        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(2, 2 * n))))))
+        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(2, 4 * n / 3))))))
         home = self._home(keys)
         order = np.argsort(home, kind="stable")
         place = np.maximum.accumulate(home[order] - np.arange(n)) + np.arange(n) if n else np.zeros(0, np.int64)
@@ -444,7 +460,7 @@ def heads(counts: DataFrame, kind: int, most: int, value: str = "") -> tuple[np.
     level, many = summed(level, many)
     above = np.cumsum(many[::-1])[::-1]
     least = int(level[above <= most][0]) if (above <= most).any() else int(level[-1]) + 1 if len(level) else 0
-    got = counts.filter(F.col("kind") == kind).mapInArrow(head, "k binary, n binary").toArrow().to_pylist()
+    got = counts.filter(F.col("kind") == kind).mapInArrow(tidied(head), "k binary, n binary").toArrow().to_pylist()
     keys = np.frombuffer(b"".join(r["k"] for r in got), "u8")
     n = np.frombuffer(b"".join(r["n"] for r in got), value or "i8")
     order = np.argsort(keys)

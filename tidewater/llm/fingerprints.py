@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, gathered, mix, shuffle_partitions
+from .common import checkpointed, gathered, mix, shuffle_partitions, tidied
 
 #: One step in so many is sampled, from the first step on that isn't below the other number.
 SAMPLES = ((1, 0), (2, 32), (4, 64), (8, 128), (16, 256))
@@ -94,7 +94,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             texts = table.column("text").fill_null("").to_pylist()
             yield from pa.table({"id": table.column("id"), "n_chars": pa.array([len(t) for t in texts], pa.int64()), "fingerprint": pa.array([x.decode() for x in fingerprints(texts)], pa.string())}).to_batches()
 
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, n_chars bigint, fingerprint string").withColumnRenamed("id", id_col)
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(tidied(run), f"id {kind}, n_chars bigint, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -151,9 +151,9 @@ def with_next(docs: DataFrame) -> DataFrame:
                 return
             held = (ids[-1:], texts[-1:])
 
-    dealt = rows.mapInArrow(deal, "part int, ghost boolean, doc_id bigint, text string").repartitionById(parts, F.col("part"))
+    dealt = rows.mapInArrow(tidied(deal), "part int, ghost boolean, doc_id bigint, text string").repartitionById(parts, F.col("part"))
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.sortWithinPartitions("ghost", F.desc("doc_id"), "text").mapInArrow(run, schema)
+    return dealt.sortWithinPartitions("ghost", F.desc("doc_id"), "text").mapInArrow(tidied(run), schema)
 
 
 def band_widths(n: int, share: float) -> list[int]:

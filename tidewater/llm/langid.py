@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Index, Words, gathered, held_out, mix
+from .common import Index, Words, gathered, held_out, mix, tidied
 
 LONGEST = 48
 UNKNOWN = "und"
@@ -186,7 +186,7 @@ def predict(docs: DataFrame, labelled: DataFrame, path: str, max_rows: int = 4_0
             yield from pa.table({"doc_id": table.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(share)}).to_batches()
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    return docs.select(F.col("doc_id").cast("bigint"), "text", letter).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", letter).mapInArrow(tidied(run), "doc_id bigint, lang_pred string, score double")
 
 
 def predict_held_out(docs: DataFrame, path: str, mod: int = 4, rest: int = 2, **options) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gathered, held_out, text_bytes
+from .common import Words, gathered, held_out, text_bytes, tidied
 
 _KIND = np.zeros((256, 7))
 for _b in range(256):
@@ -192,7 +192,7 @@ def classify(docs: DataFrame, labelled: DataFrame, max_rows: int = 4_000, thresh
             score = shared.value.scores(table.column("text"))
             yield from pa.table({"doc_id": table.column("doc_id"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}).to_batches()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidied(run), "doc_id bigint, score double, predicted int")
 
 
 def classify_held_out(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, **options) -> DataFrame:

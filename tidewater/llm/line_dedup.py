@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, exchanged, gathered, heads, histogram, mix, need, once, packed, packed_rows, ragged, released, routes, shuffle_partitions, summed, text_bytes, unpacked, word_starts
+from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, exchanged, gathered, heads, histogram, mix, need, once, packed, packed_rows, ragged, released, routes, shuffle_partitions, summed, text_bytes, tidied, unpacked, word_starts
 
 _NULL = 2**63 - 1
 _TAIL = np.uint64(2**63)
@@ -189,7 +189,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
         yield from packed(COUNT, np.zeros(len(keys), np.int32), keys, counts)
         yield from histogram(COUNT, counts)
 
-    words, counts, distinct, _ = heads(checkpointed(exchanged(rows.select("text").mapInArrow(count, PACKED)).mapInArrow(total, PACKED)), COUNT, max_words)
+    words, counts, distinct, _ = heads(checkpointed(exchanged(rows.select("text").mapInArrow(tidied(count), PACKED)).mapInArrow(tidied(total), PACKED)), COUNT, max_words)
     alone = distinct == len(words) or (len(words) > 0 and int(counts.min()) <= 2)  # words without a rank have one line each
     own = counts > 1
     words, counts = words[own], counts[own]
@@ -232,7 +232,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
             yield from sets.take(own).rows(CLASS, here)
             yield from packed(FIRST, here, sets.code[own], sets.other[own])
 
-    held = checkpointed(exchanged(rows.select("k", "t", "text").mapInArrow(scan, PACKED)).mapInArrow(classes, PACKED))
+    held = checkpointed(exchanged(rows.select("k", "t", "text").mapInArrow(tidied(scan), PACKED)).mapInArrow(tidied(classes), PACKED))
     lines = held.filter(F.col("kind") == CLASS)
 
     def offered(sets: Sets, ask: bool, wanted: np.ndarray | None = None):
@@ -331,9 +331,9 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
 
     def round_of(offers: DataFrame, tries: int | None) -> DataFrame:
         """Classes that match an earlier one, and offers of those with more candidates only."""
-        pairs = checkpointed(exchanged(offers).mapInArrow(meet(tries), PACKED))
-        sets = exchanged(lines.unionByName(pairs.filter(F.col("kind") == WANTED))).mapInArrow(send, PACKED)
-        return checkpointed(exchanged(sets.unionByName(pairs.filter(F.col("kind").isin(PAIR, MORE)))).mapInArrow(verify, PACKED))
+        pairs = checkpointed(exchanged(offers).mapInArrow(tidied(meet(tries)), PACKED))
+        sets = exchanged(lines.unionByName(pairs.filter(F.col("kind") == WANTED))).mapInArrow(tidied(send), PACKED)
+        return checkpointed(exchanged(sets.unionByName(pairs.filter(F.col("kind").isin(PAIR, MORE)))).mapInArrow(tidied(verify), PACKED))
 
     def slots(batches):
         slot = np.unique(_slot(unpacked(batches, {OFFER: ["u8"]})[OFFER][0]))
@@ -348,11 +348,11 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
             bits[slot - r * len(bits)] = True
             yield pa.RecordBatch.from_pydict({"first": [r * len(bits)], "bits": [np.packbits(bits).tobytes()]})
 
-    found = round_of(lines.mapInArrow(offer, PACKED), tries)
+    found = round_of(lines.mapInArrow(tidied(offer), PACKED), tries)
     matched, left = (found.filter(F.col("kind") == kind) for kind in (MATCHED, OFFER))
     if left.limit(1).count():
         wanted = np.zeros(1 << _SLOTS, bool)
-        for r in left.mapInArrow(slots, PACKED).repartitionById(8, F.col("route")).mapInArrow(bitmap, "first bigint, bits binary").collect():  # 2**23 bits in all
+        for r in left.mapInArrow(tidied(slots), PACKED).repartitionById(8, F.col("route")).mapInArrow(tidied(bitmap), "first bigint, bits binary").collect():  # 2**23 bits in all
             wanted[r["first"] : r["first"] + 8 * len(r["bits"])] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
         wanted = spark.sparkContext.broadcast(np.packbits(wanted))
 
@@ -361,7 +361,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
             for batch in batches:
                 yield from offered(Sets.read([batch], CLASS, _PLACE), False, own)
 
-        again = round_of(left.unionByName(lines.mapInArrow(offer_wanted, PACKED)), None)
+        again = round_of(left.unionByName(lines.mapInArrow(tidied(offer_wanted), PACKED)), None)
         matched = matched.unionByName(again)
 
     def stays(batches):
@@ -399,10 +399,10 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
             })
             yield from beside(result, table).to_batches()
 
-    staying = exchanged(exchanged(held.filter(F.col("kind") == FIRST).unionByName(matched)).mapInArrow(stays, PACKED)).mapInArrow(by_document, "k bigint, t bigint, stays binary")
+    staying = exchanged(exchanged(held.filter(F.col("kind") == FIRST).unionByName(matched)).mapInArrow(tidied(stays), PACKED)).mapInArrow(tidied(by_document), "k bigint, t bigint, stays binary")
     released(spark)
     joined = rows.join(staying, ["k", "t"], "left").drop("k", "t")
-    return joined.mapInArrow(rewrite, "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string" + beside_schema(docs, keep))
+    return joined.mapInArrow(tidied(rewrite), "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string" + beside_schema(docs, keep))
 
 
 def _firsts(code: np.ndarray, place: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, gathered, ragged, shuffle_partitions
+from .common import Words, checkpointed, gathered, ragged, shuffle_partitions, tidied
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, with_i
             yield from pa.table(found).to_batches()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def plan(counts: dict[int, int], size: int = 4096) -> dict[int, list[tuple[int, int, int]]]:
@@ -233,7 +233,7 @@ def pack(cut: DataFrame, size: int = 4096, parts: int | None = None) -> DataFram
     ranked = cut.withColumn("_rank", F.row_number().over(own) - 1).join(before, ["length", "_part"])
     names = [c for c in cut.columns if c != "_part"]
     schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes if c != "_part") + ", sequence_id bigint, offset bigint"
-    return ranked.select(*names, (F.col("_rank") + F.col("_before")).alias("_rank")).mapInArrow(run, schema)
+    return ranked.select(*names, (F.col("_rank") + F.col("_before")).alias("_rank")).mapInArrow(tidied(run), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1) -> DataFrame:

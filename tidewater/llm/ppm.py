@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Index, Tally, Words, checkpointed, exchanged, gathered, heads, held_out, histogram, mix, packed, routes, shuffle_partitions, summed, text_bytes, unpacked
+from .common import PACKED, Index, Tally, Words, checkpointed, exchanged, gathered, heads, held_out, histogram, mix, once, packed, routes, shuffle_partitions, summed, text_bytes, tidied, unpacked
 
 END = 0xFF
 #: Bytes of context by which gram counts are dealt to partitions.
@@ -176,7 +176,7 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
 
     def count(batches):
         g, w = Tally(), Tally()
-        for table in gathered(batches):
+        for table in gathered(batches, limit=1_000_000):
             texts = table.column("text")
             g.add(grams(texts, order)[0])
             w.add(Words(texts, lower=True).hash)
@@ -196,10 +196,10 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
             yield from packed(kind, place(kind, keys), keys, counts, *more)
             yield from histogram(kind, counts)
 
-    return exchanged(docs.select("text").mapInArrow(count, PACKED)).mapInArrow(add, PACKED)
+    return exchanged(docs.select("text").mapInArrow(tidied(count), PACKED)).mapInArrow(tidied(add), PACKED)
 
 
-def score(docs: DataFrame, training: DataFrame, order: int = 5, max_nodes: int = 3_000_000, max_words: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, order: int = 5, max_nodes: int = 1_500_000, max_words: int = 200_000) -> DataFrame:
     """Each row of docs with its word model's and byte model's figures.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
@@ -220,20 +220,14 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, max_nodes: int =
         k, n = summed(k & mask, n)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], names=["k", "n"])
 
-    brief = counts.filter("kind = 0").mapInArrow(shorten, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 256 ** NEAR rows at most
+    brief = counts.filter("kind = 0").mapInArrow(tidied(shorten), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # 256 ** NEAR rows at most
     short = spark.sparkContext.broadcast(tuple(brief.column(c).to_numpy().astype(t) for c, t in (("k", np.uint64), ("n", np.int64))))
     divisor = tokens + 0.5 * (kinds + 1)
-    models: dict[int, tuple] = {}
-
-    def model():
-        if not models:
-            k, c, w, wn = shared.value
-            models[0] = Index(k), c, Index(w), wn
-        return models[0]
 
     def measure(batches):
-        top, chance, index, wn = model()
-        for table in gathered(batches):
+        top, index = once(shared.value, lambda x: (Index(x[0]), Index(x[2])))
+        _, chance, _, wn = shared.value
+        for table in gathered(batches, limit=1_000_000):
             rid, doc = (table.column(c).to_numpy() for c in ("rid", "doc_id"))
             texts = table.column("text")
             g, owner = grams(texts, order)
@@ -286,8 +280,8 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, max_nodes: int =
         yield pa.RecordBatch.from_arrays([pa.array(doc, mask=absent), pa.array(tokens_), pa.array(known), pa.array(np.full(len(rid), tokens, np.int64)), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), "text")
-    met = exchanged(rows.mapInArrow(measure, PACKED).unionByName(counts)).mapInArrow(meet, PACKED)
-    return exchanged(met).mapInArrow(finish, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    met = exchanged(rows.mapInArrow(tidied(measure), PACKED).unionByName(counts)).mapInArrow(tidied(meet), PACKED)
+    return exchanged(met).mapInArrow(tidied(finish), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def score_held_out(docs: DataFrame, mod: int = 5, rest: int = 1, **options) -> DataFrame:
