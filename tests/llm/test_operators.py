@@ -201,6 +201,20 @@ def test_ppm_adapts_and_takes_empty_tables(spark, texts):
     assert ppm.score(docs, docs.limit(0)).count() == 2
 
 
+def _log_of_sums(word, place, units):
+    """log10 of the sums over segmentations by fractions, each piece's chance a multiple of 2 ** -40."""
+    from fractions import Fraction
+
+    out = []
+    for j in range(3):
+        sums = [Fraction(1)]
+        for b in range(1, len(word) + 1):
+            sums.append(sum(sums[b - k] * Fraction(units[place[bytes(word[b - k : b])]][j], 2**40) for k in (1, 2, 3) if b >= k and bytes(word[b - k : b]) in place))
+        x = sums[-1]
+        out.append((math.log2(x.numerator) - math.log2(x.denominator)) * math.log10(2))
+    return out
+
+
 def test_language(spark):
     seg = langid.Segmenter([b"a", b"b", b" a", b"ab", b" ab"] + [bytes([c]) for c in range(256) if c not in b"ab"])
     p = np.random.default_rng(0).random((seg.size + 1, 1))
@@ -213,6 +227,24 @@ def test_language(spark):
     for word in (b" ab", b" abab", b" bba"):
         assert seg.forward(np.frombuffer(word, np.uint8)[None, :], p)[0, 0] == pytest.approx(math.log10(total(word)))
     rng = random.Random(2)
+    wide = np.random.default_rng(1).random((seg.size + 1, 3)) / 50
+    wide[-1] = 0
+    for n in (1, 2, 7, 30):
+        word = np.frombuffer(b" " + "".join(rng.choices("abc", k=n)).encode(), np.uint8)
+        assert seg.forward_long(word, wide) == pytest.approx(seg.forward(word[None, :], wide)[0])
+        weight = np.array([2.0, 0.5, 0.0])
+        assert seg.expected_long(word, weight, wide) == pytest.approx(seg.expected(word[None, :], weight[None, :], wide))
+        split = np.zeros_like(wide)  # expected uses are the slope of the log of the sum
+        for k in (0, 3, 4):
+            up = wide.copy()
+            up[k] *= 1 + 1e-6
+            split[k] = (seg.forward_long(word, up) - seg.forward_long(word, wide)) * math.log(10) / 1e-6 * weight
+        assert split[[0, 3, 4]] == pytest.approx(seg.expected_long(word, weight, wide)[[0, 3, 4]], abs=1e-4)
+    word = np.frombuffer(("".join(rng.choices("ab", k=1500)) + "z" * 500).encode(), np.uint8)
+    units = [[int(x * 2**40) for x in row] for row in wide]
+    got = seg.forward_long(word, np.array(units, float) / 2**40)
+    scaled = _log_of_sums(word, place, units)
+    assert got == pytest.approx(scaled, rel=1e-9)
     lexicon = {"x": ["alpha", "beta", "gamma"], "y": ["uno", "dos", "tres"]}
     data = [(i, " ".join(rng.choices(lexicon[k], k=12)), k) for i, k in enumerate("xy" * 40)] + [(200, None, "x"), (201, "123 !!", "y"), (202, "z" * 500, None)]
     docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")

@@ -73,6 +73,22 @@ def held_out(column: str, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+def sample_texts(rows: DataFrame, max_rows: int, max_bytes: int) -> pa.Table:
+    """Rows with a text of the smallest ``_h``: at most max_rows, and of them as many as hold max_bytes of text.
+
+    Hashes and sizes are collected first, then only the chosen texts.  Rows of
+    one hash are all in or all out; ``_h`` orders the result.  Texts of over an
+    eighth of max_bytes are left out.
+    """
+    rows = rows.filter(F.octet_length("text") <= max_bytes // 8)
+    sizes = rows.groupBy("_h").agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n")).orderBy("_h").limit(max_rows).toArrow()
+    h, size, n = (sizes.column(c).to_numpy() for c in ("_h", "size", "n"))
+    fits = (np.cumsum(size) <= max_bytes) & (np.cumsum(n) <= max_rows)
+    if not fits.any():
+        return rows.limit(0).toArrow()
+    return rows.filter(F.col("_h") <= int(h[fits][-1])).orderBy("_h", "text").toArrow()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -321,6 +337,13 @@ def unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[int, list[str]]) ->
     return {k: [np.frombuffer(b"".join(x), t) for x, t in zip(lists, kinds[k], strict=True)] for k, lists in held.items()}
 
 
+def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, one by one."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1)
+
+
 def exchanged(df: DataFrame) -> DataFrame:
     """Packed rows, each in the partition that its route names."""
     return df.repartitionById(shuffle_partitions(df.sparkSession), F.col("route"))

@@ -4,13 +4,15 @@ Pieces come from a fixed public vocabulary and every single byte; each language
 has its own piece probabilities, learned by expectation maximisation from
 labelled texts.  A forward pass over a word's bytes sums the probabilities of
 all its segmentations; a text's likelihood is the product over its words (each
-with a mark for its beginning), lower-cased in A-Z.  Words of over ``LONGEST``
-bytes are taken in parts of that size.
+with a mark for its beginning), lower-cased in A-Z.  Words of up to ``LONGEST``
+bytes are worked on together by length, longer ones one by one in steps that
+keep as many positions as the longest piece has.
 
 Null text, or one without a letter, is ``und`` with score 0; so is every text
 if no labelled text is given.  Ties go to the label that sorts first.  Repeated
-rows and extra columns don't matter.  Learning reads at most ``max_rows``
-labelled texts, those with the smallest hashes of their ids.
+rows, very long texts and extra columns don't matter; an empty table gives an
+empty result.  Learning reads at most ``max_rows`` labelled texts and
+``max_bytes`` of them, those with the smallest hashes of id and text.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Index, Words, gathered, held_out, mix, tidied
+from .common import Index, Words, gathered, held_out, mix, sample_texts, tidied
 
-LONGEST = 48
+LONGEST = 32
+#: Positions of a longer word that are looked up at once.
+_BLOCK = 1 << 15
 UNKNOWN = "und"
 _MARK = 0x20
 _STEP = np.uint64(0x100000001B3)
 
 
-def vocabulary(path: str, longest: int = 16) -> list[bytes]:
+def vocabulary(path: str) -> list[bytes]:
     """The vocabulary's pieces as bytes, a leading blank for a word's beginning, and all single bytes."""
     import sentencepiece
 
@@ -40,7 +44,7 @@ def vocabulary(path: str, longest: int = 16) -> list[bytes]:
             body = piece.removeprefix("▁")
             if "▁" not in body:
                 raw = (bytes([_MARK]) if piece != body else b"") + body.encode()
-                if 0 < len(raw) <= longest:
+                if raw:
                     found.add(raw)
     return sorted(found)
 
@@ -98,22 +102,91 @@ class Segmenter:
         uses[self.size] = 0
         return uses
 
+    def _starting(self, word: np.ndarray) -> np.ndarray:
+        """Each place's pieces that start there, a column for each length."""
+        n = len(word)
+        out = np.full((n, min(self.longest, n)), self.size, np.int32)
+        h = np.zeros(n, np.uint64)
+        wide = word.astype(np.uint64) + np.uint64(1)
+        for k in range(1, out.shape[1] + 1):
+            h = h[: n - k + 1] * _STEP + wide[k - 1 :]
+            at = self.index.find(mix(h ^ np.uint64(k << 56)))
+            out[: n - k + 1, k - 1] = np.where(at >= 0, at, self.size)
+        return out
+
+    def forward_long(self, word: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """forward() of one word of any length."""
+        held, scale = _beginning(self.longest, p.shape[1])
+        for a in range(0, len(word), _BLOCK):
+            near = max(0, a - self.longest)
+            ends = _ending(self._starting(word[near : a + _BLOCK]), self.size, self.longest)[a - near + 1 :]
+            for at in ends:
+                held, scale = _step(held, scale, p[at])
+        return np.log10(np.maximum(held[0], 1e-300)) + scale
+
+    def expected_long(self, word: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """expected() of one word of any length."""
+        starting, n = self._starting(word), len(word)
+        sides = []
+        for table in (_ending(starting, self.size, self.longest)[1:], _reaching(starting, self.size, self.longest)[1:]):
+            held, scale = _beginning(self.longest, p.shape[1])
+            value, log = [held[0]], [scale]
+            for at in table:
+                held, scale = _step(held, scale, p[at])
+                value.append(held[0])
+                log.append(scale)
+            sides.append((np.array(value), np.array(log)))
+        (alpha, before), (beta, after) = sides
+        beta, after = beta[::-1], after[::-1]
+        whole = np.log10(np.maximum(alpha[n], 1e-300)) + before[n]
+        uses = np.zeros_like(p)
+        for k in range(1, starting.shape[1] + 1):
+            at = starting[: n - k + 1, k - 1]
+            np.add.at(uses, at, weight * alpha[: n - k + 1] * p[at] * beta[k:] * np.power(10.0, before[: n - k + 1] + after[k:] - whole))
+        uses[self.size] = 0
+        return uses
+
+
+def _beginning(longest: int, labels: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last positions' sums, nearest first, and the power of ten that they are to be multiplied with."""
+    held = np.zeros((longest, labels))
+    held[0] = 1
+    return held, np.zeros(labels)
+
+
+def _step(held: np.ndarray, scale: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new = (held * chance).sum(0)
+    held = np.vstack([new, held[:-1]])
+    if new.max(initial=1.0) < 1e-60 or new.min(initial=1.0) < 1e-60:
+        most = np.maximum(held.max(0), 1e-300)
+        held, scale = held / most, scale + np.log10(most)
+    return held, scale
+
+
+def _ending(starting: np.ndarray, size: int, longest: int) -> np.ndarray:
+    """From pieces by start, those that end at each place, by length."""
+    out = np.full((len(starting) + 1, longest), size, np.int32)
+    for k in range(1, starting.shape[1] + 1):
+        out[k:, k - 1] = starting[: len(starting) - k + 1, k - 1]
+    return out
+
+
+def _reaching(starting: np.ndarray, size: int, longest: int) -> np.ndarray:
+    """The same as seen from the word's end."""
+    out = np.full((len(starting) + 1, longest), size, np.int32)
+    out[1:, : starting.shape[1]] = starting[::-1]
+    return out
+
 
 def _by_length(words: Words, which: np.ndarray):
-    """Groups of equal length of these words, marked at their beginning; parts of long ones.  Yields (indexes into which, rows)."""
+    """Groups of equal length of these words, marked at their beginning, as (indexes into which, rows); each word of over LONGEST bytes is a group of its own."""
     start, end = words.start[which], words.ends()[which]
-    owner = np.arange(len(which))
-    count = -(-(end - start) // LONGEST)
-    part = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    owner = np.repeat(owner, count)
-    a = start[owner] + part * LONGEST
-    b = np.minimum(a + LONGEST, end[owner])
-    for n in np.unique(b - a):
-        for first in (True, False):
-            own = np.flatnonzero((b - a == n) & ((part == 0) == first))
-            if len(own):
-                rows = words.data[a[own][:, None] + np.arange(n)]
-                yield owner[own], np.hstack([np.full((len(own), 1), _MARK, np.uint8), rows]) if first else rows
+    size = end - start
+    for n in np.unique(size[size <= LONGEST]):
+        own = np.flatnonzero(size == n)
+        yield own, np.hstack([np.full((len(own), 1), _MARK, np.uint8), words.data[start[own][:, None] + np.arange(n)]])
+    for k in np.flatnonzero(size > LONGEST):
+        yield np.array([k]), np.append(np.uint8(_MARK), words.data[start[k] : end[k]])[None, :]
 
 
 class Model:
@@ -136,6 +209,9 @@ class Model:
         for _ in range(rounds):
             uses = np.zeros_like(p)
             for own, rows in groups:
+                if rows.shape[1] > LONGEST + 1:
+                    uses += segmenter.expected_long(rows[0], weight[own[0]], p)
+                    continue
                 for at in range(0, len(own), 20_000):
                     uses += segmenter.expected(rows[at : at + 20_000], weight[own[at : at + 20_000]], p)
             uses[:-1] += smooth
@@ -150,7 +226,7 @@ class Model:
             _, first, back = np.unique(held.hash, return_index=True, return_inverse=True)
             log = np.zeros((len(first), len(self.labels)))
             for own, rows in _by_length(held, first):
-                np.add.at(log, own, segmenter.forward(rows, self.p))
+                log[own] = segmenter.forward(rows, self.p) if rows.shape[1] <= LONGEST + 1 else segmenter.forward_long(rows[0], self.p)
             owner = held.owner()
             for k in range(len(self.labels)):
                 total[:, k] += np.bincount(owner, log[back, k], len(texts))
@@ -162,12 +238,12 @@ class Model:
 _held: dict = {}
 
 
-def predict(docs: DataFrame, labelled: DataFrame, path: str, max_rows: int = 4_000, rounds: int = 3) -> DataFrame:
+def predict(docs: DataFrame, labelled: DataFrame, path: str, max_rows: int = 4_000, max_bytes: int = 64_000_000, rounds: int = 3) -> DataFrame:
     """doc_id, lang_pred, score of every row of docs; learned from labelled's text and non-null lang."""
     spark = docs.sparkSession
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h", "lang").limit(max_rows).collect()
+    rows = sample_texts(labelled.filter(F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h")), max_rows, max_bytes)
     pieces = vocabulary(path)
-    model = Model.learn(Segmenter(pieces), [(r["lang"], r["text"]) for r in rows], rounds) if rows else None
+    model = Model.learn(Segmenter(pieces), list(zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True)), rounds) if rows.num_rows else None
     shared = spark.sparkContext.broadcast((pieces, model))  # the vocabulary by the labels
 
     def run(batches):

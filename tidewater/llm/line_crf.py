@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gathered, held_out, text_bytes, tidied
+from .common import Words, gathered, held_out, sample_texts, text_bytes, tidied
 
 _KIND = np.zeros((256, 7))
 for _b in range(256):
@@ -179,9 +179,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
-def classify(docs: DataFrame, labelled: DataFrame, max_rows: int = 4_000, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score, predicted of every row of docs; labelled: doc_id, text and quality (0, 1 or null), of which at most max_rows are used."""
-    rows = labelled.filter(F.col("quality").isNotNull()).select("quality", "text", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h", "quality").limit(max_rows).toArrow()
+def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000, max_bytes: int = 64_000_000, threshold: float = 0.7) -> DataFrame:
+    """doc_id, score, predicted of every row of docs.
+
+    Learned from the texts of at most ``max_rows`` ids of ``labels`` (doc_id,
+    quality: 0, 1 or null), those of the smallest hashes, and of these from at
+    most ``max_bytes`` of text; the ids are chosen before any text is read.
+    """
+    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = marks.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(max_rows)
+    rows = sample_texts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text", "_h"), max_rows, max_bytes)  # max_rows ids
     field = Field()
     if rows.num_rows:
         field.fit(rows.column("text"), (rows.column("quality").to_numpy() == 1).astype(int))
@@ -197,6 +204,5 @@ def classify(docs: DataFrame, labelled: DataFrame, max_rows: int = 4_000, thresh
 
 def classify_held_out(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, **options) -> DataFrame:
     """classify() of all documents, learned from labelled ones that aren't held out, with held_out."""
-    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(~held_out("doc_id", mod, rest))
-    labelled = docs.select("doc_id", "text").join(marks, "doc_id")
-    return classify(docs, labelled, **options).withColumn("held_out", held_out("doc_id", mod, rest)).select("doc_id", "held_out", "score", "predicted")
+    got = classify(docs, labels.filter(~held_out("doc_id", mod, rest)), **options)
+    return got.withColumn("held_out", held_out("doc_id", mod, rest)).select("doc_id", "held_out", "score", "predicted")

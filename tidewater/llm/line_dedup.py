@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, exchanged, gathered, heads, histogram, mix, need, once, packed, packed_rows, ragged, released, routes, shuffle_partitions, summed, text_bytes, tidied, unpacked, word_starts
+from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, exchanged, gathered, heads, histogram, mix, need, once, packed, packed_rows, ragged, released, routes, shuffle_partitions, single, summed, text_bytes, tidied, unpacked, word_starts
 
 _NULL = 2**63 - 1
 _TAIL = np.uint64(2**63)
@@ -110,7 +110,7 @@ class Sets:
         out[ragged(first + self.tails, self.n - self.tails)] = self.low.astype(np.uint64) | self.high.astype(np.uint64) << np.uint64(16)
         return out
 
-    def rows(self, kind: int, route: np.ndarray, many: int = 20_000):
+    def rows(self, kind: int, route: np.ndarray, many: int = 8_000):
         """Packed rows, of ``many`` sets at most."""
         order = np.argsort(route, kind="stable")
         for a in range(0, len(order), many):
@@ -199,7 +199,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
         return once(frequent.value, Index).find(words)
 
     def scan(batches):
-        for table in gathered(batches):
+        for table in gathered(batches, limit=1_000_000):
             lines = Lines(table.column("text"), min_words)
             if not len(lines.first):
                 continue
@@ -252,8 +252,8 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
         yield from packed(OFFER, routes(mix(token), parts), token, sets.code[line], sets.other["k"][line], sets.other["p"][line], sketch[line], shape)
 
     def offer(batches):
-        for batch in batches:
-            yield from offered(Sets.read([batch], CLASS, _PLACE), True)
+        for row in single(batches):
+            yield from offered(Sets.read([row], CLASS, _PLACE), True)
 
     def meet(tries: int | None):
         starts = buckets(percent)
@@ -358,8 +358,8 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
 
         def offer_wanted(batches):
             own = np.unpackbits(wanted.value).astype(bool)
-            for batch in batches:
-                yield from offered(Sets.read([batch], CLASS, _PLACE), False, own)
+            for row in single(batches):
+                yield from offered(Sets.read([row], CLASS, _PLACE), False, own)
 
         again = round_of(left.unionByName(lines.mapInArrow(tidied(offer_wanted), PACKED)), None)
         matched = matched.unionByName(again)
