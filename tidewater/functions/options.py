@@ -7,15 +7,17 @@ function; other cases without a limit are null.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .normal import normcdf, normpdf
 
 
-
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
@@ -207,33 +209,79 @@ def moneynessbucket(S, K, T, r, q=0.0, edges=(-0.10, -0.03, 0.03, 0.10), labels=
     return chain.otherwise(labels[-1])
 
 
-def impvolbisection(price, S, K, T, r, is_call=True, q=0.0, steps=60, low=1e-6, high=10.0) -> Column:
+#: Fixed values of the solvers: bounds and least vega, and how many tolerances a settled price may be off.
+LEAST_VOL, MOST_VOL, LEAST_VEGA, SETTLED = 1e-6, 10.0, 1e-8, 10
+
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def _values(S, K, T, r, q, sigma, is_call: bool):
+    """Price and vega as arrays."""
+    cdf = lambda x: 0.5 * _erfc(-x / math.sqrt(2.0)).astype(float)
+    spread = sigma * np.sqrt(T)
+    d1 = (np.log(S / K) + (r - q + sigma * sigma / 2) * T) / spread
+    carried, discounted = S * np.exp(-q * T), K * np.exp(-r * T)
+    sign = 1.0 if is_call else -1.0
+    price = sign * (carried * cdf(sign * d1) - discounted * cdf(sign * (d1 - spread)))
+    return price, carried * np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi) * np.sqrt(T)
+
+
+def _by_batch(solve):
+    """A Column function over Arrow batches: of rows with all values and positive S, K and T; null elsewhere.
+
+    Its arguments must be free of lambdas, as columns of data are.
+
+    A search of many steps over one row is one long interpreted expression in
+    the JVM; over arrays each step is a few vector operations, and only rows
+    that haven't settled take part.
+    """
+
+    @F.pandas_udf("double")
+    def run(price: pd.Series, S: pd.Series, K: pd.Series, T: pd.Series, r: pd.Series, q: pd.Series) -> pd.Series:
+        terms = np.column_stack([x.to_numpy(float) for x in (price, S, K, T, r, q)])
+        out = np.full(len(terms), np.nan)
+        good = np.isfinite(terms).all(1) & (terms[:, 1:4] > 0).all(1)
+        if good.any():
+            with np.errstate(all="ignore"):
+                out[good] = solve(*terms[good].T)
+        return pd.Series(out).astype(object).where(np.isfinite(out), None)
+
+    return run
+
+
+def impvolbisection(price, S, K, T, r, is_call=True, q=0.0, steps=60, low=LEAST_VOL, high=MOST_VOL) -> Column:
     """Volatility at which the formula gives price, by halving [low, high]; null if it isn't bracketed."""
-    price, fn = _c(price), bscall if is_call else bsput
-    start = F.struct(F.lit(low).alias("a"), F.lit(high).alias("b"))
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = (s["a"] + s["b"]) / 2.0
-        below = fn(S, K, T, r, middle, q) < price
-        return F.struct(F.when(below, middle).otherwise(s["a"]).alias("a"), F.when(below, s["b"]).otherwise(middle).alias("b"))
+    def solve(price, S, K, T, r, q):
+        value = lambda sigma: _values(S, K, T, r, q, sigma, is_call)[0]
+        a, b = np.full(len(S), low), np.full(len(S), high)
+        bracket = (value(a) <= price) & (value(b) >= price)
+        for _ in range(steps):
+            middle = (a + b) / 2
+            below = value(middle) < price
+            a, b = np.where(below, middle, a), np.where(below, b, middle)
+        return np.where(bracket, (a + b) / 2, np.nan)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["a"] + s["b"]) / 2.0)
-    bracket = (fn(S, K, T, r, low, q) <= price) & (fn(S, K, T, r, high, q) >= price)
-    return F.when(bracket & (_c(T) > 0) & (_c(S) > 0) & (_c(K) > 0), found)
+    return _by_batch(solve)(*map(_c, (price, S, K, T, r, q)))
 
 
 def impvol(price, S, K, T, r, is_call=True, q=0.0, tol=1e-8, steps=100) -> Column:
     """Volatility by Newton's method from the spread of the money; null outside the no-arbitrage bounds or if it doesn't settle."""
-    price, S, K, T, r, q = map(_c, (price, S, K, T, r, q))
-    fn = bscall if is_call else bsput
-    seed = F.greatest(F.lit(1e-6), F.least(F.lit(10.0), F.sqrt(2.0 * F.abs(F.log(S / K) + r * T) / T)))
-
-    def step(v: Column, _: Column) -> Column:
-        gap, slope = fn(S, K, T, r, v, q) - price, bsvega(S, K, T, r, v, q)
-        return F.when((F.abs(gap) < tol) | (slope <= 1e-8), v).otherwise(F.greatest(F.lit(1e-6), F.least(F.lit(10.0), v - gap / slope)))
-
-    ok = (T > 0) & (S > 0) & (K > 0)
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(min(steps, 40))), seed, step)
-    a, b = S * F.exp(-q * T), K * F.exp(-r * T)
-    bounds = price.between(F.greatest(a - b, F.lit(0.0)), a) if is_call else price.between(F.greatest(b - a, F.lit(0.0)), b)
-    return F.when(ok & bounds, F.when(F.abs(fn(S, K, T, r, found, q) - price) < 10 * tol, found))
+
+    def solve(price, S, K, T, r, q):
+        sigma = np.clip(np.sqrt(2 * np.abs(np.log(S / K) + r * T) / T), LEAST_VOL, MOST_VOL)
+        left = np.arange(len(S))
+        for _ in range(steps):
+            value, slope = _values(S[left], K[left], T[left], r[left], q[left], sigma[left], is_call)
+            gap = value - price[left]
+            moves = (np.abs(gap) >= tol) & (slope > LEAST_VEGA)
+            left, gap, slope = left[moves], gap[moves], slope[moves]
+            if not len(left):
+                break
+            sigma[left] = np.clip(sigma[left] - gap / slope, LEAST_VOL, MOST_VOL)
+        a, b = S * np.exp(-q * T), K * np.exp(-r * T)
+        least, most = (np.maximum(a - b, 0), a) if is_call else (np.maximum(b - a, 0), b)
+        settled = np.abs(_values(S, K, T, r, q, sigma, is_call)[0] - price) < SETTLED * tol
+        return np.where((price >= least) & (price <= most) & settled, sigma, np.nan)
+
+    return _by_batch(solve)(*map(_c, (price, S, K, T, r, q)))

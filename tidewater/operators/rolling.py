@@ -175,9 +175,10 @@ def rollbeta(x, y, w, over):
 
 
 def rollidio(y, x, w, over, ddof=1):
-    """Volatility of y that x doesn't explain."""
+    """Volatility of y that x doesn't explain; a share of less than 1e-12 of the variance is rounding and counts as none."""
     rho = rollcorr(x, y, w, over)
-    return rollstd(y, w, over, ddof) * F.when(rho.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 1.0 - rho * rho)))
+    rest = 1.0 - rho * rho
+    return rollstd(y, w, over, ddof) * F.when(rest >= 1e-12, F.sqrt(rest)).when(rest.isNotNull(), F.lit(0.0))
 
 
 def true_range(high, low, close, over):

@@ -74,14 +74,27 @@ _option("bsputcharm", lambda S, K, T, r, sigma: O.bsputcharm(S, K, T, r, sigma),
 _option("callpayoff", lambda S, K, T, r, sigma: O.callpayoff(S, K), "greatest(S - K, 0)", 8)
 _option("putpayoff", lambda S, K, T, r, sigma: O.putpayoff(S, K), "greatest(K - S, 0)", 8)
 _option("digitalprice", lambda S, K, T, r, sigma: O.digitalprice(S, K, T, r, sigma, cash=10.0), "10 * dr * n2", 7)
-_option("gapprice", lambda S, K, T, r, sigma: O.gapprice(S, K, K * 1.1, T, r, sigma), "S * n1 - 1.1::DOUBLE * K * dr * n2")
+_option("gapprice", lambda S, K, T, r, sigma: O.gapprice(S, K, K * 1.1, T, r, sigma), "S * n1 - 1.1::DOUBLE * K * dr * n2", 4)
 register("powerprice", lambda v: v.opt.select(*_IDS, (lambda S, K, T, r, sigma: O.powerprice(S, K * K, T, r, sigma))(*terms()).alias("v")), with_views(f"SELECT {', '.join(_IDS)}, round(dr * (fw * {N.sql_normcdf('e1')} - kk * {N.sql_normcdf('e2')}), 1) + 0.0::DOUBLE AS v FROM (SELECT *, (ln(fw / kk) + w * w / 2) / w AS e1, (ln(fw / kk) - w * w / 2) / w AS e2 FROM (SELECT *, K * K AS kk, S * S * exp((2 * r + sigma * sigma) * T) AS fw, 2 * sd AS w FROM n))", "opt").replace(" SELECT " + _IDS[0], f", {_D} SELECT {_IDS[0]}", 1), 1)
 _CHOOSE = f"(ln(S / k2) + (r + sigma * sigma / 2) * t2) / (sigma * sqrt(t2))"
 register("chooserprice", lambda v: v.opt.select(*_IDS, (lambda S, K, T, r, sigma: O.chooserprice(S, K, T, T / 2, r, sigma))(*terms()).alias("v")), with_views(f"SELECT {', '.join(_IDS)}, round({_CALL} + k2 * exp(-r * t2) * {N.sql_normcdf('m2')} - S * {N.sql_normcdf('m1')}, 5) + 0.0::DOUBLE AS v FROM (SELECT *, -{_CHOOSE} AS m1, -{_CHOOSE} + sigma * sqrt(t2) AS m2 FROM (SELECT *, T / 2 AS t2, K * exp(-r * T / 2) AS k2 FROM n))", "opt").replace(" SELECT " + _IDS[0], f", {_D} SELECT {_IDS[0]}", 1), 5)
 _LB = "b AS (SELECT *, CASE WHEN abs(r) < 1e-8 THEN 1e-8::DOUBLE ELSE r END AS c FROM opt WHERE S > 0), a AS (SELECT *, (ln(1 / 0.9::DOUBLE) + (c + sigma * sigma / 2) * T) / (sigma * sqrt(T)) AS a1 FROM b), e AS (SELECT *, a1 - sigma * sqrt(T) AS a2, 2 * c * sqrt(T) / sigma - a1 AS a3, -a1 AS a4 FROM a)"
 register("lookbackprice", lambda v: v.opt.filter("S > 0 AND r > 0.001").select(*_IDS, (lambda S, K, T, r, sigma: O.lookbackprice(S, S * 0.9, T, r, sigma))(*terms()).alias("v")), with_views(f"SELECT {', '.join(_IDS)}, round(S * exp((c - r) * T) * {N.sql_normcdf('a1')} - 0.9::DOUBLE * S * exp(-r * T) * {N.sql_normcdf('a2')} + S * exp(-r * T) * sigma * sigma / (2 * c) * (pow(1 / 0.9::DOUBLE, -2 * c / (sigma * sigma)) * {N.sql_normcdf('a3')} - exp(c * T) * {N.sql_normcdf('a4')}), 4) + 0.0::DOUBLE AS v FROM e WHERE r > 0.001", "opt").replace(" SELECT " + _IDS[0], f", {_LB} SELECT {_IDS[0]}", 1), 4)
 register("moneynessbucket", lambda v: v.opt.select(*_IDS, (lambda S, K, T, r, sigma: O.moneynessbucket(S, K, T, r))(*terms()).alias("v")), with_views(f"SELECT {', '.join(_IDS)}, CASE WHEN m < -0.10 THEN 'deep_ITM' WHEN m < -0.03 THEN 'ITM' WHEN m < 0.03 THEN 'ATM' WHEN m < 0.10 THEN 'OTM' ELSE 'deep_OTM' END AS v FROM (SELECT *, ln(K / (S * exp(r * T))) AS m FROM opt)", "opt"))
+
+
+def _priced(v: Views):
+    """Options with their prices as a column of data: Spark can't hand expressions with lambdas to a Pandas UDF."""
+    made = v.opt.select(*_IDS, "S", "K", "T", "r", "sigma", O.bscall(*terms()).alias("price"))
+    return made.mapInArrow(lambda batches: batches, made.schema)
+
+
 for _name, _fn in (("impvolbisection", O.impvolbisection), ("impvol", O.impvol)):
-    # The volatility that a price was made with comes back.
-    register(_name, lambda v, fn=_fn: v.opt.filter("S > 0.9 * K AND S < 1.1 * K AND T > 0.2").select(*_IDS, (lambda S, K, T, r, sigma: fn(O.bscall(S, K, T, r, sigma), S, K, T, r))(*terms()).alias("v")), with_views(f"SELECT {', '.join(_IDS)}, round(sigma, 5) + 0.0::DOUBLE AS v FROM opt WHERE S > 0.9 * K AND S < 1.1 * K AND T > 0.2", "opt"), 5)
+    # The volatility that a price was made with comes back, of every line; it is compared where a hundredth of volatility moves the price by a hundredth or more.
+    register(
+        _name,
+        lambda v, fn=_fn: _priced(v).select(*_IDS, F.when(O.bsvega(*terms()) > 1, fn(F.col("price"), F.col("S"), F.col("K"), F.col("T"), F.col("r"))).alias("v")),
+        with_views(f"SELECT {', '.join(_IDS)}, CASE WHEN S * f1 * sqrt(T) > 1 THEN round(sigma, 5) + 0.0::DOUBLE END AS v FROM n", "opt").replace(" SELECT " + _IDS[0], f", {_D} SELECT {_IDS[0]}", 1),
+        5,
+    )
 register("deltabucket", lambda v: chains.deltabucket(v.opt.select((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("id"), O.bscalldelta(*terms()).alias("delta")), "id", "delta", [0.1, 0.25, 0.5, 0.75, 0.9]), with_views(f"SELECT target, round(arg_min(n1, (abs(n1 - target), id)), 8) + 0.0::DOUBLE AS delta, round(min(abs(n1 - target)), 8) + 0.0::DOUBLE AS gap FROM (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 0.75, 0.9]) AS target, n1, l_orderkey * 100000 + l_partkey AS id FROM n) GROUP BY target", "opt").replace(" SELECT target", f", {_D} SELECT target", 1), 8)

@@ -33,12 +33,18 @@ for _method, _pick in (("first_wins", "arg_min"), ("last_wins", "arg_max")):
 
 def _events(v: Views):
     day = F.dayofyear("d")
-    return v.px.filter("year(d) = 1996").withColumn("split", F.when(day == 100, 2.0).when(day == 200, 4.0)).withColumn("dividend", F.when(day % 60 == 0, 500.0))
+    return v.px.withColumn("split", F.when(day == 100, 2.0).when(day == 200, 4.0)).withColumn("dividend", F.when(day % 60 == 0, 500.0))
 
 
-_STEP = "e AS (SELECT *, CASE dayofyear(d) WHEN 100 THEN 0.5 WHEN 200 THEN 0.25 ELSE 1 END::DOUBLE * CASE WHEN dayofyear(d) % 60 = 0 AND lag(x) OVER (PARTITION BY s ORDER BY d) > 500 THEN (lag(x) OVER (PARTITION BY s ORDER BY d) - 500) / lag(x) OVER (PARTITION BY s ORDER BY d) ELSE 1 END AS f FROM px WHERE year(d) = 1996)"
+_STEP = "e AS (SELECT *, CASE dayofyear(d) WHEN 100 THEN 0.5 WHEN 200 THEN 0.25 ELSE 1 END::DOUBLE * CASE WHEN dayofyear(d) % 60 = 0 AND lag(x) OVER (PARTITION BY s ORDER BY d) > 500 THEN (lag(x) OVER (PARTITION BY s ORDER BY d) - 500) / lag(x) OVER (PARTITION BY s ORDER BY d) ELSE 1 END AS f FROM px)"
 for _direction, _factor in (("backward", "coalesce(product(f) OVER (PARTITION BY s ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1)"), ("forward", "product(1 / f) OVER (PARTITION BY s ORDER BY d ROWS UNBOUNDED PRECEDING)")):
-    register(f"corpaction_{_direction}", lambda v, k=_direction: P.corpaction(_events(v), by_series(), "x", "split", "dividend", k).select("s", "d", "factor", "adjusted"), with_views(f"SELECT s, d, round(factor, 5) AS factor, round(x * factor, 5) AS adjusted FROM (SELECT *, {_factor} AS factor FROM e)", "px").replace(" SELECT s, d, round", f", {_STEP} SELECT s, d, round", 1), 5)
+    # Splits of many years multiply, so factors are compared by their logarithms.
+    register(
+        f"corpaction_{_direction}",
+        lambda v, k=_direction: P.corpaction(_events(v), by_series(), "x", "split", "dividend", k).select("s", "d", F.ln("factor").alias("log_factor"), F.ln("adjusted").alias("log_adjusted")),
+        with_views(f"SELECT s, d, round(ln(factor), 8) + 0.0::DOUBLE AS log_factor, round(ln(x * factor), 8) + 0.0::DOUBLE AS log_adjusted FROM (SELECT *, {_factor} AS factor FROM e)", "px").replace(" SELECT s, d, round", f", {_STEP} SELECT s, d, round", 1),
+        8,
+    )
 
 register("skipna", lambda v: P.skipna(v.holes, "x", "y"), with_views("SELECT s, d, round(x, 6) AS x, round(y, 6) AS y FROM holes WHERE x IS NOT NULL AND y IS NOT NULL", "holes"))
 register("strict_policy", lambda v: P.strict(v.px, "x"), with_views("SELECT s, d, round(x, 6) AS x FROM px", "px"))

@@ -105,7 +105,7 @@ _AC = "ac AS (SELECT s, count(*) AS n, " + ", ".join(f"sum(e * l{k}) / sum(e * e
 register("ljungbox", lambda v: M.ljungbox(v.ret, "s", by_series(), "r", 5), _after(with_views("##SELECT s, round(n * (n + 2) * (" + " + ".join(f"r{k} * r{k} / (n - {k})" for k in range(1, 6)) + "), 5) AS q, n FROM ac", "ret"), _AC), 5)
 register("boxpierce", lambda v: M.boxpierce(v.ret, "s", by_series(), "r", 5), _after(with_views("##SELECT s, round(n * (" + " + ".join(f"r{k} * r{k}" for k in range(1, 6)) + "), 5) AS q, n FROM ac", "ret"), _AC), 5)
 register("durbinwatson", lambda v: M.durbinwatson(v.ret, "s", by_series(), "r"), with_views("SELECT s, round(sum(e * e) / sum(r * r), 6) AS dw FROM (SELECT s, r, r - lag(r) OVER (PARTITION BY s ORDER BY d) AS e FROM ret) GROUP BY s", "ret"))
-register("andersondarling", lambda v: M.andersondarling(v.px.filter("year(d) = 1997"), "s", "x"), _after(with_views(f"##SELECT s, round(a, 5) AS a2, n, round(a * (1 + 0.75::DOUBLE / n + 2.25::DOUBLE / (n * n)), 5) AS adjusted FROM (SELECT s, -count(*) - sum((2 * i - 1) / n * ln({sql_normcdf('z')}) + (2 * (n - i) + 1) / n * ln({sql_normcdf('y')})) AS a, count(*) AS n FROM zs GROUP BY s)", "px"), "zs AS (SELECT s, z, -z AS y, row_number() OVER (PARTITION BY s ORDER BY z) AS i, count(*) OVER (PARTITION BY s) AS n FROM (SELECT s, (x - avg(x) OVER (PARTITION BY s)) / stddev_samp(x) OVER (PARTITION BY s) AS z FROM px WHERE year(d) = 1997))"), 5)
+register("andersondarling", lambda v: M.andersondarling(v.px, "s", "x"), _after(with_views(f"##SELECT s, round(a, 5) AS a2, n, round(a * (1 + 0.75::DOUBLE / n + 2.25::DOUBLE / (n * n)), 5) AS adjusted FROM (SELECT s, -count(*) - sum((2 * i - 1) / n * ln({sql_normcdf('z')}) + (2 * (n - i) + 1) / n * ln({sql_normcdf('y')})) AS a, count(*) AS n FROM zs GROUP BY s)", "px"), "zs AS (SELECT s, z, -z AS y, row_number() OVER (PARTITION BY s ORDER BY z) AS i, count(*) OVER (PARTITION BY s) AS n FROM (SELECT s, (x - avg(x) OVER (PARTITION BY s)) / stddev_samp(x) OVER (PARTITION BY s) AS z FROM px))"), 5)
 register("varianceratio", lambda v: M.varianceratio(v.px, "s", by_series(), "x", 2), with_views("SELECT s, round(vr, 5) AS vr, round((vr - 1) / sqrt(2 * 3 * 1 / (6.0::DOUBLE * n)), 5) AS z FROM (SELECT s, count(a) AS n, (sum(pow(b - 2 * m, 2)) / (2 * (count(a) - 1) * (1 - 2 / count(a)))) / (sum(pow(a - m, 2)) / (count(a) - 1)) AS vr FROM (SELECT *, avg(a) OVER (PARTITION BY s) AS m FROM (SELECT s, x - lag(x) OVER (PARTITION BY s ORDER BY d) AS a, x - lag(x, 2) OVER (PARTITION BY s ORDER BY d) AS b FROM px)) GROUP BY s)", "px"), 5)
 register("spearmanrank", lambda v: M.spearmanrank(v.both, "a", "b"), _after(with_views("##SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS b FROM both_)", "both"), "one AS (SELECT 1)"))
 register("chatterjeexi", lambda v: M.chatterjeexi(v.both, "a", "b", "d"), _after(with_views("##SELECT round(1 - 3 * sum(abs(nx - r)) / (pow(count(*), 2) - 1), 6) AS xi, count(*) AS n FROM (SELECT r, lead(r) OVER (ORDER BY a, d) AS nx FROM (SELECT a, d, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS r FROM both_))", "both"), "one AS (SELECT 1)"))

@@ -14,14 +14,14 @@ _ACTIONS = "element_at(array('close_at_last', 'mark_to_zero', 'prorate'), CAST(c
 
 
 def _prices(v: Views):
-    return v.table("orders").filter("o_custkey % 5 = 0").groupBy(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("p"))
+    return v.table("orders").groupBy(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("p"))
 
 
 def _lives(v: Views):
     return v.table("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.to_date(F.lit("1996-01-01")).alias("listing"), F.when(F.col("c_custkey") % 4 == 0, F.to_date(F.lit("1999-06-30"))).alias("delisting"), F.expr(_ACTIONS).alias("action"), F.lit(0.4).alias("recovery"))
 
 
-_SQL = "pr AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS p FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1, 2), lv AS (SELECT c_custkey AS k, DATE '1996-01-01' AS listing, CASE WHEN c_custkey % 4 = 0 THEN DATE '1999-06-30' END AS delisting, (['close_at_last', 'mark_to_zero', 'prorate'])[c_custkey % 3 + 1] AS action, 0.4::DOUBLE AS recovery FROM customer WHERE c_custkey % 2 = 0), tr AS (SELECT pr.*, lv.delisting, lv.action, lv.recovery, coalesce(d >= listing, true) AND coalesce(d <= delisting, true) AS ok FROM pr LEFT JOIN lv USING (k))"
+_SQL = "pr AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS p FROM orders GROUP BY 1, 2), lv AS (SELECT c_custkey AS k, DATE '1996-01-01' AS listing, CASE WHEN c_custkey % 4 = 0 THEN DATE '1999-06-30' END AS delisting, (['close_at_last', 'mark_to_zero', 'prorate'])[c_custkey % 3 + 1] AS action, 0.4::DOUBLE AS recovery FROM customer WHERE c_custkey % 2 = 0), tr AS (SELECT pr.*, lv.delisting, lv.action, lv.recovery, coalesce(d >= listing, true) AND coalesce(d <= delisting, true) AS ok FROM pr LEFT JOIN lv USING (k))"
 register("tradeable_mask", lambda v: L.tradeable(_prices(v), _lives(v), "k", "d").select("k", "d", "tradeable"), f"WITH {_SQL} SELECT k, d, ok AS tradeable FROM tr")
 register("apply_lifecycle", lambda v: L.apply_lifecycle(_prices(v), _lives(v), "k", "d", "p"), f"WITH {_SQL} SELECT k, d, round(CASE WHEN ok THEN p END, 6) AS p, ok AS tradeable FROM tr")
 register("lifecycle_returns", lambda v: L.lifecycle_returns(_prices(v), _lives(v), "k", "d", "p").select("k", "d", "ret"), f"WITH {_SQL} SELECT k, d, round(CASE WHEN gone THEN CASE WHEN i = 1 THEN CASE action WHEN 'close_at_last' THEN 0 WHEN 'mark_to_zero' THEN -1 ELSE recovery - 1 END END ELSE x / lag(x) OVER (PARTITION BY k ORDER BY d) - 1 END, 6) + 0.0::DOUBLE AS ret FROM (SELECT *, CASE WHEN ok THEN p END AS x, coalesce(d > delisting, false) AS gone, sum(coalesce(d > delisting, false)::INT) OVER (PARTITION BY k ORDER BY d) AS i FROM tr)")
@@ -44,7 +44,7 @@ def _orders(v: Views):
 for _name, _model, _slip in (("flat", lambda: L.flat_slippage(3.14159), "0.000314159::DOUBLE"), ("linear", lambda: L.linear_impact(10.0), "0.001::DOUBLE * abs(filled) / nullif(adv, 0)"), ("square_root", lambda: L.square_root_impact(10.0), "0.001::DOUBLE * sqrt(abs(filled) / nullif(adv, 0))")):
     register(f"execute_fill_{_name}", lambda v, m=_model: L.execute_fills(_orders(v), _adv(v), "s", "d", m()).select("id", "reason", "filled", (F.col("slippage") * 10000).alias("slippage_bps"), "fill_price", F.log(F.nullif(F.col("cost"), F.lit(0.0))).alias("log_cost")), f"WITH {_ADV}, {_FILL} SELECT id, reason, round(filled, 3) + 0.0::DOUBLE AS filled, round(10000 * CASE WHEN filled <> 0 THEN {_slip} ELSE 0 END, 3) + 0.0::DOUBLE AS slippage_bps, round(price * (1 + sign(filled) * CASE WHEN filled <> 0 THEN {_slip} ELSE 0 END), 3) AS fill_price, round(ln(nullif(abs(filled) * price * (1 + sign(filled) * CASE WHEN filled <> 0 THEN {_slip} ELSE 0 END), 0)), 3) AS log_cost FROM fl", 3)
 register("liquidity_mask", lambda v: L.liquidity_mask(v.px, _adv(v), "s", "d", 1000.0).select("s", "d", "liquid"), with_views("##", "px").replace("WITH ", f"WITH {_ADV}, ").replace("##", "SELECT px.s, px.d, coalesce(adv > 1000, false) AS liquid FROM px LEFT JOIN av ON px.s = av.s AND px.d = av.d"))
-register("position_book", lambda v: L.book(v.table("orders").filter("o_custkey % 3 = 0").select("o_custkey", "o_orderdate", "o_orderkey", (F.col("o_orderkey") % 50 * F.when(F.col("o_orderkey") % 3 == 0, -2.0).otherwise(1.0)).alias("filled"), F.col("o_totalprice").alias("fill_price")), "o_custkey", ["o_orderdate", "o_orderkey"]), "WITH RECURSIVE f AS (SELECT o_custkey, (o_orderkey % 50) * (CASE WHEN o_orderkey % 3 = 0 THEN -2 ELSE 1 END)::DOUBLE AS q, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey % 3 = 0), b AS (SELECT o_custkey, 0::BIGINT AS i, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS gain FROM (SELECT DISTINCT o_custkey FROM f) UNION ALL SELECT f.o_custkey, f.i, b.pos + q, CASE WHEN q = 0 THEN cost WHEN b.pos + q = 0 THEN 0 WHEN b.pos * q >= 0 THEN (b.pos * cost + q * p) / (b.pos + q) WHEN b.pos * (b.pos + q) > 0 THEN cost ELSE p END, gain + CASE WHEN b.pos * q >= 0 THEN 0 ELSE least(abs(b.pos), abs(q)) * sign(b.pos) * (p - cost) END FROM b JOIN f ON f.o_custkey = b.o_custkey AND f.i = b.i + 1) SELECT b.o_custkey, n AS n_fills, round(pos, 4) + 0.0::DOUBLE AS pos, round(cost, 4) + 0.0::DOUBLE AS avg_cost, round(gain, 4) + 0.0::DOUBLE AS realized FROM b JOIN (SELECT DISTINCT o_custkey, n FROM f) USING (o_custkey) WHERE i = n", 4)
+register("position_book", lambda v: L.book(v.table("orders").select("o_custkey", "o_orderdate", "o_orderkey", (F.col("o_orderkey") % 50 * F.when(F.col("o_orderkey") % 3 == 0, -2.0).otherwise(1.0)).alias("filled"), F.col("o_totalprice").alias("fill_price")), "o_custkey", ["o_orderdate", "o_orderkey"]), "WITH RECURSIVE f AS (SELECT o_custkey, (o_orderkey % 50) * (CASE WHEN o_orderkey % 3 = 0 THEN -2 ELSE 1 END)::DOUBLE AS q, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), b AS (SELECT o_custkey, 0::BIGINT AS i, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS gain FROM (SELECT DISTINCT o_custkey FROM f) UNION ALL SELECT f.o_custkey, f.i, b.pos + q, CASE WHEN q = 0 THEN cost WHEN b.pos + q = 0 THEN 0 WHEN b.pos * q >= 0 THEN (b.pos * cost + q * p) / (b.pos + q) WHEN b.pos * (b.pos + q) > 0 THEN cost ELSE p END, gain + CASE WHEN b.pos * q >= 0 THEN 0 ELSE least(abs(b.pos), abs(q)) * sign(b.pos) * (p - cost) END FROM b JOIN f ON f.o_custkey = b.o_custkey AND f.i = b.i + 1) SELECT b.o_custkey, n AS n_fills, round(pos, 4) + 0.0::DOUBLE AS pos, round(cost, 4) + 0.0::DOUBLE AS avg_cost, round(gain, 4) + 0.0::DOUBLE AS realized FROM b JOIN (SELECT DISTINCT o_custkey, n FROM f) USING (o_custkey) WHERE i = n", 4)
 register("equity_curve", lambda v: L.equity(_orders(v).select("s", "d", F.col("size").alias("filled"), F.col("price").alias("fill_price")), v.px.withColumnRenamed("x", "price"), "s", "d", 1e9).select("d", *[(F.col(c) / 1e6).alias(c) for c in ("cash", "value", "total")]), with_views("##", "px").replace("WITH ", f"WITH {_ADV}, ").replace("##", ", fw AS (SELECT s, d, sum(size) AS q, sum(size * price) AS m FROM od GROUP BY 1, 2), hd AS (SELECT d, m, x, sum(q) OVER (PARTITION BY s ORDER BY d ROWS UNBOUNDED PRECEDING) AS pos FROM px LEFT JOIN fw USING (s, d)), dd AS (SELECT d, sum(coalesce(m, 0)) AS m, sum(coalesce(pos, 0) * x) AS value FROM hd GROUP BY d) SELECT d, round((1e9 - sum(m) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING)) / 1e6, 3) AS cash, round(value / 1e6, 3) AS value, round((1e9 - sum(m) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) + value) / 1e6, 3) AS total FROM dd"), 3)
 
 # -- rotations from the first components of vectors ---------------------------------

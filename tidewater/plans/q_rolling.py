@@ -38,7 +38,7 @@ _one("rollsharpe", lambda X, Y, by: R.rollsharpe(X, W, by, 252.0, 1000.0), "(avg
 _one("rollcov", lambda X, Y, by: R.rollcov(X, Y, W, by), "covar_samp(x, y) {f}", 0)
 _one("rollcorr", lambda X, Y, by: R.rollcorr(X, Y, W, by), "corr(x, y) {f}")
 _one("rollbeta", lambda X, Y, by: R.rollbeta(X, Y, W, by), "regr_slope(y, x) {f}")
-_one("rollidio", lambda X, Y, by: R.rollidio(Y, X, W, by), "CASE WHEN count(x) {f} = 20 THEN stddev_samp(y) {f} * sqrt(greatest(0, 1 - corr(x, y) {f} * corr(x, y) {f})) END", 3)
+_one("rollidio", lambda X, Y, by: R.rollidio(Y, X, W, by), "CASE WHEN count(x) {f} = 20 THEN stddev_samp(y) {f} * CASE WHEN 1 - corr(x, y) {f} * corr(x, y) {f} >= 1e-12 THEN sqrt(1 - corr(x, y) {f} * corr(x, y) {f}) ELSE 0 END END", 3)
 
 for _name, _column, _sql in (("rollargmax", R.rollargmax, "max"), ("rollargmin", R.rollargmin, "min")):
     register(_name, lambda v, c=_column: v.holes.select("s", "d", c(F.col("x"), W, by_series()).alias("v")), with_views(f"SELECT s, d, CASE WHEN count(x) {_FRAME} = {W} THEN list_position({_LIST}, list_{_sql}({_LIST})) - 1 END::BIGINT AS v FROM holes", "holes"))

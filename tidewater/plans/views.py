@@ -67,8 +67,8 @@ class Views:
     @property
     def opt(self) -> DataFrame:
         """Option terms from line items: id columns, S, K, T, r, sigma."""
-        line = self.table("lineitem").filter("l_partkey % 10 = 0").join(self.table("part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-        return line.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("S"), F.col("p_retailprice").alias("K"), (F.col("l_quantity") / 50).alias("T"), F.col("l_tax").alias("r"), (0.1 + 3 * F.col("l_discount")).alias("sigma")).distinct()
+        line = self.table("lineitem").join(self.table("part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+        return line.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("S"), F.col("p_retailprice").alias("K"), (F.col("l_quantity") / 50).alias("T"), F.col("l_tax").alias("r"), (0.1 + 3 * F.col("l_discount")).alias("sigma"))
 
 
 #: The same shapes for DuckDB, as common table expressions.
@@ -79,7 +79,7 @@ SQL = {
     "ticks": "ticks AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS px FROM events)",
     "bars": "bars AS (SELECT event_type AS s, CAST(ts AS DATE) AS d, arg_min(value, event_id) AS o, max(value) AS h, min(value) AS l, arg_max(value, event_id) AS c, count(*) AS n FROM events GROUP BY 1, 2)",
     "panel": "panel AS (SELECT t, name, f, lead(f) OVER (PARTITION BY name ORDER BY t) / nullif(f, 0) - 1 AS fwd FROM (SELECT CAST(ts AS DATE) AS t, user_id AS name, avg(value) AS f FROM events GROUP BY 1, 2))",
-    "opt": "opt AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity AS S, p_retailprice AS K, l_quantity / 50 AS T, l_tax AS r, 0.1::DOUBLE + 3 * l_discount AS sigma FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 10 = 0)",
+    "opt": "opt AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity AS S, p_retailprice AS K, l_quantity / 50 AS T, l_tax AS r, 0.1::DOUBLE + 3 * l_discount AS sigma FROM lineitem JOIN part ON l_partkey = p_partkey)",
 }
 SQL["both"] = SQL["ret"] + ", both_ AS (SELECT x.d, x.r AS a, y.r AS b FROM ret x JOIN ret y ON x.d = y.d WHERE x.s = 'F' AND y.s = 'O')"
 
