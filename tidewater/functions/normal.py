@@ -169,3 +169,29 @@ def sql_normppf(p: str) -> str:
     q = f"({p} - 0.5::DOUBLE)"
     middle = f"({q} * {_text(f'({q} * {q})', PPF_A)} / {_text(f'({q} * {q})', [*PPF_B, 1.0])})"
     return f"(CASE WHEN {p} < {PPF_LOW} THEN {side(f'sqrt(-2 * ln({p}))')} WHEN {p} <= {1 - PPF_LOW} THEN {middle} ELSE -{side(f'sqrt(-2 * ln(1 - {p}))')} END)"
+
+
+def chi2sf(x: Column, k: int) -> Column:
+    """Upper tail of chi squared with a whole number k of degrees of freedom; 1 where x isn't positive.
+
+    The finite sum of the upper incomplete gamma function at whole and half
+    numbers.
+    """
+    if k < 1:
+        raise ValueError(f"k must be 1 or more, not {k}")
+
+    def tail(y: Column) -> Column:
+        odd = k % 2
+        terms = [F.pow(y, i + odd / 2) * (1 / math.gamma(i + 1 + odd / 2)) for i in range((k - odd) // 2)]
+        total = F.exp(-1.0 * y) * sum(terms, F.lit(0.0))
+        return 2.0 * normcdf(-1.0 * F.sqrt(2.0 * y)) + total if odd else total
+
+    return let(x / 2.0, lambda y: F.when(y <= 0, 1.0).when(y > 0, tail(F.greatest(y, F.lit(0.0)))))
+
+
+def sql_chi2sf(x: str, k: int) -> str:
+    """chi2sf of a positive column as SQL text."""
+    odd = k % 2
+    terms = " + ".join(["0.0::DOUBLE", *[f"pow({x} / 2, {i + odd / 2}) * {1 / math.gamma(i + 1 + odd / 2)!r}::DOUBLE" for i in range((k - odd) // 2)]])
+    total = f"exp(-{x} / 2) * ({terms})"
+    return f"(2 * {sql_normcdf(f'(-sqrt({x}))')} + {total})" if odd else f"({total})"

@@ -28,9 +28,13 @@ def slope(x: np.ndarray, y: np.ndarray) -> float:
 
 def kendall(x: np.ndarray, y: np.ndarray) -> float:
     """Tau-b; NaN without variation."""
-    a, b = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
-    scale = np.sqrt(np.abs(a).sum() * np.abs(b).sum())
-    return float((a * b).sum() / scale) if scale else NAN
+    agree = moved_x = moved_y = 0.0
+    step = max(1, 2_000_000 // max(1, len(x)))
+    for k in range(0, len(x), step):  # blocks of rows: memory doesn't grow with the square
+        a, b = np.sign(x[k : k + step, None] - x[None, :]), np.sign(y[k : k + step, None] - y[None, :])
+        agree, moved_x, moved_y = agree + (a * b).sum(), moved_x + np.abs(a).sum(), moved_y + np.abs(b).sum()
+    scale = math.sqrt(moved_x * moved_y)
+    return float(agree / scale) if scale else NAN
 
 
 # -- special functions -------------------------------------------------------------
@@ -381,9 +385,21 @@ def embed(x: np.ndarray, m: int, tau: int = 1) -> np.ndarray:
     return np.column_stack([x[k * tau : k * tau + n] for k in range(m)]) if n > 0 else np.zeros((0, m))
 
 
-def _far(p: np.ndarray, chebyshev: bool = True) -> np.ndarray:
-    d = np.abs(p[:, None, :] - p[None, :, :])
-    return d.max(2) if chebyshev else np.sqrt((d * d).sum(2))
+def _far(p: np.ndarray, chebyshev: bool = True, q: np.ndarray | None = None) -> np.ndarray:
+    """Distances of every row of p to every row of q (or p)."""
+    q = p if q is None else q
+    total = np.zeros((len(p), len(q)))
+    for k in range(p.shape[1]):
+        gap = np.abs(p[:, k, None] - q[None, :, k])
+        total = np.maximum(total, gap, out=total) if chebyshev else total + gap * gap
+    return total if chebyshev else np.sqrt(total)
+
+
+def _far_blocks(p: np.ndarray, chebyshev: bool = True, cells: int = 4_000_000):
+    """_far() in blocks of rows that hold some cells: (first row, distances).  Memory doesn't grow with the square."""
+    step = max(1, cells // max(1, len(p)))
+    for a in range(0, len(p), step):
+        yield a, _far(p[a : a + step], chebyshev, p)
 
 
 def permutationentropy(x, m: int = 3, tau: int = 1) -> float:
@@ -396,17 +412,17 @@ def permutationentropy(x, m: int = 3, tau: int = 1) -> float:
 
 
 def sampleentropy(x, m: int = 2, r: float | None = None) -> float:
-    x = clean(x)[-2000:]
+    x = clean(x)
     r = r if r is not None else 0.2 * x.std(ddof=1)
-    count = lambda k: (np.count_nonzero(_far(embed(x, k)) <= r) - len(x) + k - 1) / 2
+    count = lambda k: (sum(np.count_nonzero(d <= r) for _, d in _far_blocks(embed(x, k))) - len(x) + k - 1) / 2
     a, b = count(m + 1), count(m)
     return float(-math.log(a / b)) if a > 0 and b > 0 else NAN
 
 
 def approximateentropy(x, m: int = 2, r: float | None = None) -> float:
-    x = clean(x)[-2000:]
+    x = clean(x)
     r = r if r is not None else 0.2 * x.std(ddof=1)
-    phi = lambda k: float(np.mean(np.log((_far(embed(x, k)) <= r).mean(1))))
+    phi = lambda k: float(np.mean(np.log(np.concatenate([(d <= r).mean(1) for _, d in _far_blocks(embed(x, k))]))))
     return phi(m) - phi(m + 1)
 
 
@@ -442,16 +458,18 @@ def mutualinfo(x, lag: int = 1, bins: int = 32) -> float:
 
 def falsenearest(x, tau: int = 1, max_dim: int = 10, r_tol: float = 15.0, threshold: float = 0.05) -> dict[str, float]:
     """Share of false neighbours by dimension and the first dimension at or below the threshold."""
-    x = clean(x)[-1500:]
+    x = clean(x)
     shares = []
     for m in range(1, max_dim + 1):
         n = len(x) - m * tau
         if n < 10:
             break
-        d = _far(embed(x, m, tau)[:n], False)
-        np.fill_diagonal(d, np.inf)
-        j = d.argmin(1)
-        near = d[np.arange(n), j]
+        found = []
+        for a, d in _far_blocks(embed(x, m, tau)[:n], False):
+            d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
+            at = d.argmin(1)
+            found.append((at, d[np.arange(len(d)), at]))
+        j, near = (np.concatenate(c) for c in zip(*found, strict=True))
         ok = near > 0
         shares.append(float(np.mean(np.abs(x[m * tau :][:n] - x[m * tau :][j])[ok] / near[ok] > r_tol)) if ok.any() else NAN)
     first = next((k + 1 for k, s in enumerate(shares) if s <= threshold), len(shares))
@@ -460,11 +478,13 @@ def falsenearest(x, tau: int = 1, max_dim: int = 10, r_tol: float = 15.0, thresh
 
 def corrdim(x, tau: int = 1, m: int = 5, n_r: int = 20, low: float = 0.05, high: float = 0.5) -> float:
     """Grassberger and Procaccia's slope on the middle 60 per cent of radii."""
-    x = clean(x)[-1500:]
+    x = clean(x)
     e = embed(x, m, tau)
-    d = _far(e)[np.triu_indices(len(e), 1)]
     r = np.exp(np.linspace(math.log(low * x.std()), math.log(high * x.std()), n_r))
-    c = np.array([np.mean(d < k) for k in r])
+    below = np.zeros(n_r)
+    for _, d in _far_blocks(e):  # every pair twice, and each row with itself
+        below += [np.count_nonzero(d < k) for k in r]
+    c = (below - len(e)) / max(1, len(e) * (len(e) - 1))
     k = slice(int(0.2 * n_r), int(0.8 * n_r))
     ok = c[k] > 0
     return slope(np.log(r[k][ok]), np.log(c[k][ok]))
@@ -472,14 +492,16 @@ def corrdim(x, tau: int = 1, m: int = 5, n_r: int = 20, low: float = 0.05, high:
 
 def lyapunov(x, tau: int = 1, m: int = 5, max_t: int = 20, k_neighbors: int = 1, fit_end: int = 10) -> float:
     """Rosenstein's largest exponent: mean log divergence from the k nearest neighbours outside m * tau steps."""
-    x = clean(x)[-1500:]
+    x = clean(x)
     e = embed(x, m, tau)
     n = len(e) - max_t
     if n < 50:
         return NAN
-    d = _far(e[:n], False)
-    d[np.abs(np.arange(n)[:, None] - np.arange(n)[None, :]) <= m * tau] = np.inf
-    near = np.argpartition(d, k_neighbors - 1, 1)[:, :k_neighbors]
+    near = []
+    for a, d in _far_blocks(e[:n], False):
+        d[np.abs(a + np.arange(len(d))[:, None] - np.arange(n)[None, :]) <= m * tau] = np.inf
+        near.append(np.argpartition(d, k_neighbors - 1, 1)[:, :k_neighbors])
+    near = np.concatenate(near)
     curve = []
     for t in range(max_t):
         gap = np.sqrt(((e[np.arange(n) + t][:, None, :] - e[near + t]) ** 2).sum(2))
@@ -487,6 +509,10 @@ def lyapunov(x, tau: int = 1, m: int = 5, max_t: int = 20, k_neighbors: int = 1,
     return slope(np.arange(1.0, fit_end + 1), np.array(curve[1 : fit_end + 1]))
 
 
+#: Fixed value: recurrence plots are of the last 2,000 values, for they need all distances at once.
+RECURRENCE = 2_000
+
+
 def _lines(a: np.ndarray, l_min: int) -> np.ndarray:
     """Lengths of runs of ones in the rows of a boolean matrix."""
     padded = np.zeros((a.shape[0], a.shape[1] + 2), np.int8)
@@ -506,7 +532,7 @@ def _recurrence(r: np.ndarray, l_min: int, both: bool) -> dict[str, float]:
 
 
 def rqa(x, tau: int = 1, m: int = 5, rate: float = 0.1, l_min: int = 2) -> dict[str, float]:
-    d = _far(embed(clean(x)[-1000:], m, tau))
+    d = _far(embed(clean(x)[-RECURRENCE:], m, tau))
     off = d[~np.eye(len(d), dtype=bool)]
     r = d <= np.quantile(off, rate)
     np.fill_diagonal(r, False)
@@ -515,32 +541,32 @@ def rqa(x, tau: int = 1, m: int = 5, rate: float = 0.1, l_min: int = 2) -> dict[
 
 def crossrecurrence(x, y, tau: int = 1, m: int = 5, rate: float = 0.1, l_min: int = 2) -> dict[str, float]:
     z = lambda v: (v - v.mean()) / (v.std() or 1)
-    a, b = embed(z(np.asarray(x)[-1000:]), m, tau), embed(z(np.asarray(y)[-1000:]), m, tau)
-    d = np.abs(a[:, None, :] - b[None, :, :]).max(2)
+    a, b = embed(z(np.asarray(x)[-RECURRENCE:]), m, tau), embed(z(np.asarray(y)[-RECURRENCE:]), m, tau)
+    d = _far(a, True, b)
     return _recurrence(d <= np.quantile(d, rate), l_min, True)
 
 
 def jointrecurrence(x, y, tau: int = 1, m: int = 5, rate: float = 0.1, l_min: int = 2) -> dict[str, float]:
     both = []
     for v in (x, y):
-        d = _far(embed(np.asarray(v)[-1000:], m, tau))
+        d = _far(embed(np.asarray(v)[-RECURRENCE:], m, tau))
         both.append(d <= np.quantile(d[~np.eye(len(d), dtype=bool)], rate))
     r = both[0] & both[1]
     np.fill_diagonal(r, False)
     return _recurrence(r, l_min, False)
 
 
-def ccm(x, y, tau: int = 1, m: int = 3, lib_sizes=(50, 100, 200, 400), seed: int = 0) -> dict[str, float]:
+def ccm(x, y, tau: int = 1, m: int = 5, lib_sizes=(50, 100, 200, 400), seed: int = 0) -> dict[str, float]:
     """Skill of y's shadow manifold at x, for growing libraries."""
-    x, y = np.asarray(x)[-800:], np.asarray(y)[-800:]
+    x, y = np.asarray(x), np.asarray(y)
     e, goal = embed(y, m, tau), x[(m - 1) * tau :]
-    d = _far(e, False)
-    np.fill_diagonal(d, np.inf)
     rng, out = np.random.default_rng(seed), {}
     for size in lib_sizes:
         lib = rng.choice(len(e), min(size, len(e)), replace=False)
-        near = np.argsort(d[:, lib], 1)[:, : m + 1]
-        dist = np.take_along_axis(d[:, lib], near, 1)
+        d = _far(e, False, e[lib])
+        d[lib, np.arange(len(lib))] = np.inf
+        near = np.argsort(d, 1)[:, : m + 1]
+        dist = np.take_along_axis(d, near, 1)
         w = np.exp(-dist / np.maximum(dist[:, :1], 1e-12))
         guess = (w * goal[lib[near]]).sum(1) / w.sum(1)
         out[f"rho_{size}"] = float(np.corrcoef(guess, goal)[0, 1])

@@ -48,6 +48,64 @@ def per_row_of_series(df: DataFrame, key: str, order: list[str], columns: list[s
     return df.select(*dict.fromkeys([key, *order, *columns])).groupBy(key).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in [key, *order]) + ", " + ", ".join(f"{c} {t}" for c, t in out.items()))
 
 
+def per_window(df: DataFrame, key: str, order: list[str], columns: list[str], kernel: Callable, out: tuple[str, ...], window: int) -> DataFrame:
+    """key, order and out at the last row of each window; windows tile a series, and the last one ends with it, so every value is in one.
+
+    A series shorter than the window is one window.
+    """
+
+    def tiled(*x):
+        n = len(x[0])
+        full = {name: np.full(n, np.nan) for name in out}
+        for end in dict.fromkeys([*range(window, n + 1, window), n] if n else []):
+            for name, value in kernel(*[v[max(0, end - window) : end] for v in x]).items():
+                full[name][end - 1] = value
+        return full
+
+    every = per_row_of_series(df, key, order, columns, tiled, dict.fromkeys(out, "double"))
+    return every.dropna(subset=list(out), how="all")
+
+
+def zenoscan(df: DataFrame, key: str, order: list[str], features: list[str], target: str, fit: Callable, predict: Callable, train: int, frequencies: tuple[int, ...]) -> DataFrame:
+    """By key and retrain frequency: retrains, n predictions, their mean squared error and correlation with the truth."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    if any(f < 1 for f in frequencies):
+        raise ValueError(f"frequencies must be positive, not {frequencies}")
+    scans = [walk_forward(df, key, order, features, target, fit, predict, train, f).withColumn("frequency", F.lit(f)) for f in frequencies]
+    rows = reduce(DataFrame.unionByName, scans).filter("prediction IS NOT NULL AND NOT isnan(prediction)")
+    return rows.groupBy(key, "frequency").agg(F.sum((F.col("day") == 0).cast("bigint")).alias("retrains"), F.count("*").alias("n"), F.avg(F.pow(F.col("prediction") - F.col("truth"), 2)).alias("mse"), F.corr("prediction", "truth").alias("corr"))
+
+
+def seed_spread(fit_predict: Callable, n_seeds: int, base_seed: int = 0) -> dict[str, float]:
+    """Of fit_predict(seed) -> (predictions, metrics): every metric's mean, std and cv over seeds, and how seeds' predictions correlate in pairs."""
+    if n_seeds < 2:
+        raise ValueError(f"n_seeds must be 2 or more, not {n_seeds}")
+    runs = [fit_predict(base_seed + k) for k in range(n_seeds)]
+    out = {}
+    for name in runs[0][1]:
+        values = np.array([m[name] for _, m in runs])
+        mean, spread = values.mean(), values.std()
+        out |= {f"{name}_mean": float(mean), f"{name}_std": float(spread), f"{name}_cv": float(spread / abs(mean)) if abs(mean) > 1e-12 else np.inf}
+    pairs = np.corrcoef([p for p, _ in runs])[np.triu_indices(n_seeds, 1)]
+    pairs = pairs[np.isfinite(pairs)]
+    pairs = pairs if len(pairs) else np.ones(1)
+    return out | {"pair_corr_mean": float(pairs.mean()), "pair_corr_std": float(pairs.std())}
+
+
+def subsampled_fit(share: float = 0.6) -> Callable:
+    """A seed's linear model of a random share of the rows, its predictions of all and its r2 there."""
+
+    def one(seed: int, X: np.ndarray, y: np.ndarray):
+        own = np.random.default_rng(seed).choice(len(y), max(2, int(share * len(y))), replace=False)
+        guess = linear_predict(linear_fit(X[own], y[own]), X)
+        return guess, {"r2": float(1 - ((y - guess) ** 2).sum() / ((y - y.mean()) ** 2).sum())}
+
+    return one
+
+
 def rollhurst(df: DataFrame, key: str, order: list[str], x: str, window: int = 252, min_w: int = 8, n_windows: int = 8) -> DataFrame:
     def kernel(v):
         full = np.full(len(v), np.nan)

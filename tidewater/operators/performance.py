@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.normal import normcdf, normppf
+from ..functions.normal import chi2sf, normcdf, normppf
 from .rolling import finite
 
 
@@ -202,15 +202,17 @@ def autocorrelations(df: DataFrame, key: str, over: WindowSpec, x: str, h: int)
     return staged.groupBy(key).agg(F.count("_d").alias("n"), *[(F.sum(f"_p{k}") / F.sum(F.col("_d") * F.col("_d"))).alias(f"r{k}") for k in range(1, h + 1)])
 
 
-def ljungbox(df: DataFrame, key: str, over: WindowSpec, x: str, h: int = 10) -> DataFrame:
+def ljungbox(df: DataFrame, key: str, over: WindowSpec, x: str, h: int = 10, dof_correction: int = 0) -> DataFrame:
+    """By key: the statistic q of h lags, n, and p_value with h - dof_correction degrees of freedom."""
     a = autocorrelations(df, key, over, x, h)
     total = sum((F.col(f"r{k}") * F.col(f"r{k}") / (F.col("n") - k) for k in range(1, h + 1)), F.lit(0.0))
-    return a.select(key, (F.col("n") * (F.col("n") + 2) * total).alias("q"), "n")
+    return a.select(key, (F.col("n") * (F.col("n") + 2) * total).alias("q"), "n").withColumn("p_value", chi2sf(F.col("q"), h - dof_correction))
 
 
-def boxpierce(df: DataFrame, key: str, over: WindowSpec, x: str, h: int = 10) -> DataFrame:
+def boxpierce(df: DataFrame, key: str, over: WindowSpec, x: str, h: int = 10, dof_correction: int = 0) -> DataFrame:
+    """By key: the statistic q of h lags, n, and p_value with h - dof_correction degrees of freedom."""
     a = autocorrelations(df, key, over, x, h)
-    return a.select(key, (F.col("n") * sum((F.col(f"r{k}") * F.col(f"r{k}") for k in range(1, h + 1)), F.lit(0.0))).alias("q"), "n")
+    return a.select(key, (F.col("n") * sum((F.col(f"r{k}") * F.col(f"r{k}") for k in range(1, h + 1)), F.lit(0.0))).alias("q"), "n").withColumn("p_value", chi2sf(F.col("q"), h - dof_correction))
 
 
 def durbinwatson(df: DataFrame, key: str, over: WindowSpec, x: str) -> DataFrame:
@@ -224,15 +226,35 @@ def jarquebera(x: Column) -> Column:
     return F.count(v) / 6.0 * (F.pow(F.skewness(v), 2) + F.pow(F.kurtosis(v), 2) / 4.0)
 
 
+def jarquebera_p(statistic: Column) -> Column:
+    """Chance of a statistic as large under normality: chi squared with two degrees of freedom."""
+    return chi2sf(statistic, 2)
+
+
+#: By bounds of the adjusted statistic, coefficients of the exponent of p (or of 1 - p below 0.34).
+NORMALITY = ((0.2, True, (-13.436, 101.14, -223.73)), (0.34, True, (-8.318, 42.796, -59.938)), (0.6, False, (0.9177, -4.279, -1.38)), (None, False, (1.2937, -5.709, 0.0186)))
+
+
+def andersondarling_p(adjusted: Column) -> Column:
+    """The approximate p value of an adjusted statistic."""
+    out = None
+    for bound, upper, (a, b, c) in NORMALITY:
+        p = F.exp(a + b * adjusted + c * adjusted * adjusted)
+        p = 1.0 - p if upper else p
+        out = F.when(adjusted < bound, p) if out is None else out.when(adjusted < bound, p) if bound else out.when(adjusted.isNotNull(), p)
+    return out
+
+
 def andersondarling(df: DataFrame, key: str, x: str) -> DataFrame:
-    """The statistic A2 and A2 adjusted for small samples, by key."""
+    """The statistic A2, A2 adjusted for small samples, and its p_value, by key."""
     by = Window.partitionBy(key)
     z = (F.col(x) - F.avg(x).over(by)) / F.stddev_samp(x).over(by)
     staged = df.withColumn("_z", z).withColumn("_i", F.row_number().over(by.orderBy("_z"))).withColumn("_n", F.count("*").over(by))
     staged = staged.withColumn("_p", normcdf(F.col("_z"))).withColumn("_c", normcdf(-1.0 * F.col("_z")))
     total = F.sum((2 * F.col("_i") - 1) / F.col("_n") * F.log("_p") + (2 * (F.col("_n") - F.col("_i")) + 1) / F.col("_n") * F.log("_c"))
     out = staged.groupBy(key).agg((-1.0 * F.count("*") - total).alias("a2"), F.count("*").alias("n"))
-    return out.withColumn("adjusted", F.col("a2") * (1.0 + 0.75 / F.col("n") + 2.25 / (F.col("n") * F.col("n"))))
+    out = out.withColumn("adjusted", F.col("a2") * (1.0 + 0.75 / F.col("n") + 2.25 / (F.col("n") * F.col("n"))))
+    return out.withColumn("p_value", andersondarling_p(F.col("adjusted")))
 
 
 def spearmanrank(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -243,13 +265,13 @@ def spearmanrank(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def chatterjeexi(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
-    """Chatterjee's coefficient of y on x: ranks of y in order of x; ties of x in order of ``tie``."""
+    """Chatterjee's coefficient of y on x: ranks of y in order of x; ties of x in order of ``tie``; p_value two-sided, from its limit."""
     both = df.select(F.lit(1).alias("g"), finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y"), F.col(tie).alias("tie")).dropna()
     from .factors import _ranked
 
     ranked = _ranked(both, ["g"], "y")
     step = F.abs(F.lead("rank_y").over(Window.partitionBy("g").orderBy("x", "tie")) - F.col("rank_y"))
-    return ranked.withColumn("_s", step).agg((1.0 - 3.0 * F.sum("_s") / (F.pow(F.count("*"), 2) - 1.0)).alias("xi"), F.count("*").alias("n"))
+    return ranked.withColumn("_s", step).agg((1.0 - 3.0 * F.sum("_s") / (F.pow(F.count("*"), 2) - 1.0)).alias("xi"), F.count("*").alias("n")).withColumn("p_value", 2.0 * normcdf(-1.0 * F.abs(F.col("xi")) * F.sqrt(2.5 * F.col("n"))))
 
 
 def downsidecorr(df: DataFrame, x: str, y: str, threshold: float = 0.0) -> DataFrame:

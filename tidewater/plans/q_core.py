@@ -74,7 +74,7 @@ _option("bsputcharm", lambda S, K, T, r, sigma: O.bsputcharm(S, K, T, r, sigma),
 _option("callpayoff", lambda S, K, T, r, sigma: O.callpayoff(S, K), "greatest(S - K, 0)", 8)
 _option("putpayoff", lambda S, K, T, r, sigma: O.putpayoff(S, K), "greatest(K - S, 0)", 8)
 _option("digitalprice", lambda S, K, T, r, sigma: O.digitalprice(S, K, T, r, sigma, cash=10.0), "10 * dr * n2", 7)
-_option("gapprice", lambda S, K, T, r, sigma: O.gapprice(S, K, K * 1.1, T, r, sigma), "S * n1 - 1.1::DOUBLE * K * dr * n2", 4)
+_option("gapprice", lambda S, K, T, r, sigma: O.gapprice(S, K, K * 1.1, T, r, sigma), "S * n1 - 1.1::DOUBLE * K * dr * n2", 6)
 register("powerprice", lambda v: v.opt.select(*_IDS, (lambda S, K, T, r, sigma: O.powerprice(S, K * K, T, r, sigma))(*terms()).alias("v")), with_views(f"SELECT {', '.join(_IDS)}, round(dr * (fw * {N.sql_normcdf('e1')} - kk * {N.sql_normcdf('e2')}), 1) + 0.0::DOUBLE AS v FROM (SELECT *, (ln(fw / kk) + w * w / 2) / w AS e1, (ln(fw / kk) - w * w / 2) / w AS e2 FROM (SELECT *, K * K AS kk, S * S * exp((2 * r + sigma * sigma) * T) AS fw, 2 * sd AS w FROM n))", "opt").replace(" SELECT " + _IDS[0], f", {_D} SELECT {_IDS[0]}", 1), 1)
 _CHOOSE = f"(ln(S / k2) + (r + sigma * sigma / 2) * t2) / (sigma * sqrt(t2))"
 register("chooserprice", lambda v: v.opt.select(*_IDS, (lambda S, K, T, r, sigma: O.chooserprice(S, K, T, T / 2, r, sigma))(*terms()).alias("v")), with_views(f"SELECT {', '.join(_IDS)}, round({_CALL} + k2 * exp(-r * t2) * {N.sql_normcdf('m2')} - S * {N.sql_normcdf('m1')}, 5) + 0.0::DOUBLE AS v FROM (SELECT *, -{_CHOOSE} AS m1, -{_CHOOSE} + sigma * sqrt(t2) AS m2 FROM (SELECT *, T / 2 AS t2, K * exp(-r * T / 2) AS k2 FROM n))", "opt").replace(" SELECT " + _IDS[0], f", {_D} SELECT {_IDS[0]}", 1), 5)

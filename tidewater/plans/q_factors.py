@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from ..functions.normal import sql_normcdf
+from ..functions.normal import sql_chi2sf, sql_normcdf
 from ..operators import factors as A
 from ..operators import performance as M
 from .catalogue import register
@@ -54,7 +54,7 @@ _agg("sharperatio", lambda: M.sharperatio(F.col("r")), "avg(r) * sqrt(252) / std
 _agg("sortinoratio", lambda: M.sortinoratio(F.col("r")), "avg(r) * sqrt(252) / sqrt(avg(least(r, 0) * least(r, 0)))")
 _agg("omega", lambda: M.omega(F.col("r"), 0.01), "sum(greatest(r - 0.01, 0)) / sum(greatest(0.01 - r, 0))")
 _agg("kelly", lambda: M.kelly(F.col("r")), "greatest(0, least(1, avg(r) / var_samp(r)))")
-register("jarquebera", lambda v: v.ret.groupBy("s").agg(M.jarquebera(F.col("r")).alias("v")), with_views("SELECT s, round(n / 6 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 3) AS v FROM (SELECT s, count(*) AS n, avg(pow(r - m, 2)) AS m2, avg(pow(r - m, 3)) AS m3, avg(pow(r - m, 4)) AS m4 FROM (SELECT *, avg(r) OVER (PARTITION BY s) AS m FROM ret) GROUP BY s)", "ret"), 3)
+register("jarquebera", lambda v: v.ret.groupBy("s").agg(M.jarquebera(F.col("r")).alias("v")).withColumn("p_value", M.jarquebera_p(F.col("v"))), with_views("SELECT s, round(v, 3) AS v, round(exp(-v / 2), 3) AS p_value FROM (SELECT s, n / 6 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4) AS v FROM (SELECT s, count(*) AS n, avg(pow(r - m, 2)) AS m2, avg(pow(r - m, 3)) AS m3, avg(pow(r - m, 4)) AS m4 FROM (SELECT *, avg(r) OVER (PARTITION BY s) AS m FROM ret) GROUP BY s))", "ret"), 3)
 _Z = NormalDist().inv_cdf(0.05)
 register("cornishfishervar", lambda v: v.ret.groupBy("s").agg(M.cornishfishervar(F.col("r")).alias("v")), with_views(f"SELECT s, round(-(m + ({_Z!r}::DOUBLE + {(_Z * _Z - 1) / 6!r}::DOUBLE * k3 + {(_Z**3 - 3 * _Z) / 24!r}::DOUBLE * (k4 - 3) - {(2 * _Z**3 - 5 * _Z) / 36!r}::DOUBLE * k3 * k3) * sd), 6) AS v FROM (SELECT s, any_value(m) AS m, any_value(sd) AS sd, avg(pow((r - m) / sd, 3)) AS k3, avg(pow((r - m) / sd, 4)) AS k4 FROM (SELECT *, avg(r) OVER (PARTITION BY s) AS m, stddev_samp(r) OVER (PARTITION BY s) AS sd FROM ret) GROUP BY s)", "ret"))
 register("up_down_capture", lambda v: v.both.agg(M.up_capture(F.col("a"), F.col("b")).alias("up"), M.down_capture(F.col("a"), F.col("b")).alias("down")), with_views("SELECT round(avg(a) FILTER (b > 0) / avg(b) FILTER (b > 0), 6) AS up, round(avg(a) FILTER (b < 0) / avg(b) FILTER (b < 0), 6) AS down FROM both_", "both"))
@@ -102,13 +102,13 @@ for _method, _sql in (
 ):
     register(f"mht_{_method}", lambda v, m=_method: M.mht_correction(v.table("customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 7919 % 10007) / 10007.0 * ((F.col("c_custkey") * 104729 % 10009) / 10009.0)).alias("p")), "p", "id", m), f"WITH {_P} SELECT id, round(p, 6) AS p, round(least(1, {_sql}), 6) AS adjusted FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p, id) AS i FROM pv)")
 _AC = "ac AS (SELECT s, count(*) AS n, " + ", ".join(f"sum(e * l{k}) / sum(e * e) AS r{k}" for k in range(1, 6)) + " FROM (SELECT s, e, " + ", ".join(f"lag(e, {k}) OVER (PARTITION BY s ORDER BY d) AS l{k}" for k in range(1, 6)) + " FROM (SELECT s, d, r - avg(r) OVER (PARTITION BY s) AS e FROM ret)) GROUP BY s)"
-register("ljungbox", lambda v: M.ljungbox(v.ret, "s", by_series(), "r", 5), _after(with_views("##SELECT s, round(n * (n + 2) * (" + " + ".join(f"r{k} * r{k} / (n - {k})" for k in range(1, 6)) + "), 5) AS q, n FROM ac", "ret"), _AC), 5)
-register("boxpierce", lambda v: M.boxpierce(v.ret, "s", by_series(), "r", 5), _after(with_views("##SELECT s, round(n * (" + " + ".join(f"r{k} * r{k}" for k in range(1, 6)) + "), 5) AS q, n FROM ac", "ret"), _AC), 5)
+register("ljungbox", lambda v: M.ljungbox(v.ret, "s", by_series(), "r", 5), _after(with_views("##SELECT s, round(q, 5) AS q, n, round(" + sql_chi2sf("q", 5) + ", 5) AS p_value FROM (SELECT s, n * (n + 2) * (" + " + ".join(f"r{k} * r{k} / (n - {k})" for k in range(1, 6)) + ") AS q, n FROM ac)", "ret"), _AC), 5)
+register("boxpierce", lambda v: M.boxpierce(v.ret, "s", by_series(), "r", 5), _after(with_views("##SELECT s, round(q, 5) AS q, n, round(" + sql_chi2sf("q", 5) + ", 5) AS p_value FROM (SELECT s, n * (" + " + ".join(f"r{k} * r{k}" for k in range(1, 6)) + ") AS q, n FROM ac)", "ret"), _AC), 5)
 register("durbinwatson", lambda v: M.durbinwatson(v.ret, "s", by_series(), "r"), with_views("SELECT s, round(sum(e * e) / sum(r * r), 6) AS dw FROM (SELECT s, r, r - lag(r) OVER (PARTITION BY s ORDER BY d) AS e FROM ret) GROUP BY s", "ret"))
-register("andersondarling", lambda v: M.andersondarling(v.px, "s", "x"), _after(with_views(f"##SELECT s, round(a, 5) AS a2, n, round(a * (1 + 0.75::DOUBLE / n + 2.25::DOUBLE / (n * n)), 5) AS adjusted FROM (SELECT s, -count(*) - sum((2 * i - 1) / n * ln({sql_normcdf('z')}) + (2 * (n - i) + 1) / n * ln({sql_normcdf('y')})) AS a, count(*) AS n FROM zs GROUP BY s)", "px"), "zs AS (SELECT s, z, -z AS y, row_number() OVER (PARTITION BY s ORDER BY z) AS i, count(*) OVER (PARTITION BY s) AS n FROM (SELECT s, (x - avg(x) OVER (PARTITION BY s)) / stddev_samp(x) OVER (PARTITION BY s) AS z FROM px))"), 5)
+register("andersondarling", lambda v: M.andersondarling(v.px, "s", "x"), _after(with_views(f"##SELECT s, round(a, 5) AS a2, n, round(t, 5) AS adjusted, round(CASE WHEN t < 0.2 THEN 1 - exp(-13.436 + 101.14 * t - 223.73 * t * t) WHEN t < 0.34 THEN 1 - exp(-8.318 + 42.796 * t - 59.938 * t * t) WHEN t < 0.6 THEN exp(0.9177 - 4.279 * t - 1.38 * t * t) ELSE exp(1.2937 - 5.709 * t + 0.0186 * t * t) END, 5) AS p_value FROM (SELECT *, a * (1 + 0.75::DOUBLE / n + 2.25::DOUBLE / (n * n)) AS t FROM (SELECT s, -count(*) - sum((2 * i - 1) / n * ln({sql_normcdf('z')}) + (2 * (n - i) + 1) / n * ln({sql_normcdf('y')})) AS a, count(*) AS n FROM zs GROUP BY s))", "px"), "zs AS (SELECT s, z, -z AS y, row_number() OVER (PARTITION BY s ORDER BY z) AS i, count(*) OVER (PARTITION BY s) AS n FROM (SELECT s, (x - avg(x) OVER (PARTITION BY s)) / stddev_samp(x) OVER (PARTITION BY s) AS z FROM px))"), 5)
 register("varianceratio", lambda v: M.varianceratio(v.px, "s", by_series(), "x", 2), with_views("SELECT s, round(vr, 5) AS vr, round((vr - 1) / sqrt(2 * 3 * 1 / (6.0::DOUBLE * n)), 5) AS z FROM (SELECT s, count(a) AS n, (sum(pow(b - 2 * m, 2)) / (2 * (count(a) - 1) * (1 - 2 / count(a)))) / (sum(pow(a - m, 2)) / (count(a) - 1)) AS vr FROM (SELECT *, avg(a) OVER (PARTITION BY s) AS m FROM (SELECT s, x - lag(x) OVER (PARTITION BY s ORDER BY d) AS a, x - lag(x, 2) OVER (PARTITION BY s ORDER BY d) AS b FROM px)) GROUP BY s)", "px"), 5)
 register("spearmanrank", lambda v: M.spearmanrank(v.both, "a", "b"), _after(with_views("##SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS b FROM both_)", "both"), "one AS (SELECT 1)"))
-register("chatterjeexi", lambda v: M.chatterjeexi(v.both, "a", "b", "d"), _after(with_views("##SELECT round(1 - 3 * sum(abs(nx - r)) / (pow(count(*), 2) - 1), 6) AS xi, count(*) AS n FROM (SELECT r, lead(r) OVER (ORDER BY a, d) AS nx FROM (SELECT a, d, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS r FROM both_))", "both"), "one AS (SELECT 1)"))
+register("chatterjeexi", lambda v: M.chatterjeexi(v.both, "a", "b", "d"), _after(with_views(f"##SELECT round(xi, 6) AS xi, n, round(2 * {sql_normcdf('(-abs(xi) * sqrt(2.5::DOUBLE * n))')}, 6) AS p_value FROM (SELECT 1 - 3 * sum(abs(nx - r)) / (pow(count(*), 2) - 1) AS xi, count(*) AS n FROM (SELECT r, lead(r) OVER (ORDER BY a, d) AS nx FROM (SELECT a, d, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS r FROM both_)))", "both"), "one AS (SELECT 1)"))
 register("downsidecorr", lambda v: M.downsidecorr(v.both, "a", "b"), with_views("SELECT round(corr(a, b), 6) AS corr, count(*) AS n FROM both_ WHERE a < 0 AND b < 0", "both"))
 _NW = "ft AS (SELECT regr_slope(a, b) AS be, regr_intercept(a, b) AS al FROM both_), er AS (SELECT d, b, a - al - be * b AS e, (a - al - be * b) * b AS v FROM both_, ft), lg AS (SELECT *, " + ", ".join(f"lag(e, {k}) OVER (ORDER BY d) AS e{k}, lag(v, {k}) OVER (ORDER BY d) AS v{k}" for k in (1, 2)) + " FROM er), sm AS (SELECT count(*)::DOUBLE AS n, sum(b) AS sx, sum(b * b) AS sxx, sum(e * e + 2 * 2 / 3.0::DOUBLE * coalesce(e * e1, 0) + 2 / 3.0::DOUBLE * coalesce(e * e2, 0)) AS ee, sum(e * v + 2 / 3.0::DOUBLE * coalesce(e * v1 + v * e1, 0) + 1 / 3.0::DOUBLE * coalesce(e * v2 + v * e2, 0)) AS ev, sum(v * v + 4 / 3.0::DOUBLE * coalesce(v * v1, 0) + 2 / 3.0::DOUBLE * coalesce(v * v2, 0)) AS vv FROM lg)"
 register("neweywestse", lambda v: M.neweywestse(v.both, "d", "a", "b", 2), _after(with_views("##SELECT round(al, 6) AS alpha, round(be, 6) AS beta, round(sqrt((sxx * sxx * ee - 2 * sx * sxx * ev + sx * sx * vv) / pow(n * sxx - sx * sx, 2)), 6) AS se_alpha, round(sqrt((sx * sx * ee - 2 * n * sx * ev + n * n * vv) / pow(n * sxx - sx * sx, 2)), 6) AS se_beta FROM sm, ft", "both"), _NW))

@@ -36,7 +36,7 @@ _one("chaosscan", lambda x: {"tau": 1.0, "dimension": K.falsenearest(x)["dimensi
 _one("esbootstrap", K.esbootstrap, ("es", "low", "high"))
 _one("emd", lambda x: {"modes": float(len(m := K.emd(x)) - 1), "gap": float(np.abs(m.sum(0) - x).max())}, ("modes", "gap"))
 _one("stationary_bootstrap", lambda x: {"mean": float(x[K.stationary_bootstrap(len(x), 5.0, np.random.default_rng(0))].mean()), "n": float(len(x))}, ("mean", "n"))
-_one("persistenthomology", lambda x: {f"n{k}": float(len(p)) for k, p in K.persistence(K.embed(x[:60], 3)).items()}, ("n0", "n1"))
+register("persistenthomology", lambda v: S.per_window(v.ret, "s", ["d"], ["r"], lambda x: {f"n{k}": float(len(p)) for k, p in K.persistence(K.embed(x, 3)).items()}, ("n0", "n1"), 60))
 _one("tcdf", lambda x: {"p": K.tcdf(float(x.mean() / x.std() * len(x) ** 0.5), len(x) - 1.0), "log_p": K.logtcdf(-5.0, 4.0), "q": K.tppf(0.975, len(x) - 1.0)}, ("p", "log_p", "q"))
 for _name in ("distancecorr", "transferentropy", "covar"):
     _two(_name, getattr(K, _name))
@@ -46,10 +46,11 @@ _two("crossrecurrence", K.crossrecurrence, _RQA)
 _two("jointrecurrence", K.jointrecurrence, _RQA)
 _two("ccm", K.ccm, ("rho_50", "rho_100", "rho_200", "rho_400"))
 _two("grangerscan", lambda a, b: {f"f_{k}": K.grangerf(a, b, k) for k in (1, 2, 5)}, ("f_1", "f_2", "f_5"))
-_two("permtest", lambda a, b: K.permtest(abs(np.corrcoef(a, b)[0, 1]), lambda x, y: abs(np.corrcoef(x, y)[0, 1]), a, b, 200))
+_two("permtest", lambda a, b: K.permtest(abs(np.corrcoef(a, b)[0, 1]), lambda x, y: abs(np.corrcoef(x, y)[0, 1]), a, b, 1_000))
 _two("spa_test", lambda a, b: K.spa(np.column_stack([a, b])), ("stat", "p"))
 _two("sindylasso", lambda a, b: (lambda m: {"alpha": m["alpha"], "w0": m["weights"][0], "w1": m["weights"][1]})(K.lasso(np.column_stack([b, b * b]), a)), ("alpha", "w0", "w1"))
-_two("wasserstein", lambda a, b: {m: K.wasserstein(K.persistence(K.embed(a[:40], 2), 0)[0], K.persistence(K.embed(b[:40], 2), 0)[0], m) for m in ("wasserstein", "bottleneck", "sliced_wasserstein")}, ("wasserstein", "bottleneck", "sliced_wasserstein"))
+_METRICS = ("wasserstein", "bottleneck", "sliced_wasserstein")
+register("wasserstein", lambda v: S.per_window(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], ["a", "b"], lambda a, b: {m: K.wasserstein(*(K.persistence(K.embed(x, 2), 0)[0] for x in (a, b)), m) for m in _METRICS}, _METRICS, 40))
 _two("synthcontrol", lambda a, b: K.synthcontrol(a, np.column_stack([b, b[::-1]]), len(a) // 2)["att"])
 register("rollhurst", lambda v: S.rollhurst(v.ret, "s", ["d"], "r"))
 register("rollcoherence", lambda v: S.rollcoherence(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], "a", "b", 64))
@@ -99,8 +100,8 @@ _by_label("kernelpca", lambda X: K.kernelpca(X).var(0), ("v0", "v1", "v2"))
 _by_label("meancvar", lambda X: K.meancvar(X), tuple(_C))
 _by_label("pcalgo", lambda X: [float(K.pcalgo(X).sum() / 2)], ("edges",))
 register("decoherencescan", lambda v: S.walk_forward(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], ["b"], "a", S.linear_fit, S.linear_predict, 250, 20).filter("day IS NOT NULL AND NOT isnan(day)").groupBy(F.floor(F.col("day") / 5).alias("bucket")).agg(F.corr("prediction", "truth").alias("corr"), F.count("*").alias("n")))
-register("zenoscan", lambda v: S.walk_forward(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], ["b"], "a", S.linear_fit, S.linear_predict, 250, 5).filter("NOT isnan(prediction)").agg(F.avg(F.pow(F.col("prediction") - F.col("truth"), 2)).alias("mse_5"), F.count("*").alias("n")))
-register("nocloningscan", lambda v: S.resampled(v.spark, 8, lambda seed: {"metric": float(np.random.default_rng(seed).standard_normal(500).mean())}, ("metric",)))
+register("zenoscan", lambda v: S.zenoscan(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], ["b"], "a", S.linear_fit, S.linear_predict, 250, (5, 21, 63)))
+_two("nocloningscan", lambda a, b: S.seed_spread(lambda seed: S.subsampled_fit()(seed, b[:, None], a), 8), ("r2_mean", "r2_std", "r2_cv", "pair_corr_mean", "pair_corr_std"))
 register("bootstrap_ic", lambda v: S.per_series(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], ["a", "b"], lambda a, b: (lambda c: {"low": float(np.quantile(c, 0.025)), "high": float(np.quantile(c, 0.975))})([np.corrcoef(a[i], b[i])[0, 1] for i in (K.stationary_bootstrap(len(a), 5.0, np.random.default_rng(k)) for k in range(300))]), ("low", "high")))
 
 _two("symbolicscan", lambda a, b: (lambda m: {"alpha": m["alpha"], "w0": m["weights"][0], "w1": m["weights"][1]})(K.symbolicscan(b[:, None], a)), ("alpha", "w0", "w1"))
