@@ -1,4 +1,4 @@
-"""Queries of kernels over whole series, matrices and resamples; none has an SQL form."""
+"""Queries of kernels over whole series, matrices and resamples; those that pairs of rows or counts can say have SQL."""
 
 from __future__ import annotations
 
@@ -8,17 +8,34 @@ from pyspark.sql import functions as F
 from ..functions import series as K
 from ..operators import per_series as S
 from .catalogue import register
-from .views import Views
+from .views import Views, with_views
 
 _RQA = ("recurrence_rate", "determinism", "laminarity", "longest", "entropy")
 
 
+#: Three values in a row, with their number.
+_EMBEDDED = "e AS (SELECT s, r AS a, lead(r, 1) OVER w AS b, lead(r, 2) OVER w AS c, row_number() OVER w AS i FROM ret WINDOW w AS (PARTITION BY s ORDER BY d)), t AS (SELECT s, 0.2::DOUBLE * stddev_samp(r) AS r FROM ret GROUP BY s)"
+_NEAR = "abs(x.a - y.a) <= t.r AND abs(x.b - y.b) <= t.r"
+
+
+def _embedded(body: str) -> str:
+    return with_views("##" + body, "ret").replace(" ##", f", {_EMBEDDED} ")
+
+
+SQL = {
+    "kendalltau": with_views("SELECT 'F-O' AS s, round(sum(sign(x.a - y.a) * sign(x.b - y.b)) / sqrt(sum(abs(sign(x.a - y.a)))::DOUBLE * sum(abs(sign(x.b - y.b)))), 6) + 0.0::DOUBLE AS value FROM both_ x, both_ y", "both"),
+    "permutationentropy": _embedded("SELECT s, round(-sum(q * ln(q)) / ln(6), 6) + 0.0::DOUBLE AS value FROM (SELECT s, count(*) / sum(count(*)) OVER (PARTITION BY s) AS q FROM e WHERE c IS NOT NULL GROUP BY s, a <= b, b <= c, a <= c) GROUP BY s"),
+    "sampleentropy": _embedded(f"SELECT s, round(-ln(count(*) FILTER (abs(x.c - y.c) <= t.r) / count(*)), 6) + 0.0::DOUBLE AS value FROM e x JOIN e y USING (s) JOIN t USING (s) WHERE x.i < y.i AND {_NEAR} GROUP BY s"),
+    "approximateentropy": _embedded(f"SELECT s, round(avg(ln(two / n)) - avg(ln(three / (n - 1))) FILTER (three > 0), 6) + 0.0::DOUBLE AS value FROM (SELECT s, x.i, count(*) AS two, count(*) FILTER (abs(x.c - y.c) <= t.r) AS three FROM e x JOIN e y USING (s) JOIN t USING (s) WHERE {_NEAR} GROUP BY s, x.i) JOIN (SELECT s, count(b) AS n FROM e GROUP BY s) USING (s) GROUP BY s"),
+}
+
+
 def _one(name: str, kernel, out: tuple[str, ...] = ("value",), prices: bool = False) -> None:
-    register(name, lambda v: S.per_series(v.px if prices else v.ret, "s", ["d"], ["x" if prices else "r"], kernel, out))
+    register(name, lambda v: S.per_series(v.px if prices else v.ret, "s", ["d"], ["x" if prices else "r"], kernel, out), SQL.get(name))
 
 
 def _two(name: str, kernel, out: tuple[str, ...] = ("value",)) -> None:
-    register(name, lambda v: S.per_series(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], ["a", "b"], kernel, out))
+    register(name, lambda v: S.per_series(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], ["a", "b"], kernel, out), SQL.get(name))
 
 
 for _name in ("hurstrs", "dfa", "higuchihurst", "localwhittle", "wavelethurst", "spectralentropy", "permutationentropy", "sampleentropy", "approximateentropy", "dispersionentropy", "corrdim", "mutualinfo", "lyapunov"):
