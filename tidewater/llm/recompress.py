@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Words, beside, beside_schema, exchanged, gathered, mix, packed, routes, run_hashes, shuffle_partitions, tidied, unpacked
+from .common import PACKED, Words, beside, beside_schema, checkpointed, exchanged, gathered, mix, packed, routes, run_hashes, shuffle_partitions, tidied, unpacked
 
 ROUNDS = 3
 REVEAL = 6
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
         return beside(result.take(pa.array(back)), left)
 
     by_doc = rows.groupBy("g")
-    revealed = exchanged(rows.select("k", "text", "g").mapInArrow(tidied(reveal), PACKED)).mapInArrow(tidied(shared), PACKED)
+    revealed = checkpointed(exchanged(rows.select("k", "text", "g").mapInArrow(tidied(reveal), PACKED)).mapInArrow(tidied(shared), PACKED))  # all keys go before texts move
     candidates = by_doc.cogroup(revealed.groupBy("route")).applyInArrow(windows, PACKED)
     repeats = exchanged(candidates).mapInArrow(tidied(later), PACKED)
     return by_doc.cogroup(repeats.groupBy("route")).applyInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string" + beside_schema(docs, keep))
