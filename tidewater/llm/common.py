@@ -12,6 +12,7 @@ import ctypes
 import functools
 import gc
 import math
+import mmap
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -51,15 +52,21 @@ def powers(n: int, base: np.uint64 = _RADIX) -> np.ndarray:
     return held[:n]
 
 
+#: Memory that an idle worker may keep, its libraries included.
+KEPT_BYTES = 180_000_000
+
+
 def tidied(function):
     """The same for mapInArrow, giving freed memory back to the system after each partition: workers live on between tasks."""
 
     @functools.wraps(function)
     def run(batches):
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # not on every system
-            ctypes.CDLL(None).malloc_trim(0)
+            with open("/proc/self/statm") as held:
+                if int(held.read().split()[1]) * mmap.PAGESIZE > KEPT_BYTES:
+                    pa.default_memory_pool().release_unused()
+                    ctypes.CDLL(None).malloc_trim(0)
 
     return run
 

@@ -110,7 +110,15 @@ class Sets:
         out[ragged(first + self.tails, self.n - self.tails)] = self.low.astype(np.uint64) | self.high.astype(np.uint64) << np.uint64(16)
         return out
 
-    def rows(self, kind: int, route: np.ndarray, many: int = 8_000):
+    def beginnings(self, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """tokens() of only the first ``many`` members of each set, in another order, and the set of each."""
+        tails = np.minimum(many, self.tails)
+        which = ragged(self.first, many - tails)
+        owner = np.append(np.repeat(np.arange(len(many)), tails), np.repeat(np.arange(len(many)), many - tails))
+        token = np.append(self.tail[ragged(self.first_tail, tails)] | _TAIL, self.low[which].astype(np.uint64) | self.high[which].astype(np.uint64) << np.uint64(16))
+        return token, owner
+
+    def rows(self, kind: int, route: np.ndarray, many: int = 20_000):
         """Packed rows, of ``many`` sets at most."""
         order = np.argsort(route, kind="stable")
         for a in range(0, len(order), many):
@@ -199,7 +207,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
         return once(frequent.value, Index).find(words)
 
     def scan(batches):
-        for table in gathered(batches, limit=1_000_000):
+        for table in gathered(batches):
             lines = Lines(table.column("text"), min_words)
             if not len(lines.first):
                 continue
@@ -237,6 +245,9 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
 
     def offered(sets: Sets, ask: bool, wanted: np.ndarray | None = None):
         """The rarest words of sets (of those, the ones in wanted slots); the place is negative for sets that ask."""
+        if wanted is not None:
+            token, owner = sets.beginnings(sets.n - need(sets.n, percent) + 1)
+            sets = sets.take(np.unique(owner[wanted[_slot(token)]]))
         token, first = sets.tokens(), np.cumsum(sets.n) - sets.n
         line = np.repeat(np.arange(len(sets.n)), sets.n)
         sketch = parities(token, first)
@@ -315,16 +326,25 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
         sets, (x, y) = Sets(*found[SET]), found[PAIR]
         _, one = np.unique(mix(x + mix(y)), return_index=True)
         code, x, y = x[one], _find(sets.code, x[one]), _find(sets.code, y[one])
-        good = [np.zeros(0, np.uint64)]
-        for a in range(0, len(x), 20_000):
-            mine, other = (sets.take(z[a : a + 20_000]) for z in (x, y))
-            pair = np.arange(len(mine.n), dtype=np.uint64)
-            key = np.concatenate([mix(s.tokens() + mix(np.repeat(pair, s.n))) for s in (mine, other)])
-            owner = np.concatenate([np.repeat(pair, s.n) for s in (mine, other)]).astype(np.int64)
-            order = np.argsort(key)
-            twice = order[:-1][key[order][1:] == key[order][:-1]]  # words of both
-            overlap = np.bincount(owner[twice], minlength=len(pair))
-            good.append(code[a : a + 20_000][100 * overlap >= percent * (mine.n + other.n - overlap)])
+        order = np.argsort(code, kind="stable")
+        code, x, y = code[order], x[order], y[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else order
+        rank = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+        good, low, high = [np.zeros(0, np.uint64)], 0, 1
+        while len(code):  # a class's first candidate, then the second, the next two, four ... of those that match none so far
+            now = np.flatnonzero((rank >= low) & (rank < high))
+            for own in np.split(now, np.flatnonzero(np.diff(np.cumsum(sets.n[x[now]] + sets.n[y[now]]) // 1_000_000)) + 1):  # about a million words at once
+                mine, other = sets.take(x[own]), sets.take(y[own])
+                pair = np.arange(len(own), dtype=np.uint64)
+                key = np.concatenate([mix(s.tokens() + mix(pair)[np.repeat(pair, s.n).astype(np.int64)]) for s in (mine, other)])
+                owner = np.concatenate([np.repeat(pair, s.n) for s in (mine, other)]).astype(np.int64)
+                order = np.argsort(key)
+                twice = order[:-1][key[order][1:] == key[order][:-1]]  # words of both
+                overlap = np.bincount(owner[twice], minlength=len(pair))
+                good.append(code[own][100 * overlap >= percent * (mine.n + other.n - overlap)])
+            left = (rank >= high) & ~np.isin(code, np.concatenate(good))
+            code, x, y, rank = code[left], x[left], y[left], rank[left]
+            low, high = high, 2 * high
         good = np.unique(np.concatenate(good))
         yield from packed(MATCHED, routes(good, parts), good)
         yield from offered(sets.take(_find(sets.code, np.setdiff1d(found[MORE][0], good))), True)
