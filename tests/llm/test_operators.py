@@ -348,6 +348,12 @@ def test_line_dedup(spark):
     assert line_dedup.remove_matches(twice).count() == 3
 
 
+def test_line_dedup_compares_long_lines_of_different_sizes(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(n)) for name, sizes in (("a", (4200, 4300)), ("b", (4300, 4200)), ("c", (4100, 5200))) for n in sizes]
+    got = rows(line_dedup.remove_matches(make(spark, texts)))
+    assert [got[i]["n_removed"] for i in range(len(texts))] == [0, 1, 0, 1, 0, 0]
+
+
 def test_line_dedup_query_and_stage_take_short_lines(spark, tmp_path):
     import corpus_pipeline
     from tidewater.llm import queries

@@ -268,6 +268,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
 
     def meet(tries: int | None):
         starts = buckets(percent)
+        bits = len(starts).bit_length()  # of a bucket's number beside its word's
 
         def run(batches):
             token, code, k, p, sketch, shape = unpacked(batches, {OFFER: ["u8", "u8", "i8", "i4", "u8", _MEET]})[OFFER]
@@ -281,7 +282,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
             rank = np.empty(len(order), np.int64)  # equal for the offers of one line
             rank[order] = np.cumsum(np.append(True, code[order][1:] != code[order][:-1]))
             size = shape["n"].astype(np.int64)
-            word = np.cumsum(np.append(True, token[1:] != token[:-1])) << 5
+            word = np.cumsum(np.append(True, token[1:] != token[:-1])) << bits
             group = word + np.searchsorted(starts, size, "right") - 1
             order = np.argsort(group << 32 | rank)
             code, rank, size, group, sketch, shape = (c[order] for c in (code, rank, size, group, sketch, shape))
@@ -295,7 +296,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
                 begin = np.searchsorted(key, (group[asker] + beside) << 32)
                 fan = np.searchsorted(key, (group[asker] + beside) << 32 | rank[asker]) - begin
                 if beside:
-                    fan[(group[asker] + beside) >> 5 != group[asker] >> 5] = 0
+                    fan[(group[asker] + beside) >> bits != group[asker] >> bits] = 0
                 for a, b, too_many in candidates(begin, fan, asker, size, at, sketch, percent, tries):
                     more.append(code[a[too_many]])
                     x.append(code[a[~too_many]])
