@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewater.llm import bpe, fingerprints, langid, line_crf, line_dedup, ngram_join, packing, ppm, quality_rules, recompress
+from tidewater.llm import bpe, common, fingerprints, langid, line_crf, line_dedup, ngram_join, packing, ppm, quality_rules, recompress
 from tidewater.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, k string, g int, row string, part int"
@@ -354,6 +354,44 @@ def test_line_dedup_compares_long_lines_of_different_sizes(spark):
     assert [got[i]["n_removed"] for i in range(len(texts))] == [0, 1, 0, 1, 0, 0]
 
 
+def test_line_dedup_kernels():
+    rng = np.random.default_rng(5)
+    for _ in range(60):  # lines taken out of texts
+        texts = ["\n".join(rng.choice(["", " ", "a", "b c", "ä d e"], rng.integers(0, 7))) for _ in range(rng.integers(1, 9))]
+        lines = line_dedup.Lines(pa.array(texts), 1)
+        words = [[x.split() for x in t.split("\n")] for t in texts]
+        assert [(d, p, n) for d, p, n in zip(lines.doc, lines.place, lines.size)] == [(d, p, len(w)) for d, t in enumerate(words) for p, w in enumerate(t) if w]
+        data, base = common.text_bytes(pa.array(texts))
+        _, _, doc, place, begin = line_dedup.worded(data, base, common.word_starts(data, base)[0], 1)
+        gone = rng.random(len(doc)) < rng.choice([0, 0.5, 1])
+        out, ends = line_dedup.without(data, base, np.flatnonzero(data == 10), doc[gone], place[gone], begin[gone])
+        drop = set(zip(doc[gone], place[gone]))
+        want = ["\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in drop) for d, t in enumerate(texts)]
+        assert [bytes(out[i:j]).decode() for i, j in zip(ends, ends[1:])] == want
+
+    words = common.mix(np.arange(1, 40_001, dtype=np.uint64))  # more than the slots tried first
+    wanted = common.mix(np.arange(60_000, dtype=np.uint64))
+    found = line_dedup.Ranks(words).find(wanted)
+    assert (found == np.where((np.arange(60_000) > 0) & (np.arange(60_000) <= 40_000), np.arange(60_000) - 1, -1)).all()
+    assert (line_dedup.Ranks(words[:0]).find(wanted) == -1).all()
+
+    def sets(members):  # of ranks up to 100, and of words without one from there on
+        ranks = [sorted(x for x in m if x < 100) for m in members]
+        tails = [sorted(common.mix(np.array([x], np.uint64))[0] for x in m if x >= 100) for m in members]
+        shape = np.array([(len(a) + len(b), len(b)) for a, b in zip(ranks, tails)], line_dedup._SHAPE)
+        low, tail = np.array(sum(ranks, []), np.uint16), np.array(sum(tails, []), np.uint64)
+        return line_dedup.Sets(np.arange(len(members), dtype=np.uint64), np.arange(len(members)), shape, low, (low * 0).astype(np.uint8), tail)
+
+    a, b = ([set(rng.integers(0, 130, rng.integers(1, 40)).tolist()) for _ in range(50)] for _ in "ab")
+    assert sets(a).common(sets(b)).tolist() == [len(x & y) for x, y in zip(a, b)]
+
+    for top in (50, 2**63 - 1):  # null ids are the largest number
+        k, p = rng.choice([-(2**63), 3, 4, top], 300), rng.integers(0, 5, 300).astype("i4")
+        code = common.mix((k.view("u8") * np.uint64(8) + p.astype("u8")) * np.uint64(2) + rng.integers(0, 2, 300).astype("u8"))
+        order = sorted(set(zip(k.tolist(), p.tolist(), code.tolist())))
+        assert (line_dedup._in_order(k, p, code) - 1).tolist() == [order.index(x) for x in zip(k.tolist(), p.tolist(), code.tolist())]
+
+
 def test_line_dedup_query_and_stage_take_short_lines(spark, tmp_path):
     import corpus_pipeline
     from tidewater.llm import queries

@@ -31,13 +31,14 @@ at a time.  Empty tables give empty results; extra columns aren't read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, exchanged, gathered, heads, histogram, mix, need, once, packed, packed_rows, ragged, released, routes, shuffle_partitions, single, summed, text_bytes, tidied, unpacked, word_starts
+from .common import PACKED, Index, Tally, Words, beside, beside_schema, checkpointed, distinct_per_owner, exchanged, gathered, heads, histogram, mix, need, once, packed, packed_rows, ragged, released, routes, shuffle_partitions, single, summed, text_bytes, tidied, unpacked, word_starts
 
 _NULL = 2**63 - 1
 _TAIL = np.uint64(2**63)
@@ -55,7 +56,7 @@ class Lines:
 
     def __init__(self, texts: pa.Array, least: int):
         self.words = w = Words(texts, lower=True)
-        self.first, self.size, self.doc, self.place = worded(w.data, w.base, w.start, least)
+        self.first, self.size, self.doc, self.place, _ = worded(w.data, w.base, w.start, least)
 
     def hashes(self) -> np.ndarray:
         """Of each line's whole sequence of words."""
@@ -68,18 +69,54 @@ class Lines:
 
 
 def worded(data: np.ndarray, base: np.ndarray, start: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Of texts' bytes and word starts, the lines of ``least`` words or more: first word, words, text, place in it."""
+    """Of texts' bytes and word starts, the lines of ``least`` words or more (one at least): first word, words, text, place in it, first byte."""
     breaks = np.flatnonzero(data == 0x0A)
-    begins = np.zeros(len(data) + 1, bool)
-    begins[breaks + 1] = True
-    begins[base] = True
-    line = np.searchsorted(np.flatnonzero(begins[:-1]), start, "right") - 1
-    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(start) else np.zeros(0, np.int64)
+    begin = np.sort(np.concatenate([base[:-1], breaks + 1]), kind="stable")  # two ascending runs
+    begin = begin[np.append(begin[1:] != begin[:-1], True) & (begin < len(data))] if len(begin) else begin
+    first = np.searchsorted(start, begin)
     size = np.diff(np.append(first, len(start)))
-    doc = np.searchsorted(base, start[first], "right") - 1
-    place = np.searchsorted(breaks, start[first]) - np.searchsorted(breaks, base[doc])  # the newlines before it in its text
-    own = size >= least
-    return first[own], size[own], doc[own], place[own].astype(np.int32)
+    own = size >= max(least, 1)
+    first, size, begin = first[own], size[own], begin[own]
+    doc = np.searchsorted(base, begin, "right") - 1
+    place = np.searchsorted(breaks, begin) - np.searchsorted(breaks, base)[doc]  # the newlines before it in its text
+    return first, size, doc, place.astype(np.int32), begin
+
+
+class Ranks:
+    """Places of words in order of rarity: the most frequent word of each of a few slots, which stay in the cache, is tried first."""
+
+    _SLOT = np.uint64(2**14 - 1)
+
+    def __init__(self, words: np.ndarray):
+        """words: their hashes, rarest first."""
+        self.rest = Index(words)
+        self.at = np.full(int(self._SLOT) + 1, -1, np.int32)
+        np.maximum.at(self.at, (words & self._SLOT).astype(np.int64), np.arange(len(words), dtype=np.int32))
+        self.word = np.append(words, np.uint64(0))[self.at]  # any word that belongs elsewhere, where a slot has none
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Each word's place, or -1."""
+        slot = (words & self._SLOT).astype(np.int64)
+        out = self.at[slot]
+        left = np.flatnonzero(self.word[slot] != words)
+        out[left] = self.rest.find(words[left])
+        return out
+
+
+def without(data: np.ndarray, base: np.ndarray, breaks: np.ndarray, doc: np.ndarray, place: np.ndarray, begin: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Texts without some of their lines (of which text, place and first byte are given, ascending), the others joined by newlines: bytes, and where each text begins."""
+    if not len(doc):
+        return data.tobytes(), base
+    new = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+    head, last = np.flatnonzero(np.append(True, new)), np.flatnonzero(np.append(new, True))  # of each run of neighbours
+    a, end = begin[head], base[doc[last] + 1]
+    stop = np.searchsorted(breaks, begin[last])
+    b = np.minimum(np.append(breaks, len(data))[stop] + 1, end)  # with the newline that ends the run
+    closing = np.searchsorted(breaks, base)[doc[last] + 1] == stop  # no newline ends it: the one before it goes
+    a = a - (closing & (a > base[doc[head]]))
+    text = memoryview(data)
+    out = b"".join([text[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)])
+    return out, base - np.append(0, np.cumsum(b - a))[np.searchsorted(a, base)]
 
 
 class Sets:
@@ -110,6 +147,21 @@ class Sets:
         out[ragged(first + self.tails, self.n - self.tails)] = self.low.astype(np.uint64) | self.high.astype(np.uint64) << np.uint64(16)
         return out
 
+    def common(self, other: Sets) -> np.ndarray:
+        """How many members each set has in common with the other's set of the same place."""
+        pair = np.arange(len(self.n))
+        key = np.sort(np.concatenate([np.repeat(pair << 24, s.n - s.tails) | s.low | s.high.astype(np.int64) << 16 for s in (self, other)]), kind="stable")  # two ascending runs
+        out = np.bincount(key[1:][key[1:] == key[:-1]] >> 24, minlength=len(pair))
+        which = np.flatnonzero((self.tails > 0) & (other.tails > 0))  # words without a rank
+        if len(which):
+            tail = [s.tail[ragged(s.first_tail[which], s.tails[which])] for s in (self, other)]
+            owner = [np.repeat(which, s.tails[which]) for s in (self, other)]
+            key, owner = np.concatenate([mix(t + mix(o.astype(np.uint64))) for t, o in zip(tail, owner, strict=True)]), np.concatenate(owner)
+            order = np.argsort(key)
+            key = key[order]
+            out += np.bincount(owner[order[1:][key[1:] == key[:-1]]], minlength=len(pair))
+        return out
+
     def beginnings(self, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """tokens() of only the first ``many`` members of each set, in another order, and the set of each."""
         tails = np.minimum(many, self.tails)
@@ -150,6 +202,7 @@ def candidates(begin, fan, asker, n, at, sketch, percent, tries):
     """(asker, candidate, whether it's one too many) among places begin ... begin + fan, in growing steps until each has its tries (None: all)."""
     done, seen = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
     live, width, block = np.flatnonzero(fan > 0), 16, 1_000_000
+    rest = n - at
     while len(live):
         step = np.minimum(width, fan[live] - seen[live])
         ends = np.cumsum(step)
@@ -157,22 +210,23 @@ def candidates(begin, fan, asker, n, at, sketch, percent, tries):
         while a < len(live):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + block)))
             part, many = live[a:b], step[a:b]
+            a = b
             y = ragged(begin[part] + seen[part], many)
-            who = np.repeat(part, many)
+            both = np.repeat(n[asker[part]], many) + n[y]
+            ok = np.flatnonzero(np.minimum(np.repeat(rest[asker[part]], many), rest[y]) * (100 + percent) >= percent * both)
+            who, y, both = np.repeat(part, many)[ok], y[ok], both[ok]
             x = asker[who]
-            wanted = least_overlap(n[x], n[y], percent)
-            ok = np.minimum(n[x] - at[x], n[y] - at[y]) >= wanted
-            ok &= n[x] + n[y] - np.bitwise_count(sketch[x] ^ sketch[y]) >= 2 * wanted
-            ok = np.flatnonzero(ok)
+            ok = np.flatnonzero(both - np.bitwise_count(sketch[x] ^ sketch[y]) >= 2 * least_overlap(both, 0, percent))
             x, y, who = x[ok], y[ok], who[ok]
             if tries is None:
                 yield x, y, np.zeros(len(x), bool)
             elif len(who):
-                number = np.arange(len(who)) - np.searchsorted(who, who, "left") + done[who]
-                done += np.bincount(who, minlength=len(done))
+                first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+                many = np.diff(np.append(first, len(who)))
+                number = ragged(done[who[first]], many)
+                done[who[first]] += many
                 own = number <= tries
                 yield x[own], y[own], number[own] == tries
-            a = b
         seen[live] += step
         live = live[(seen[live] < fan[live]) & ((done[live] <= tries) if tries is not None else True)]
         width = min(width * 4, 65_536)
@@ -204,7 +258,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
     frequent = spark.sparkContext.broadcast(words[np.argsort(counts, kind="stable")])  # max_words hashes at most, rarest first
 
     def ranks(words: np.ndarray) -> np.ndarray:
-        return once(frequent.value, Index).find(words)
+        return once(frequent.value, Ranks).find(words)
 
     def scan(batches):
         for table in gathered(batches):
@@ -216,21 +270,18 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
             place["p"] = lines.place
             code = lines.hashes()
             own = _firsts(code, place)
-            # distinct words of each line, rarest first, by one sort of (line, place of the word among this step's)
-            hashes, back = np.unique(lines.words.hash, return_inverse=True)
-            rank = ranks(hashes)
-            order = np.lexsort((hashes, rank))
-            at = np.empty(len(hashes), np.int64)
-            at[order] = np.arange(len(hashes))
+            # distinct words of each line, rarest first: those with a rank by one sort of (line, rank), the others by hash
             size = lines.size[own]
-            key = np.sort(np.repeat(np.arange(len(own)) << 32, size) | at[back[ragged(lines.first[own], size)]])
-            key = key[np.append(True, key[1:] != key[:-1])]
-            line, word = key >> 32, order[key & 0xFFFFFFFF]
-            tail = rank[word] < 0
+            word, line = lines.words.hash[ragged(lines.first[own], size)], np.repeat(np.arange(len(own)), size)
+            rank = ranks(word)
+            ranked = rank >= 0
+            key = np.sort(line[ranked] << 24 | rank[ranked])
+            key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+            tail, tail_line = distinct_per_owner(word[~ranked], line[~ranked])
             shape = np.empty(len(own), _SHAPE)
-            shape["n"], shape["tails"] = np.bincount(line, minlength=len(own)), np.bincount(line[tail], minlength=len(own))
-            known = rank[word[~tail]]
-            yield from Sets(code[own], place[own], shape, known.astype(np.uint16), (known >> 16).astype(np.uint8), hashes[word[tail]]).rows(CLASS, routes(code[own], parts))
+            shape["tails"] = np.bincount(tail_line, minlength=len(own))
+            shape["n"] = shape["tails"] + np.bincount(key >> 24, minlength=len(own))
+            yield from Sets(code[own], place[own], shape, key.astype(np.uint16), (key >> 16).astype(np.uint8), tail).rows(CLASS, routes(code[own], parts))
 
     def classes(batches):
         sets = Sets.read(batches, CLASS, _PLACE)
@@ -278,35 +329,41 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
             if not len(order):
                 return
             token, code, k, p, sketch, shape = (c[order] for c in (token, code, k, p, sketch, shape))
-            order = np.lexsort((code, p, k))
-            rank = np.empty(len(order), np.int64)  # equal for the offers of one line
-            rank[order] = np.cumsum(np.append(True, code[order][1:] != code[order][:-1]))
+            rank = _in_order(k, p, code)
             size = shape["n"].astype(np.int64)
             word = np.cumsum(np.append(True, token[1:] != token[:-1])) << bits
             group = word + np.searchsorted(starts, size, "right") - 1
-            order = np.argsort(group << 32 | rank)
-            code, rank, size, group, sketch, shape = (c[order] for c in (code, rank, size, group, sketch, shape))
+            wide = int(rank.max()).bit_length()
+            key = group << wide | rank
+            order = np.argsort(key)
+            key, code, rank, size, group, sketch, shape = (c[order] for c in (key, code, rank, size, group, sketch, shape))
             at = shape["at"].astype(np.int64)
             asker = np.flatnonzero(at < 0)
             at = np.where(at < 0, ~at, at)
-            key = group << 32 | rank
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))  # of each word and length
+            own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(group))))[asker]
+            kind, first = np.concatenate([[-2], group[first], [-2]]), np.append(first, 0)
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            earlier = np.repeat(new, np.diff(np.append(new, len(key))))[asker]  # the place of the same line's first offer of the word
             x, y = [], []
             more = []
             for beside in (-1, 0, 1):  # earlier lines of the neighbouring lengths and the same one
-                begin = np.searchsorted(key, (group[asker] + beside) << 32)
-                fan = np.searchsorted(key, (group[asker] + beside) << 32 | rank[asker]) - begin
+                begin, fan = first[own + beside], np.zeros(len(asker), np.int64)
                 if beside:
-                    fan[(group[asker] + beside) >> bits != group[asker] >> bits] = 0
+                    there = np.flatnonzero((kind[own + beside + 1] == group[asker] + beside) & ((group[asker] + beside) >> bits == group[asker] >> bits))
+                    fan[there] = np.searchsorted(key, key[asker[there]] + (beside << wide)) - begin[there]
+                else:
+                    fan = earlier - begin
                 for a, b, too_many in candidates(begin, fan, asker, size, at, sketch, percent, tries):
                     more.append(code[a[too_many]])
                     x.append(code[a[~too_many]])
                     y.append(code[b[~too_many]])
             x, y, more = (np.concatenate([np.zeros(0, np.uint64), *c]) for c in (x, y, more))
-            _, one = np.unique(mix(x + mix(y)), return_index=True)
+            one = _one_of_each(mix(x + mix(y)))
             x, y = x[one], y[one]
             yield from packed(PAIR, routes(x, parts), x, y)
             both, to = np.concatenate([x, y]), np.tile(routes(x, parts), 2)
-            _, one = np.unique(mix(both + mix(to.astype(np.uint64))), return_index=True)
+            one = _one_of_each(mix(both + mix(to.astype(np.uint64))))
             yield from packed(WANTED, routes(both[one], parts), both[one], to[one])
             more = np.unique(more)
             yield from packed(MORE, routes(more, parts), more)
@@ -325,9 +382,9 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
         """Classes that match a candidate, and the offers of those that match none but have more candidates."""
         found = unpacked(batches, {SET: Sets.types(_PLACE), PAIR: ["u8", "u8"], MORE: ["u8"]})
         sets, (x, y) = Sets(*found[SET]), found[PAIR]
-        _, one = np.unique(mix(x + mix(y)), return_index=True)
+        one = _one_of_each(mix(x + mix(y)))
         code, x, y = x[one], _find(sets.code, x[one]), _find(sets.code, y[one])
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         code, x, y = code[order], x[order], y[order]
         first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else order
         rank = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
@@ -336,12 +393,7 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
             now = np.flatnonzero((rank >= low) & (rank < high))
             for own in np.split(now, np.flatnonzero(np.diff(np.cumsum(sets.n[x[now]] + sets.n[y[now]]) // 1_000_000)) + 1):  # about a million words at once
                 mine, other = sets.take(x[own]), sets.take(y[own])
-                pair = np.arange(len(own), dtype=np.uint64)
-                key = np.concatenate([mix(s.tokens() + mix(pair)[np.repeat(pair, s.n).astype(np.int64)]) for s in (mine, other)])
-                owner = np.concatenate([np.repeat(pair, s.n) for s in (mine, other)]).astype(np.int64)
-                order = np.argsort(key)
-                twice = order[:-1][key[order][1:] == key[order][:-1]]  # words of both
-                overlap = np.bincount(owner[twice], minlength=len(pair))
+                overlap = mine.common(other)
                 good.append(code[own][100 * overlap >= percent * (mine.n + other.n - overlap)])
             left = (rank >= high) & ~np.isin(code, np.concatenate(good))
             code, x, y, rank = code[left], x[left], y[left], rank[left]
@@ -403,20 +455,21 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
     def rewrite(batches):
         for table in gathered(batches):
             data, base = text_bytes(table.column("text"))
-            _, _, doc, place = worded(data, base, word_starts(data, base)[0], min_words)
+            _, _, doc, place, begin = worded(data, base, word_starts(data, base)[0], min_words)
             kept = [np.frombuffer(x or b"", "i4") for x in table.column("stays").to_pylist()]
-            kept_doc = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
-            gone = ~np.isin(doc << 32 | place, kept_doc << 32 | np.concatenate([np.zeros(0, np.int32), *kept]))
-            doc, place = doc[gone], place[gone]
-            cuts = np.searchsorted(doc, np.arange(table.num_rows + 1))
-            total = np.bincount(np.searchsorted(base, np.flatnonzero(data == 0x0A), "right") - 1, minlength=table.num_rows)[: table.num_rows] + 1
-            texts = table.column("text").to_pylist()
-            for i in np.flatnonzero(np.diff(cuts)):
-                drop = set(place[cuts[i] : cuts[i + 1]].tolist())
-                texts[i] = "\n".join(x for j, x in enumerate(texts[i].split("\n")) if j not in drop)
+            kept = np.repeat(np.arange(len(kept)) << 32, [len(x) for x in kept]) | np.concatenate([np.zeros(0, np.int32), *kept])
+            key = doc << 32 | place
+            gone = np.append(kept, -1)[np.searchsorted(kept, key)] != key
+            removed = np.bincount(doc[gone], minlength=table.num_rows)
+            breaks = np.flatnonzero(data == 0x0A)
+            total = np.diff(np.searchsorted(breaks, base)) + 1
+            text, ends = without(data, base, breaks, doc[gone], place[gone], begin[gone])
+            body = memoryview(text)
+            valid = pa.array(~np.asarray(table.column("text").is_null())).buffers()[1]
             result = pa.table({
-                "doc_id": table.column("id"), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(np.diff(cuts), pa.int64()),
-                "kept_sha256": pa.array([hashlib.sha256((x or "").encode()).hexdigest() for x in texts], pa.string()), "kept": pa.array(texts, pa.string()),
+                "doc_id": table.column("id"), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(body[i:j]).hexdigest() for i, j in itertools.pairwise(ends.tolist())], pa.string()),
+                "kept": pa.LargeStringArray.from_buffers(table.num_rows, pa.py_buffer(ends), pa.py_buffer(text), valid).cast(pa.string()),
             })
             yield from beside(result, table).to_batches()
 
@@ -427,9 +480,34 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
 
 
 def _firsts(code: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The index of the first line of each code."""
-    order = np.lexsort((place["t"], place["p"], place["k"], code))
-    return order[np.append(True, code[order][1:] != code[order][:-1])] if len(code) else order
+    """The index of the first line of each code, ascending."""
+    order = np.argsort(code)
+    same = code[order][1:] == code[order][:-1]
+    several = np.append(same, False) | np.append(False, same) if len(code) else np.zeros(0, bool)
+    again = order[several]
+    again = again[np.lexsort((place["t"][again], place["p"][again], place["k"][again], code[again]))]
+    return np.sort(np.append(order[~several], again[np.append(True, code[again][1:] != code[again][:-1])] if len(again) else again))
+
+
+def _in_order(k: np.ndarray, p: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The place of each line in order of (k, p, code), equal for offers of one line."""
+    low, wide = int(k.min()), int(p.max()).bit_length()
+    near = k - low if (int(k.max()) - low).bit_length() + wide < 64 else np.unique(k, return_inverse=True)[1]
+    key = near << wide | p
+    order = np.argsort(key)
+    new, other = (np.append(True, c[order][1:] != c[order][:-1]) for c in (key, code))
+    if (other & ~new).any():  # different lines of one id and place
+        order = np.lexsort((code, key))
+        other = np.append(True, code[order][1:] != code[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(other)
+    return rank
+
+
+def _one_of_each(key: np.ndarray) -> np.ndarray:
+    """The index of one item of each key."""
+    order = np.argsort(key)
+    return order[np.append(True, key[order][1:] != key[order][:-1])] if len(key) else order
 
 
 def _slot(token: np.ndarray) -> np.ndarray:
