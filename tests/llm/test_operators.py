@@ -354,6 +354,17 @@ def test_line_dedup_compares_long_lines_of_different_sizes(spark):
     assert [got[i]["n_removed"] for i in range(len(texts))] == [0, 1, 0, 1, 0, 0]
 
 
+def test_workers_dont_collect_what_libraries_made(spark):
+    def left(batches):
+        import gc
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"frozen": [gc.get_freeze_count()], "left": [len(gc.get_objects())]})
+
+    got = spark.range(1).coalesce(1).mapInArrow(common.tidied(left), "frozen bigint, left bigint").first()
+    assert got["frozen"] > 10_000 and got["left"] < 10_000, got
+
+
 def test_line_dedup_kernels():
     rng = np.random.default_rng(5)
     for _ in range(60):  # lines taken out of texts

@@ -287,12 +287,10 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
         sets = Sets.read(batches, CLASS, _PLACE)
         own = _firsts(sets.code, sets.other)
         if len(own):
-            here = routes(sets.code[own], parts)
-            yield from sets.take(own).rows(CLASS, here)
-            yield from packed(FIRST, here, sets.code[own], sets.other[own])
+            own = own[np.argsort(sets.code[own])]  # neighbours of one text cost more to compress than they save
+            yield from sets.take(own).rows(CLASS, routes(sets.code[own], parts))
 
-    held = checkpointed(exchanged(rows.select("k", "t", "text").mapInArrow(tidied(scan), PACKED)).mapInArrow(tidied(classes), PACKED))
-    lines = held.filter(F.col("kind") == CLASS)
+    lines = checkpointed(exchanged(rows.select("k", "t", "text").mapInArrow(tidied(scan), PACKED)).mapInArrow(tidied(classes), PACKED))
 
     def offered(sets: Sets, ask: bool, wanted: np.ndarray | None = None):
         """The rarest words of sets (of those, the ones in wanted slots); the place is negative for sets that ask."""
@@ -473,7 +471,8 @@ def remove_matches(docs: DataFrame, percent: int = 80, min_words: int = 1, max_w
             })
             yield from beside(result, table).to_batches()
 
-    staying = exchanged(exchanged(held.filter(F.col("kind") == FIRST).unionByName(matched)).mapInArrow(tidied(stays), PACKED)).mapInArrow(tidied(by_document), "k bigint, t bigint, stays binary")
+    firsts = lines.select("route", F.lit(FIRST).alias("kind"), "c0", "c1", *[F.lit(None).cast("binary").alias(f"c{k}") for k in range(2, 6)])  # without their sets
+    staying = exchanged(exchanged(firsts.unionByName(matched)).mapInArrow(tidied(stays), PACKED)).mapInArrow(tidied(by_document), "k bigint, t bigint, stays binary")
     released(spark)
     joined = rows.join(staying, ["k", "t"], "left").drop("k", "t")
     return joined.mapInArrow(tidied(rewrite), "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept string" + beside_schema(docs, keep))
