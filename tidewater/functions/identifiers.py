@@ -34,10 +34,13 @@ def cusip(code: Column) -> Column:
     return F.struct(c.alias("cusip"), (reason == "").alias("valid"), reason.alias("reason"), F.when(shape, check).alias("check_digit"))
 
 
-def occ(symbol: Column) -> Column:
-    """struct(root, expiry, right, strike) of an option symbol; null if it isn't one."""
+def occ(symbol: Column, long_strikes: bool = False) -> Column:
+    """struct(root, expiry, right, strike) of an option symbol; null if it isn't one.
+
+    A strike has eight digits; ``long_strikes`` reads those of more as well.
+    """
     s = F.upper(F.regexp_replace(symbol, " ", ""))
-    pattern = r"^([A-Z][A-Z0-9.]{0,5})(\d{2})(\d{2})(\d{2})([CP])(\d{8})$"
+    pattern = r"^([A-Z][A-Z0-9.]{0,5})(\d{2})(\d{2})(\d{2})([CP])(\d{8" + ("," if long_strikes else "") + r"})$"
     part = lambda k: F.regexp_extract(s, pattern, k)
     day = F.try_to_date(F.concat(F.lit("20"), part(2), F.lit("-"), part(3), F.lit("-"), part(4)), "yyyy-MM-dd")
     strike = part(6).try_cast("double") / 1000
