@@ -24,3 +24,17 @@ def test_occparse_keeps_every_digit_of_a_strike(spark, tmp_path, first):
     orders.to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
     got = check(spark, tmp_path, "occparse")
     assert got["strike"].max() > (first + 90) / 8
+
+
+def test_quantile_bins_do_not_depend_on_how_rows_are_dealt(spark, tmp_path):
+    rows = [(10 * user + k, datetime.datetime(2024, 1, day, k), user, day * x) for day in (1, 2) for user in range(20) for k, x in enumerate((0.1, 0.2, 0.3) if user < 18 else (1.1, 2.2, 3.3))]
+    events = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "value"])
+    (tmp_path / "events.parquet").mkdir()
+    late = events["event_id"] % 10 > events["user_id"] % 2  # the second value is in one file with the third, of odd users with the first
+    for part in (0, 1):
+        events[late == bool(part)].to_parquet(tmp_path / "events.parquet" / f"{part}.parquet", coerce_timestamps="us")
+    events.to_parquet(tmp_path / "all.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    con.execute(f"SET threads = 1; CREATE VIEW events AS SELECT * FROM '{tmp_path}/all.parquet' ORDER BY event_id")
+    got, want = normal(QUERIES["mean_return_by_quantile"](spark, str(tmp_path)).toPandas()), normal(con.execute(ORACLES["mean_return_by_quantile"]).df())
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=1e-9)
