@@ -49,3 +49,17 @@ def test_bh_takes_one_pass_over_the_ranks(spark):
     order = sorted(range(7), key=lambda k: (p[k], k))
     want = {k: min(1.0, *(p[j] * 7 / (i + 1) for i, j in enumerate(order) if i >= at)) for at, k in enumerate(order)}
     assert {r["id"]: r["adjusted"] for r in out.collect()} == pytest.approx(want)
+
+
+def test_logsumexp_of_groups_holds_no_lists_of_rows(spark):
+    import math
+
+    from tidewater.functions.normal import logsumexp_by
+
+    inf, nan = math.inf, math.nan
+    groups = {1: [0.0, 700.0, -700.0, 31.9, 32.0, None], 2: [-1e6, -1e6 - 1], 3: [-inf, -inf], 4: [inf, -inf, 1.0], 5: [nan, 2.0], 6: [-inf, 5.0]}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g int, x double")
+    out = {r["g"]: r["v"] for r in logsumexp_by(df, "g", "x").collect()}
+    want = {1: 700.0, 2: -1e6 + math.log(1 + math.exp(-1)), 3: -inf, 4: inf, 5: nan, 6: 5.0}
+    assert out == pytest.approx(want, rel=1e-12, nan_ok=True)
+    assert "collect_list(z" not in QUERIES["logsumexp"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

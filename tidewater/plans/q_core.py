@@ -39,7 +39,7 @@ _scalar("gpdcdf", lambda z, p: N.gpdcdf(z, F.lit(-0.2), F.lit(1.5)), "CASE WHEN
 _scalar("gpdppf", lambda z, p: N.gpdppf(p, F.lit(0.3), F.lit(1.5)), "1.5::DOUBLE / 0.3 * (pow(1 - p, -0.3::DOUBLE) - 1)")
 _scalar("gammaln", lambda z, p: N.gammaln(p * 50), "lgamma(p * 50)", 8)
 _scalar("tpdf", lambda z, p: N.tpdf(z, F.lit(5.0)), "exp(lgamma(3.0) - lgamma(2.5) - 0.5 * ln(5 * pi()) - 3 * ln(1 + z * z / 5))")
-register("logsumexp", lambda v: _z(v).groupBy((F.col("o_orderkey") % 100).alias("g")).agg(F.collect_list("z").alias("a")).select("g", N.logsumexp(F.col("a")).alias("v")), f"WITH {_ZSQL} SELECT o_orderkey % 100 AS g, round(ln(sum(exp(z))), 8) + 0.0::DOUBLE AS v FROM z GROUP BY 1", 8)
+register("logsumexp", lambda v: N.logsumexp_by(_z(v).withColumn("g", F.col("o_orderkey") % 100), "g", "z"), f"WITH {_ZSQL} SELECT o_orderkey % 100 AS g, round(ln(sum(exp(z))), 8) + 0.0::DOUBLE AS v FROM z GROUP BY 1", 8)
 
 # -- prices and Greeks ---------------------------------------------------------
 _D = f"""d AS (SELECT *, S > 0 AND K > 0 AND T > 0 AND sigma > 0 AS ok, (ln(S / K) + (r + sigma * sigma / 2) * T) / (sigma * sqrt(T)) AS d1, (ln(S / K) + (r - sigma * sigma / 2) * T) / (sigma * sqrt(T)) AS d2, exp(-r * T) AS dr FROM opt),
