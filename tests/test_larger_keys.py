@@ -65,6 +65,21 @@ def test_logsumexp_of_groups_holds_no_lists_of_rows(spark):
     assert "collect_list(z" not in QUERIES["logsumexp"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
 
 
+def test_kernelpca_takes_whole_vectors(spark, tmp_path):
+    import numpy as np
+
+    from tidewater.functions import series as K
+
+    rng = np.random.default_rng(3)
+    X = rng.standard_normal((90, 12)) * np.r_[0.05 * np.ones(5), np.ones(7)]  # what varies lies beyond the first five
+    pd.DataFrame({"vec_id": range(90), "label": [k % 2 for k in range(90)], "embedding": list(X.astype(np.float32))}).to_parquet(tmp_path / "embeddings.parquet")
+    got = QUERIES["kernelpca"](spark, str(tmp_path)).toPandas().set_index("label")
+    for label in (0, 1):
+        part = X[label::2].astype(np.float32).astype(float)
+        assert got.loc[label, ["v0", "v1", "v2"]].to_numpy(float) == pytest.approx(plain(part).var(0), abs=2e-6)
+    assert K.kernelpca(X[:2]).shape == (2, 2)
+
+
 def plain(X, k=3):
     import numpy as np
 

@@ -113,7 +113,7 @@ def _by_label(name: str, kernel, out: tuple[str, ...]) -> None:
 
 _by_label("whitening", lambda X: [float(np.abs(K.whitening(X).T @ K.whitening(X) / len(X) - np.eye(5)).max())], ("gap",))
 _by_label("ica", lambda X: [float(np.abs(np.corrcoef(K.ica(X).T) - np.eye(5)).max())], ("most_corr",))
-_by_label("kernelpca", lambda X: K.kernelpca(X).var(0), ("v0", "v1", "v2"))
+register("kernelpca", lambda v: S.per_matrix(v.table("embeddings"), "label", ["vec_id"], "embedding", lambda X: K.kernelpca(X).var(0), ("v0", "v1", "v2")))
 _by_label("meancvar", lambda X: K.meancvar(X), tuple(_C))
 _by_label("pcalgo", lambda X: [float(K.pcalgo(X).sum() / 2)], ("edges",))
 register("decoherencescan", lambda v: S.walk_forward(v.both.withColumn("s", F.lit("F-O")), "s", ["d"], ["b"], "a", S.linear_fit, S.linear_predict, 250, 20).filter("day IS NOT NULL AND NOT isnan(day)").groupBy(F.floor(F.col("day") / 5).alias("bucket")).agg(F.corr("prediction", "truth").alias("corr"), F.count("*").alias("n")))
